@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark.llm.encode import encode_corpus
+from pitspark.llm.leaks import leaks, without_leaks
 from pitspark.llm.nearest import nearest_in_time
 from pitspark.operators.normalise_times import with_instant
 from pitspark.session import micros_sql, table
@@ -36,5 +37,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaking documents with the leaked spans removed."""
+    return without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 SQL: dict[str, str] = {}
