@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitspark.llm.abuse import flagged, rates, scores
 from pitspark.llm.encode import encode_corpus
 from pitspark.llm.leaks import leaks, without_leaks
 from pitspark.llm.nearest import nearest_in_time
@@ -50,5 +51,19 @@ def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagged(table(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, and the weight of each kind of language in it."""
+    return scores(table(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, flagged ones and their rate for each source."""
+    return rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 SQL: dict[str, str] = {}
