@@ -68,10 +68,9 @@ def decayed_sum(df: DataFrame, keys: list[str], value: str, out: str, decay: flo
     local = cut.withColumn("__local", F.sum(scaled).over(line) * F.exp(F.col("__i") * F.lit(log)))
     totals = cut.groupBy(*keys, "__part").agg((F.sum(scaled) * F.lit(math.exp(log * (part - 1)))).alias("__total"))
     reach = max(1, math.ceil(math.log(1e-18) / (log * part)))
-    parts = Window.partitionBy(*keys).orderBy("__part")
-    carried = F.lit(0.0)
-    for k in range(1, reach + 1):  # parts have no gaps: every part before the last is full
-        carried = carried + F.coalesce(F.lag("__total", k).over(parts), F.lit(0.0)) * F.lit(math.exp(log * part * (k - 1)))
+    # parts have no gaps: every part before the last is full
+    recent = F.collect_list("__total").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(-reach, -1))
+    carried = F.aggregate(recent, F.lit(0.0), lambda sum_, x: sum_ * F.lit(math.exp(log * part)) + x)
     before = totals.select(*keys, "__part", carried.alias("__carried"))
     joined = local.join(before, [*keys, "__part"])
     return joined.withColumn(out, F.col("__local") + F.col("__carried") * F.exp((F.col("__i") + 1) * F.lit(log))).drop("__part", "__i", "__local", "__carried")
