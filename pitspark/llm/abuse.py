@@ -22,6 +22,8 @@ from pitspark.llm.textnorm import fold
 
 #: Score from which a text counts as containing such language.
 THRESHOLD = 0.5
+#: A clause of more words is read in overlapping windows of so many.
+WORDS = 80
 #: What remains of a weight under negation, of oneself, and in reported speech.
 NEGATED, ONESELF, REPORTED = 0.2, 0.2, 0.3
 
@@ -186,6 +188,7 @@ _KNOWN = sorted(
 _SIZES: dict[int, list[str]] = {}
 for _w in _KNOWN:
     _SIZES.setdefault(len(_w), []).append(_w)
+_WHOLE = frozenset(_KNOWN)
 _COLLAPSED = {_RUN.sub(r"\1", w): w for w in reversed(_KNOWN)}
 
 
@@ -206,17 +209,17 @@ def _unmask(token: str) -> str:
 def _gathered(letters: str) -> str:
     """Letters that were spread out, as words: lexicon words, and single letters around them."""
     n = len(letters)
-    best: list[tuple[int, list[str]]] = [(0, [])]
+    cost, size_at = [0] * (n + 1), [1] * (n + 1)
     for k in range(1, n + 1):
-        cost, words = best[k - 1]
-        top = (cost + 3, [*words, letters[k - 1]])
+        cost[k] = cost[k - 1] + 3
         for size in range(3, min(14, k) + 1):
-            part = letters[k - size : k]
-            if part in _SIZES.get(size, ()) and best[k - size][0] + 1 < top[0]:
-                top = (best[k - size][0] + 1, [*best[k - size][1], part])
-        best.append(top)
-    cost, words = best[n]
-    return " ".join(words) if any(len(w) > 2 for w in words) else letters
+            if cost[k - size] + 1 < cost[k] and letters[k - size : k] in _WHOLE:
+                cost[k], size_at[k] = cost[k - size] + 1, size
+    words, k = [], n
+    while k:
+        words.append(letters[k - size_at[k] : k])
+        k -= size_at[k]
+    return " ".join(reversed(words)) if any(len(w) > 2 for w in words) else letters
 
 
 def plain_words(text: str) -> str:
@@ -233,6 +236,17 @@ def plain_words(text: str) -> str:
 def score_clause(clause: str) -> tuple[float, dict[str, float]]:
     """Score of a clause of folded text, and the weight of each kind."""
     words = _TOKEN.findall(clause.replace("'", " "))
+    if len(words) > WORDS:  # without punctuation: read through overlapping windows
+        best: tuple[float, dict[str, float]] = (0.0, {})
+        for a in range(0, len(words), WORDS // 2):
+            one = words[a : a + WORDS]
+            if not _BY_WORD.keys().isdisjoint(one):
+                best = max(best, _score_words(one), key=lambda x: x[0])
+        return best
+    return _score_words(words)
+
+
+def _score_words(words: list[str]) -> tuple[float, dict[str, float]]:
     tried = {k for w in set(words) if w in _BY_WORD for k in _BY_WORD[w]}
     if not tried:
         return 0.0, {}
