@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 OPEN_DAY, OPEN_MICROS = 2**31 - 1, 2**63 - 1
 #: Sides of a grid cell.
 CELL_DAYS, CELL_MICROS = 730, 730 * 86_400_000_000
+#: A rectangle this many cells longer than one lies in the coarse level of that direction, whose one cell is EVERY.
+LONG, EVERY = 2, -(2**31)
 
 _SEGMENTS = "entity string, attribute string, day int, known long, day_end int"
 
@@ -77,22 +79,30 @@ def rectangles(facts: DataFrame) -> DataFrame:
 def locate(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(point_id, attribute, fact_id) for points (point_id, entity, at_day int, at_micros long) in rectangles.
 
-    Points with a null lie nowhere. Both sides are spread over the cells of the grid, within the bounds of the points;
-    a busy entity is thus met in many cells, and the join on entity and cell may be split further at run time.
+    Points with a null lie nowhere. The grid has three levels: cells, and strips of all days or of all recorded times
+    for rectangles that are long in that direction, so that a rectangle has few copies however long it stays open; a
+    rectangle long in both lies in strips of all days, within the bounds of the points. A point is looked up once in
+    each level. A busy entity is thus met in many cells, and the join on entity and cell may be split further at run
+    time.
     """
     whole = points.where("point_id is not null and entity is not null and at_day is not null and at_micros is not null")
-    low_day, high_day, low, high = whole.agg(F.min("at_day"), F.max("at_day"), F.min("at_micros"), F.max("at_micros")).first()
+    low, high = whole.agg(F.min("at_micros"), F.max("at_micros")).first()
     if low is None:
-        low_day = high_day = low = high = 0
-    cell = lambda c, size: F.floor(F.col(c) / F.lit(float(size))).cast("int")
-    span = lambda a, b, lo, hi, size: F.sequence(
-        F.floor(F.greatest(F.col(a), F.lit(lo)) / F.lit(float(size))).cast("int"), F.floor(F.least(F.col(b) - 1, F.lit(hi)) / F.lit(float(size))).cast("int")
+        low = high = 0
+    near = regions.where((F.col("known") <= high) & (F.col("known_end") > low) & (F.col("day") < F.col("day_end")))
+    cell = lambda c, size: F.floor(c / F.lit(float(size))).cast("int")
+    every = F.lit(EVERY).cast("int")
+    days = F.sequence(cell(F.col("day"), CELL_DAYS), cell(F.col("day_end") - 1, CELL_DAYS))
+    first = cell(F.greatest(F.col("known"), F.lit(low)), CELL_MICROS)
+    last = cell(F.least(F.col("known_end") - 1, F.lit(high)), CELL_MICROS)
+    long_days = cell(F.col("day_end") - 1, CELL_DAYS) - cell(F.col("day"), CELL_DAYS) >= LONG
+    long_known = ~long_days & (last - first >= LONG)
+    indexed = near.withColumn("cell_day", F.explode(F.when(long_days, F.array(every)).otherwise(days))).withColumn(
+        "cell_known", F.explode(F.when(long_known, F.array(every)).otherwise(F.sequence(first, last)))
     )
-    near = regions.where((F.col("day") <= high_day) & (F.col("day_end") > low_day) & (F.col("known") <= high) & (F.col("known_end") > low) & (F.col("day") < F.col("day_end")))
-    indexed = near.withColumn("cell_day", F.explode(span("day", "day_end", low_day, high_day, CELL_DAYS))).withColumn(
-        "cell_known", F.explode(span("known", "known_end", low, high, CELL_MICROS))
-    )
-    at = whole.select("point_id", F.col("entity").alias("e"), "at_day", "at_micros", cell("at_day", CELL_DAYS).alias("cd"), cell("at_micros", CELL_MICROS).alias("ck"))
+    cd, ck = cell(F.col("at_day"), CELL_DAYS), cell(F.col("at_micros"), CELL_MICROS)
+    levels = F.array(*[F.struct(d.alias("cd"), k.alias("ck")) for d, k in ((cd, ck), (every, ck), (cd, every))])
+    at = whole.select("point_id", F.col("entity").alias("e"), "at_day", "at_micros", F.explode(levels).alias("c")).select("point_id", "e", "at_day", "at_micros", "c.cd", "c.ck")
     inside = (
         (F.col("e") == F.col("entity"))
         & (F.col("cd") == F.col("cell_day"))
