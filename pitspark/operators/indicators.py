@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.operators.ordered import decayed_sum, frame, rolling
+from pitspark.operators.ordered import decayed_sums, frame, rolling
 
 
 def simple_return(bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,49 +48,42 @@ def true_range(bars: DataFrame, keys: list[str]) -> DataFrame:
     return rolling(bars, keys, 1, {"true_range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))})
 
 
-def _smoothed(rows: DataFrame, keys: list[str], value: str, out: str, n: int, weight: float, begins: int = 0) -> DataFrame:
-    """Recursive mean of ``value``: at row begins+n-1 the plain mean of the n values so far, then weighted by ``weight``."""
-    first = begins + n - 1
-    seeded = rolling(rows, keys, n - 1, {"__seed": F.avg(value).over(frame(keys, -(n - 1)))})
-    parts = seeded.withColumn("__add", F.when(F.col("rn") == first, F.col("__seed")).when(F.col("rn") > first, F.lit(weight) * F.col(value)))
-    return decayed_sum(parts, keys, "__add", out, 1 - weight).where(F.col("rn") >= first).drop("__seed", "__add")
+def _smoothed(rows: DataFrame, keys: list[str], means: list[tuple[str, str, int, float]]) -> DataFrame:
+    """For each (value, out, n, weight) the recursive mean ``out``: at row n-1 the plain mean of the first n values, then
+    each value with ``weight``. Rows begin where all of them do."""
+    seeds = {f"__seed{k}": F.avg(value).over(frame(keys, -(n - 1))) for k, (value, _, n, _) in enumerate(means)}
+    seeded = rolling(rows, keys, max(n for *_, n, _ in means) - 1, seeds)
+    adds = {f"__add{k}": F.when(F.col("rn") == n - 1, F.col(f"__seed{k}")).when(F.col("rn") >= n, F.lit(weight) * F.col(value)) for k, (value, _, n, weight) in enumerate(means)}
+    summed = decayed_sums(seeded.withColumns(adds), keys, [(f"__add{k}", out, 1 - weight) for k, (_, out, _, weight) in enumerate(means)])
+    return summed.where(F.col("rn") >= max(n for *_, n, _ in means) - 1).drop(*seeds, *adds)
 
 
-def ema(bars: DataFrame, keys: list[str], n: int, value: str = "close", out: str = "ema", begins: int = 0) -> DataFrame:
+def ema(bars: DataFrame, keys: list[str], n: int, value: str = "close", out: str = "ema") -> DataFrame:
     """Exponential mean with weight 2/(n+1), seeded by the first n values."""
-    return _smoothed(bars, keys, value, out, n, 2 / (n + 1), begins)
+    return _smoothed(bars, keys, [(value, out, n, 2 / (n + 1))])
 
 
 def rsi(bars: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Relative strength by Wilder's smoothing of gains and losses: 50 without either, 100 without losses, 0 without gains."""
-    change = F.col("close") - F.lag("close").over(frame(keys))
-    moves = rolling(bars, keys, 1, {"__change": change})
-    moves = moves.withColumns({"__gain": F.greatest("__change", F.lit(0.0)), "__loss": F.greatest(-F.col("__change"), F.lit(0.0))}).where("rn >= 1")
-    moves = moves.withColumn("rn", F.col("rn") - 1)
-    gains = _smoothed(moves, keys, "__gain", "average_gain", n, 1 / n)
-    both = _smoothed(gains_ready(moves, gains, keys), keys, "__loss", "average_loss", n, 1 / n)
+    moves = rolling(bars, keys, 1, {"__change": F.col("close") - F.lag("close").over(frame(keys))}).where("rn >= 1")
+    moves = moves.withColumns({"__gain": F.greatest("__change", F.lit(0.0)), "__loss": F.greatest(-F.col("__change"), F.lit(0.0)), "rn": F.col("rn") - 1})
+    both = _smoothed(moves, keys, [("__gain", "average_gain", n, 1 / n), ("__loss", "average_loss", n, 1 / n)])
     total = F.col("average_gain") + F.col("average_loss")
-    return both.withColumn("rsi", F.when(total == 0, F.lit(50.0)).otherwise(100 * F.try_divide(F.col("average_gain"), total))).withColumn("rn", F.col("rn") + 1)
-
-
-def gains_ready(moves: DataFrame, gains: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of moves, with the average gain where there is one."""
-    return moves.join(gains.select(*keys, "rn", "average_gain"), [*keys, "rn"], "left")
+    return both.withColumns({"rsi": F.when(total == 0, F.lit(50.0)).otherwise(100 * F.try_divide(F.col("average_gain"), total)), "rn": F.col("rn") + 1}).drop("__change", "__gain", "__loss")
 
 
 def atr(bars: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return _smoothed(true_range(bars, keys), keys, "true_range", "atr", n, 1 / n)
+    return _smoothed(true_range(bars, keys), keys, [("true_range", "atr", n, 1 / n)])
 
 
 def macd(bars: DataFrame, keys: list[str], fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Line, signal and histogram; rows begin where the signal does."""
     if fast >= slow:
         raise ValueError("fast must be below slow")
-    f = ema(bars, keys, fast, out="ema_fast")
-    s = ema(bars, keys, slow, out="ema_slow")
-    line = s.join(f.select(*keys, "rn", "ema_fast"), [*keys, "rn"]).withColumn("line", F.col("ema_fast") - F.col("ema_slow")).withColumn("rn", F.col("rn") - (slow - 1))
+    both = _smoothed(bars, keys, [("close", "ema_fast", fast, 2 / (fast + 1)), ("close", "ema_slow", slow, 2 / (slow + 1))])
+    line = both.withColumns({"line": F.col("ema_fast") - F.col("ema_slow"), "rn": F.col("rn") - (slow - 1)})
     out = ema(line, keys, signal, value="line", out="signal")
-    return out.withColumn("histogram", F.col("line") - F.col("signal")).withColumn("rn", F.col("rn") + (slow - 1))
+    return out.withColumns({"histogram": F.col("line") - F.col("signal"), "rn": F.col("rn") + (slow - 1)})
 
 
 def gap_free_sum(points: DataFrame, keys: list[str], n: int, value: str, cell: str) -> DataFrame:

@@ -52,25 +52,36 @@ def frame(keys: list[str], first: int | None = None, last: int = 0):
     return line if first is None else line.rowsBetween(first, last)
 
 
-def decayed_sum(df: DataFrame, keys: list[str], value: str, out: str, decay: float, part: int = PART) -> DataFrame:
-    """df (with rn) and ``out``: the sum over all rows up to this one of value * decay ** distance, nulls adding nothing.
+def _fading(factor: float):
+    return lambda so_far, x: so_far * F.lit(factor) + x
+
+
+def decayed_sums(df: DataFrame, keys: list[str], sums: list[tuple[str, str, float]], part: int = PART) -> DataFrame:
+    """df (with rn) and for each (value, out, decay) ``out``: the sum over all rows up to this one of value * decay **
+    distance, nulls adding nothing.
 
-    Within a part the sum is a scaled running sum; the parts before it add their own totals, decayed, as far back as
-    they still count in a double.
+    Within a part a sum is a scaled running sum; the parts before it add their own totals, decayed, as far back as
+    they still count in a double. All sums share one cut, one window and one join.
     """
-    if not 0 < decay < 1:
+    if not all(0 < decay < 1 for *_, decay in sums):
         raise ValueError("decay must lie between 0 and 1")
-    part = max(2, min(part, int(280 / -math.log10(decay))))
+    part = max(2, min(part, *(int(280 / -math.log10(decay)) for *_, decay in sums)))
     cut = df.withColumns({"__part": F.floor(F.col("rn") / F.lit(float(part))).cast("long"), "__i": F.pmod(F.col("rn"), F.lit(part)).cast("int")})
-    log = math.log(decay)
-    scaled = F.coalesce(F.col(value), F.lit(0.0)) * F.exp(-F.col("__i") * F.lit(log))
     line = Window.partitionBy(*keys, "__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("__local", F.sum(scaled).over(line) * F.exp(F.col("__i") * F.lit(log)))
-    totals = cut.groupBy(*keys, "__part").agg((F.sum(scaled) * F.lit(math.exp(log * (part - 1)))).alias("__total"))
-    reach = max(1, math.ceil(math.log(1e-18) / (log * part)))
-    # parts have no gaps: every part before the last is full
-    recent = F.collect_list("__total").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(-reach, -1))
-    carried = F.aggregate(recent, F.lit(0.0), lambda sum_, x: sum_ * F.lit(math.exp(log * part)) + x)
-    before = totals.select(*keys, "__part", carried.alias("__carried"))
-    joined = local.join(before, [*keys, "__part"])
-    return joined.withColumn(out, F.col("__local") + F.col("__carried") * F.exp((F.col("__i") + 1) * F.lit(log))).drop("__part", "__i", "__local", "__carried")
+    parts = Window.partitionBy(*keys).orderBy("__part")
+    local, totals, carried, out = {}, [], {}, {}
+    for k, (value, name, decay) in enumerate(sums):
+        log = math.log(decay)
+        scaled = F.coalesce(F.col(value), F.lit(0.0)) * F.exp(-F.col("__i") * F.lit(log))
+        local[f"__local{k}"] = F.sum(scaled).over(line) * F.exp(F.col("__i") * F.lit(log))
+        totals.append((F.sum(scaled) * F.lit(math.exp(log * (part - 1)))).alias(f"__total{k}"))
+        # parts have no gaps: every part before the last is full
+        recent = F.collect_list(f"__total{k}").over(parts.rowsBetween(-max(1, math.ceil(math.log(1e-18) / (log * part))), -1))
+        carried[f"__carried{k}"] = F.aggregate(recent, F.lit(0.0), _fading(math.exp(log * part)))
+        out[name] = F.col(f"__local{k}") + F.col(f"__carried{k}") * F.exp((F.col("__i") + 1) * F.lit(log))
+    before = cut.groupBy(*keys, "__part").agg(*totals).select(*keys, "__part", *[c.alias(n) for n, c in carried.items()])
+    return cut.withColumns(local).join(before, [*keys, "__part"]).withColumns(out).drop("__part", "__i", *local, *carried)
+
+
+def decayed_sum(df: DataFrame, keys: list[str], value: str, out: str, decay: float, part: int = PART) -> DataFrame:
+    return decayed_sums(df, keys, [(value, out, decay)], part)

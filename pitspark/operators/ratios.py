@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +90,6 @@ def evaluate(wide: DataFrame, keys: list[str], ratios: list[Ratio], places: int
 
     Facts that wide has no column for count as missing. One projection and one unpivot, without a shuffle.
     """
-    import re
-
     names = {n for r in ratios for n in re.findall(r"[a-z_]+", formula(r.top) + " " + formula(r.over or "")) if n != "try_divide"}
     full = wide.withColumns({n: F.lit(None).cast("double") for n in sorted(names) if n not in wide.columns})
 
@@ -143,14 +145,26 @@ def history_statistics(points: DataFrame, keys: list[str], at: str, value: str)
 def percentile_rank(points: DataFrame, keys: list[str], at: str, value: str, least_prior: int = 3) -> DataFrame:
     """Mid-rank of each point among its history before it: (less + equal / 2) / n, from ``least_prior`` earlier points.
 
-    A point's rank needs all earlier points of its key; they are met by value in one self-join on the key and counted
-    without being collected. Histories are of periods, so a key has few of them.
+    Of several points at one moment the smallest value counts. Points are brought together by key and read in order of
+    time; the values so far are kept sorted, so a history costs n log n. It holds one value a period of one key.
     """
-    one = points.where(F.col(value).isNotNull()).groupBy(*keys, at).agg(F.min(value).alias(value))
-    prior = one.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(at).alias("__at"), F.col(value).alias("__v"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    joined = one.join(prior, same & (F.col("__at") < F.col(at)))
-    n, less, equal = F.count(F.lit(1)), F.count(F.when(F.col("__v") < F.col(value), 1)), F.count(F.when(F.col("__v") == F.col(value), 1))
-    return joined.groupBy(*keys, at, value).agg(n.alias("prior"), F.round((less + equal * 0.5) / n, 6).alias("rank")).where(F.col("prior") >= least_prior)
+    fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, at]) + f", `{value}` double, prior long, rank double"
+    one = points.where(F.col(value).isNotNull()).groupBy(*keys, at).agg(F.min(F.col(value).cast("double")).alias(value))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, before = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                key, x = row[: len(keys)], row[-1]
+                if key != current:
+                    current, before = key, []
+                low, high = bisect_left(before, x), bisect_right(before, x)
+                if len(before) >= least_prior:
+                    out.append((*row, len(before), round((low + (high - low) / 2) / len(before), 6)))
+                before.insert(high, x)
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, at, value, "prior", "rank"])
+
+    return one.repartition(*keys).sortWithinPartitions(*keys, at).mapInPandas(run, schema)

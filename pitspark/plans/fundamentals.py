@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pitspark.operators import indicators as ind
 from pitspark.operators.bars import pivot_fields
 from pitspark.operators.conditions import all_met, fold, outcome
-from pitspark.operators.pit import latest_revision, quality_name, quality_rank
+from pitspark.functions.scalars import clamp
+from pitspark.operators.pit import as_of, latest_revision, quality_name, quality_rank
 from pitspark.operators.ratios import CORE, RATIOS, evaluate, history_statistics, percentile_rank, ratio_sql, year_over_year
 from pitspark.plans.market import _BARS, _RBARS, _W, KEYS, bars
-from pitspark.session import table
+from pitspark.plans.series import p1_found
+from pitspark.session import micros_sql, table
 
 FIELDS = ["revenue", "net_income", "total_assets", "total_liabilities", "shares_outstanding"]
 
@@ -138,11 +140,48 @@ def cond_json_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def val_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiples at each request from the last bar known by then and the annual facts known by then.
+
+    The symbol of an asset is 'Q' and its short name. A multiple without its facts, or over none above zero, is null.
+    """
+    bars_ = table(spark, sf_dir, "daily_bars").where("c > 0 and c >= l and c <= h").select("symbol", F.expr(micros_sql("available_at")).alias("seen"), "c")
+    asked = table(spark, sf_dir, "valuation_requests").where("asset_id is not null and known_at is not null").distinct().select(
+        "request_id", F.concat(F.lit("Q"), F.upper(F.regexp_replace("asset_id", "^equity-", ""))).alias("symbol"), F.expr(micros_sql("known_at")).alias("known")
+    )
+    priced = as_of(asked, bars_, ["symbol"], "known", "seen", 90 * 86_400_000_000, ["c"]).where("c is not null")
+    found = p1_found(spark, sf_dir)
+    values = table(spark, sf_dir, "observations").groupBy("observation_id").agg(F.min(F.struct(F.regexp_replace("field_name", r"^fundamental\.", "").alias("field"), "obs_value")).alias("o"))
+    facts_ = found.join(values, "observation_id").select("request_id", "o.field", "o.obs_value")
+    wide = pivot_fields(facts_, ["request_id"], "field", "obs_value", FIELDS).drop("missing", "duplicated")
+    cap = F.col("c") * F.col("shares_outstanding")
+    over = lambda x: F.when(x > 0, F.round(F.try_divide(cap, x), 4))
+    return priced.join(wide, "request_id").select(
+        "request_id", "symbol", F.round(cap, 2).alias("market_cap"), over(F.col("net_income")).alias("price_to_earnings"), over(F.col("revenue")).alias("price_to_sales"), over(F.col("total_assets") - F.col("total_liabilities")).alias("price_to_book")
+    )
+
+
+def diag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend and momentum of each product's last bar as clamped scores, with what its volume and volatility say of them."""
+    b = bars(spark, sf_dir)
+    last = b.groupBy("product_id").agg(F.max("rn").alias("rn"))
+    a = ind.sma(b, KEYS, 5).select("product_id", "rn", F.col("sma").alias("short"))
+    c = ind.sma(b, KEYS, 20).select("product_id", "rn", F.col("sma").alias("long"))
+    r = ind.simple_return(b, KEYS).select("product_id", "rn", "ret")
+    v = ind.volatility(b, KEYS, 20).select("product_id", "rn", "volatility")
+    w = ind.relative_volume(b, KEYS, 20).select("product_id", "rn", "relative_volume")
+    on = ["product_id", "rn"]
+    x = last.join(a, on).join(c, on).join(r, on).join(v, on).join(w, on)
+    trend, momentum = clamp(50 + 1000 * (F.col("short") / F.col("long") - 1), 0.0, 100.0), clamp(50 + 1000 * F.col("ret"), 0.0, 100.0)
+    confidence = (clamp(F.col("relative_volume") / 2, 0.0, 1.0) + clamp(1 - F.col("volatility") / 0.10, 0.0, 1.0)) / 2
+    return x.select("product_id", F.round(trend, 4).alias("trend"), F.round(momentum, 4).alias("momentum"), F.round(0.6 * trend + 0.4 * momentum, 4).alias("score"), F.round(confidence, 4).alias("confidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fund_period_view, fund_core, fund_research, fund_yoy, fund_history, fund_percentile, fund_quality, fund_revisions, fund_lineage, macro_as_of,
-        cond_tri_valued, cond_lifecycle, cond_json_parameter,
+        cond_tri_valued, cond_lifecycle, cond_json_parameter, val_multiples, diag_scores,
     )
 }
 
@@ -192,5 +231,20 @@ SQL = {
           case when s.is_open then case when r.v < 1.2 then 'closed' end when r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) then 'opened' end
         from s join rv r on r.product_id = s.product_id and r.n = s.n + 1)
         select product_id, at_us, event from s where event is not null""",
+    "val_multiples": """with b as (select symbol, available_at as seen, max(c) as c from daily_bars where c > 0 and c >= l and c <= h group by 1, 2),
+        q as (select distinct request_id, 'Q' || upper(regexp_replace(asset_id, '^equity-', '')) as symbol, known_at, valuation_date, asset_id from valuation_requests where asset_id is not null and known_at is not null),
+        p as (select q.*, b.c from q asof join b on q.symbol = b.symbol and q.known_at >= b.seen),
+        k as (select q.request_id, replace(o.field_name, 'fundamental.', '') as field, o.obs_value, row_number() over (partition by q.request_id, o.field_name order by o.period_end desc, o.available_at desc, o.observation_id) as k
+          from q join (select distinct * from observations) o on o.asset_id = q.asset_id and o.available_at <= q.known_at and o.period_end::date <= q.valuation_date where o.frequency = 'annual' and o.quality = 'valid'),
+        w as (select request_id, max(obs_value) filter (field = 'revenue') as revenue, max(obs_value) filter (field = 'net_income') as net_income, max(obs_value) filter (field = 'total_assets') - max(obs_value) filter (field = 'total_liabilities') as book,
+          max(obs_value) filter (field = 'shares_outstanding') as shares from k where k = 1 group by 1)
+        select p.request_id, p.symbol, round(c * shares, 2) as market_cap, case when net_income > 0 then round(c * shares / net_income, 4) end as price_to_earnings, case when revenue > 0 then round(c * shares / revenue, 4) end as price_to_sales,
+          case when book > 0 then round(c * shares / book, 4) end as price_to_book from p join w on p.request_id = w.request_id""",
+    "diag_scores": _BARS + f""", r as (select *, close / lag(close) over (partition by product_id order by rn) - 1 as ret, avg(close) {_W.format(a=4, b='current row')} as s, avg(close) {_W.format(a=19, b='current row')} as l,
+          avg(volume) {_W.format(a=20, b='1 preceding')} as base, max(rn) over (partition by product_id) as last from bars),
+        t as (select *, stddev_samp(ret) {_W.format(a=19, b='current row')} as vol from r),
+        x as (select product_id, least(greatest(50 + 1000 * (s / l - 1), 0), 100) as trend, least(greatest(50 + 1000 * ret, 0), 100) as momentum,
+          (least(greatest(volume / base / 2, 0), 1) + least(greatest(1 - vol / 0.10, 0), 1)) / 2 as confidence from t where rn = last and rn >= 20 and base <> 0)
+        select product_id, round(trend, 4) as trend, round(momentum, 4) as momentum, round(0.6 * trend + 0.4 * momentum, 4) as score, round(confidence, 4) as confidence from x""",
     "cond_json_parameter": "select event_type, count(*) as n, round(sum(value), 4) as total from events where try_cast(json_extract_string(props, '$.k') as int) = 20 group by 1",
 }

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark.operators import indicators as ind
 from pitspark.operators.bars import INTERVALS, calendar_bucket, fixed_bucket, is_closed, is_valid_bar, merged_intervals, pivot_fields, resample, unpivot_fields
 from pitspark.operators.compare import aligned, pair_statistics, range_statistics
 from pitspark.operators.ordered import index_rows
-from pitspark.operators.pit import as_of, effective_cut, eligible, latest_revision, quality_rank
+from pitspark.operators.pit import as_of, effective_cut, eligible, latest_revision
 from pitspark.session import micros_sql, table
 
 DAY = 86_400_000_000

@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
 
 #: Rows up to which a key list may be broadcast; beyond it the same step runs as a shuffled join.
 BROADCAST_ROWS = 1_000_000
@@ -33,15 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def instants_as_utc(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns as instants, a wall clock time without zone being meant in UTC whatever the session's zone."""
-    out = {}
-    for c in columns:
-        if isinstance(df.schema[c].dataType, TimestampNTZType):
-            out[c] = F.expr(f"timestamp_micros({micros_sql(c)})")
-    return df.withColumns(out) if out else df
-
-
 def micros_sql(column: str) -> str:
     """SQL for the microseconds since the epoch of a timestamp without zone, independent of the session's zone."""
     return (
