@@ -44,6 +44,7 @@ _W = {
         mulheres imigrantes refugiados estrangeiros judeus negros ciganos frauen auslander fluchtlinge juden muslime schwarze zigeuner""",
     "vermin": """vermin subhuman subhumans scum animals rats roaches cockroaches parasites filth trash garbage savages monkeys pigs inferior beasts disease plague
         animales ratas cucarachas basura plaga escoria inferiores bestias parasitos cerdos lixo ratos animais inferiores ungeziefer abschaum tiere ratten untermenschen""",
+    "subhuman": "vermin subhuman subhumans scum cockroaches filth savages escoria inferiores ungeziefer abschaum untermenschen",  # said of people alone
     "harm": "kill murder stab shoot beat smash break strangle burn slit hurt rape cripple hang drown punch choke gut bleed bury crush destroy skin",
     "limb": "teeth jaw face neck throat legs arms skull head bones knees nose ribs fingers",
     "porn": "porn porno pornos xxx milf milfs hentai blowjob blowjobs handjob creampie gangbang cumshot pussy pussies camgirl camgirls deepthroat orgasm dildo onlyfans bukkake",
@@ -69,6 +70,7 @@ _DET = r"(?:(?:a|an|the|such|some|un|una|uno|um|uma|ein|eine|el|la|o|this|that|d
 _GROUP = rf"(?:(?:the|those|these|all|most|los|las|esos|esas|estos|estas|die|diese|os|as|esses) )?(?:{_any('group')}|[a-z]+ people|people of color)"
 _OPEN_GROUP = rf"(?:{_GROUP}|(?:the|those|these|los|las|esos|esas) [a-z]+)"
 _THEM = rf"(?:{_OPEN_GROUP}|they|them|ellos|ellas|[a-z]+)"
+_NAMED = rf"(?:{_OPEN_GROUP}|they|them|ellos|ellas|sie|eles)"
 _YOU = rf"(?:{_any('you')})"
 
 #: kind, weight, pattern over the folded words of a clause, words of which one must be there.
@@ -104,7 +106,8 @@ _RULES = [
     ("harm", 0.8, r"\b(?:te voy a|vamos a|voy a) (?:matarte?|partirte|romperte|reventarte|quemarte|partir|matar|romper|hacer sangrar|reventar)\b|\bvou te (?:matar|quebrar|bater)\b|\bich werde dich (?:toten|schlagen|umbringen)\b", "voy vamos vou werde"),
     ("harm", 0.8, r"^(?:burn|smash|torch|wreck) their (?:shops|houses|homes|churches|mosques|temples|stores|villages)\b|^beat them (?:out|up|all|until)\b|^make them (?:pay in blood|bleed|suffer|disappear)\b|^(?:hang|shoot|kill|gas|deport|exterminate) them(?: all)?\b|\block them all up\b", "burn smash torch wreck beat make hang shoot kill gas deport exterminate lock"),
     # attacks on groups
-    ("hate", 0.9, rf"\b{_THEM} (?:are|re|is|were|son|sao|sind|will always be) (?:all |just |nothing but |only |todos |todas |alle |unos |unas |una |un |una clase de |kinda |{_any('foul')} )*{_any('vermin')}\b", ""),
+    ("hate", 0.9, rf"\b{_THEM} (?:are|re|is|were|son|sao|sind) (?:all |just |nothing but |only |todos |todas |alle |{_any('foul')} )*{_any('subhuman')}\b", ""),
+    ("hate", 0.9, rf"\b{_NAMED} (?:are|re|is|were|son|sao|sind|will always be) (?:all |just |nothing but |only |todos |todas |alle |unos |unas |una |un |una clase de |kinda |{_any('foul')} )*{_any('vermin')}\b", ""),
     ("hate", 0.9, rf"\b{_THEM} (?:viven|se comportan|live|behave|breed|crawl|crawl in|swarm|multiply|leben) (?:como|like|wie) {_any('vermin')}\b", ""),
     ("hate", 0.85, rf"\b{_THEM} (?:are|re|son) (?:born (?:thieves|liars|criminals|killers|idiots)|too stupid by birth|not (?:real )?(?:people|human|humans)|less than human|a disease|an infestation|una enfermedad)\b", "born stupid not less disease infestation enfermedad"),
     ("hate", 0.85, r"\bno son (?:personas|humanos|gente|seres humanos)\b|\bnacen (?:ladrones|criminales|mentirosos|asesinos|inferiores)\b|\btraen enfermedades\b|\bsind keine menschen\b|\bnao sao (?:gente|pessoas|humanos)\b", "personas humanos gente nacen enfermedades menschen pessoas"),
@@ -140,7 +143,7 @@ def _triggers(pattern: str, named: str) -> set[str]:
     found: set[str] = set()
     if _INSULT in pattern:
         found |= set(_LISTED["insult"])
-    for name in ("vermin", "harm", "porn", "bodypart", "nude", "lewd"):
+    for name in ("vermin", "subhuman", "harm", "porn", "bodypart", "nude", "lewd"):
         if _any(name) in pattern:
             found |= set(_W[name])
     if "sexo en vivo" in pattern:
