@@ -113,4 +113,19 @@ SQL = {
             on o.asset_id = r.asset_id and o.available_at <= r.known_at and cast(o.period_end as date) <= r.valuation_date
           where o.frequency = 'annual' and o.quality = 'valid' and o.observation_id is not null and o.field_name is not null) x
         where k = 1""",
+    "p3_series": """with w as (select distinct product_id, g, unnest(range((epoch_us(requested_start) + g * 1000000 - 1) // (g * 1000000), (epoch_us(requested_end) + g * 1000000 - 1) // (g * 1000000))) as cell
+          from (select *, granularity_s::bigint as g from import_summaries where granularity_s > 0) i),
+        k as (select product_id, granularity_s::bigint as g, epoch_us(candle_start) // 1000000 as s, volume from spot_candles where granularity_s > 0 and close_price is not null),
+        c as (select product_id, g, s, max(volume) as amount from k where volume is not null group by 1, 2, 3),
+        d as (select product_id, g, s // g as cell, amount * (g - s % g) / g as a from c union all select product_id, g, s // g + 1, amount * (s % g) / g from c where s % g > 0),
+        t as (select product_id, g, cell, sum(a) as volume from d group by 1, 2, 3), v as (select distinct product_id, g, s // g as cell from k)
+        select w.product_id, (date '1970-01-01' + (w.cell * w.g // 86400)::int)::date as day, w.cell * w.g as begins_s, v.cell is not null as covered, round(t.volume, 6) as volume
+        from w left join t on w.product_id = t.product_id and w.g = t.g and w.cell = t.cell left join v on w.product_id = v.product_id and w.g = v.g and w.cell = v.cell""",
+    "p3_counters": """with r as (select instrument_name as s, creation_timestamp as b, max(volume) as v from perpetual_summaries where instrument_name is not null and creation_timestamp is not null and volume is not null group by 1, 2),
+        i as (select s, lag(b) over w as a, b, case when v < lag(v) over w then v else v - lag(v) over w end as amount from r window w as (partition by s order by b)),
+        c as (select *, unnest(range(a // 3600000, (b - 1) // 3600000 + 1)) as cell from i where a is not null),
+        t as (select s, cell, sum(amount * (least(b, (cell + 1) * 3600000) - greatest(a, cell * 3600000)) / (b - a)) as volume from c group by 1, 2),
+        g as (select s, unnest(range(min(b // 3600000), max(b // 3600000) + 1)) as cell from r group by 1), v as (select distinct s, b // 3600000 as cell from r)
+        select g.s as instrument_name, g.cell * 3600 as begins_s, v.cell is not null as covered, round(t.volume, 4) as volume
+        from g left join t on g.s = t.s and g.cell = t.cell left join v on g.s = v.s and g.cell = v.cell""",
 }
