@@ -9,6 +9,7 @@ from pitspark.operators import indicators as ind
 from pitspark.operators.bars import pivot_fields
 from pitspark.operators.conditions import all_met, fold, outcome
 from pitspark.functions.scalars import clamp
+from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.pit import as_of, latest_revision, quality_name, quality_rank
 from pitspark.operators.ratios import CORE, RATIOS, evaluate, history_statistics, percentile_rank, ratio_sql, year_over_year
 from pitspark.plans.market import _BARS, _RBARS, _W, KEYS, bars
@@ -112,8 +113,11 @@ def fund_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The observations of each series as the last snapshot before the cut had them; ISO dates only."""
-    m = table(spark, sf_dir, "macro_vintages").where(F.col("observation_date").rlike(r"^\d{4}-\d{2}-\d{2}\z") & (F.col("vintage_date") <= F.lit("2020-06-30").cast("date"))).select("series_id", "observation_date", "vintage_date", "vintage_row_id", "raw_value").distinct()
+    """The observations of each series, by the first day of the stated period, as the last snapshot before the cut had them."""
+    known = table(spark, sf_dir, "macro_vintages").where(F.col("vintage_date") <= F.lit("2020-06-30").cast("date"))
+    timed = with_instant(known, "observation_date", "feed", table(spark, sf_dir, "feed_zones"), "ms", period=True).where("ms is not null")
+    day = F.date_format(F.date_from_unix_date(F.floor(F.col("ms") / 86_400_000.0).cast("int")), "yyyy-MM-dd")
+    m = timed.withColumn("observation_date", day).select("series_id", "observation_date", "vintage_date", "vintage_row_id", "raw_value").distinct()
     out = latest_revision(m, ["series_id", "observation_date"], "vintage_date", ["raw_value"], "vintage_row_id")
     return out.select("series_id", "observation_date", "vintage_date", "vintage_row_id", "ambiguous", "revisions", "superseded")
 
