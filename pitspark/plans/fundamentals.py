@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from pitspark.operators import indicators as ind
 from pitspark.operators.bars import pivot_fields
+from pitspark.operators.bitemporal import locate, rectangles
 from pitspark.operators.conditions import all_met, fold, outcome
 from pitspark.functions.scalars import clamp
 from pitspark.operators.normalise_times import with_instant
-from pitspark.operators.pit import as_of, latest_revision, quality_name, quality_rank
+from pitspark.operators.pit import latest_revision, quality_name, quality_rank
 from pitspark.operators.ratios import CORE, RATIOS, evaluate, history_statistics, percentile_rank, ratio_sql, year_over_year
-from pitspark.plans.market import _BARS, _RBARS, _W, KEYS, bars
-from pitspark.plans.series import p1_found
+from pitspark.plans.market import _BARS, _RBARS, _W, DAY, KEYS, bars
+from pitspark.plans.series import bars_by_day, p1_found
 from pitspark.session import micros_sql, table
 
 FIELDS = ["revenue", "net_income", "total_assets", "total_liabilities", "shares_outstanding"]
@@ -145,22 +146,28 @@ def cond_json_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiples at each request from the last bar known by then and the annual facts known by then.
+    """Multiples at each request that has a price: the last valid bar up to the valuation date and the annual facts, both as known by then.
 
-    The symbol of an asset is 'Q' and its short name. A multiple without its facts, or over none above zero, is null.
+    Bars are dated by the New York day of t, and of a day's bars the one known last counts. The symbol of an asset is 'Q'
+    and its short name. A multiple without its facts, or over none above zero, is null.
     """
-    bars_ = table(spark, sf_dir, "daily_bars").where("c > 0 and c >= l and c <= h").select("symbol", F.expr(micros_sql("available_at")).alias("seen"), "c")
-    asked = table(spark, sf_dir, "valuation_requests").where("asset_id is not null and known_at is not null").distinct().select(
-        "request_id", F.concat(F.lit("Q"), F.upper(F.regexp_replace("asset_id", "^equity-", ""))).alias("symbol"), F.expr(micros_sql("known_at")).alias("known")
+    bars_ = bars_by_day(spark, sf_dir).where("bar_id is not null and c > 0 and c >= l and c <= h").select(
+        F.col("symbol").alias("entity"), F.lit("c").alias("attribute"), F.format_string("%020d", "bar_id").alias("fact_id"), (F.col("day") * F.lit(DAY)).alias("period_end"), F.expr(micros_sql("available_at")).alias("known"), "c"
     )
-    priced = as_of(asked, bars_, ["symbol"], "known", "seen", 90 * 86_400_000_000, ["c"]).where("c is not null")
+    asked = table(spark, sf_dir, "valuation_requests").select(
+        F.col("request_id").alias("point_id"), F.concat(F.lit("Q"), F.upper(F.regexp_replace("asset_id", "^equity-", ""))).alias("entity"),
+        F.datediff("valuation_date", F.lit("1970-01-01").cast("date")).alias("at_day"), F.expr(micros_sql("known_at")).alias("at_micros"),
+    ).distinct()
+    closes = bars_.groupBy("fact_id").agg(F.max("c").alias("c"))
+    held = locate(asked, rectangles(bars_)).join(closes, "fact_id")
+    priced = held.join(asked.select("point_id", "entity"), "point_id").select(F.col("point_id").alias("request_id"), F.col("entity").alias("symbol"), "c")
     found = p1_found(spark, sf_dir)
     values = table(spark, sf_dir, "observations").groupBy("observation_id").agg(F.min(F.struct(F.regexp_replace("field_name", r"^fundamental\.", "").alias("field"), "obs_value")).alias("o"))
     facts_ = found.join(values, "observation_id").select("request_id", "o.field", "o.obs_value")
     wide = pivot_fields(facts_, ["request_id"], "field", "obs_value", FIELDS).drop("missing", "duplicated")
     cap = F.col("c") * F.col("shares_outstanding")
     over = lambda x: F.when(x > 0, F.round(F.try_divide(cap, x), 4))
-    return priced.join(wide, "request_id").select(
+    return priced.join(wide, "request_id", "left").select(
         "request_id", "symbol", F.round(cap, 2).alias("market_cap"), over(F.col("net_income")).alias("price_to_earnings"), over(F.col("revenue")).alias("price_to_sales"), over(F.col("total_assets") - F.col("total_liabilities")).alias("price_to_book")
     )
 

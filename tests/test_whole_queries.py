@@ -18,6 +18,10 @@ def day(text):
     return datetime.date.fromisoformat(text)
 
 
+def moment(text):
+    return datetime.datetime.fromisoformat(text)
+
+
 def test_macro_as_of_reads_every_form(spark, tmp_path):
     schema = "vintage_row_id long, series_id string, feed string, vintage_date date, observation_date string, raw_value string"
     rows = [
@@ -40,3 +44,45 @@ def test_macro_as_of_reads_every_form(spark, tmp_path):
         ("B", "2012-03-01", "2013-02-01", "6", "False", "2", "1"),
         ("C", "2012-01-01", "2013-02-01", "9", "False", "2", "1"),
     ]
+
+
+BARS = "bar_id long, symbol string, feed string, t string, o double, h double, l double, c double, v long, n long, vw double, available_at timestamp_ntz"
+
+
+def bar(bar_id, symbol, t, c, seen, v=10, n=1, vw=None):
+    return (bar_id, symbol, "us", t, c, c, c, c, v, n, vw, moment(seen))
+
+
+def test_val_multiples_takes_the_bar_of_the_valuation_date(spark, tmp_path):
+    bars = [
+        bar(1, "QX", "2020-01-02", 10.0, "2020-01-02 22:00"),
+        bar(2, "QX", "01/03/2020", 11.0, "2020-01-20 22:00"),  # late
+        bar(3, "QX", "2020-01-06T05:00:00Z", 12.0, "2020-01-06 22:00"),
+        bar(4, "QX", "2020-01-06", 12.5, "2020-01-10 22:00"),  # another revision of the day
+        bar(5, "QX", "2020-03-02", 99.0, "2020-03-02 22:00"),
+        bar(6, "QX", "n/a", 77.0, "2020-01-05 22:00"),
+        bar(7, "QY", "2020-01-02", 5.0, "2020-01-02 22:00"),
+    ]
+    requests = [
+        (1, "equity-x", day("2020-01-06"), moment("2020-06-01 00:00")),  # after the last bar came
+        (2, "equity-x", day("2020-01-06"), moment("2020-01-08 00:00")),  # before the revision
+        (3, "equity-x", day("2020-01-05"), moment("2020-01-15 00:00")),  # before the late bar
+        (4, "equity-x", day("2020-01-05"), moment("2020-01-25 00:00")),
+        (5, "equity-x", day("2020-04-01"), moment("2020-02-01 00:00")),  # the late bar of an older day does not replace a newer one
+        (6, "equity-x", day("2020-01-01"), moment("2020-06-01 00:00")),  # no bar yet
+        (7, "equity-y", day("2020-01-06"), moment("2020-06-01 00:00")),  # no facts
+    ]
+    facts = [(f"o{k}", "equity-x", f"fundamental.{name}", value, "annual", moment("2019-12-31 00:00"), moment("2020-01-01 00:00"), "valid") for k, (name, value) in enumerate([("shares_outstanding", 100.0), ("net_income", 50.0)])]
+    sf = tables(
+        spark, tmp_path, daily_bars=(BARS, bars), valuation_requests=("request_id long, asset_id string, valuation_date date, known_at timestamp_ntz", requests),
+        observations=("observation_id string, asset_id string, field_name string, obs_value double, frequency string, period_end timestamp_ntz, available_at timestamp_ntz, quality string", facts),
+    )
+    got = fundamentals.val_multiples(spark, sf).select("request_id", "symbol", "market_cap", "price_to_earnings", "price_to_sales").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "QX", 1250.0, 25.0, None),
+        (2, "QX", 1200.0, 24.0, None),
+        (3, "QX", 1000.0, 20.0, None),
+        (4, "QX", 1100.0, 22.0, None),
+        (5, "QX", 1250.0, 25.0, None),
+        (7, "QY", None, None, None),
+    ]
