@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitspark.operators import indicators as ind
 from pitspark.operators.bars import INTERVALS, calendar_bucket, fixed_bucket, is_closed, is_valid_bar, merged_intervals, pivot_fields, resample, unpivot_fields
 from pitspark.operators.compare import aligned, pair_statistics, range_statistics
+from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.ordered import index_rows
 from pitspark.operators.pit import as_of, effective_cut, eligible, latest_revision
 from pitspark.session import micros_sql, table
@@ -211,10 +212,16 @@ def der_spread_bps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean funding by instrument and hour of availability."""
-    hour = F.floor(F.expr(micros_sql("available_at")) / F.lit(3_600_000_000.0)).cast("long")
-    f = table(spark, sf_dir, "funding_history").where("interest_1h is not null and available_at is not null").select("funding_id", "instrument_name", hour.alias("hour"), "interest_1h").distinct()
-    return f.groupBy("instrument_name", "hour").agg(F.avg("interest_1h").alias("rate"))
+    """Mean funding by instrument and hour of the event time.
+
+    A redelivery may state its time more or less finely, so records of one instrument and second are one record: the one
+    available last. Different records of an hour are averaged.
+    """
+    f = table(spark, sf_dir, "funding_history").where("interest_1h is not null and available_at is not null")
+    timed = with_instant(f, "funding_timestamp", "feed", table(spark, sf_dir, "feed_zones")).where("utc_ms is not null")
+    second = F.floor(F.col("utc_ms") / F.lit(1000.0)).cast("long")
+    one = timed.groupBy("instrument_name", second.alias("second")).agg(F.max_by("interest_1h", F.struct("available_at", "funding_id")).alias("rate"))
+    return one.groupBy("instrument_name", F.floor(F.col("second") / F.lit(3600.0)).cast("long").alias("hour")).agg(F.avg("rate").alias("rate"))
 
 
 def der_funding_24h(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import datetime
 
-from pitspark.plans import fundamentals
+from pitspark.plans import fundamentals, market
 
 ZONES = [("us", "America/New_York", False), ("eu", "Europe/Madrid", True)]
 
@@ -86,3 +86,17 @@ def test_val_multiples_takes_the_bar_of_the_valuation_date(spark, tmp_path):
         (5, "QX", 1250.0, 25.0, None),
         (7, "QY", None, None, None),
     ]
+
+
+def test_funding_hours_are_those_of_the_event(spark, tmp_path):
+    start = moment("2025-10-25 00:00")
+    seen = lambda k, late=0: start + datetime.timedelta(hours=k + late, minutes=1)
+    rows = [(k, "A", "eu", str(1761350400000 + 3_600_000 * k + 2093), float(k), seen(k)) for k in range(26)]
+    rows[5] = (5, "A", "eu", rows[5][3], 5.0, seen(5, 30))  # late
+    rows[7] = (7, "A", "eu", "25/10/2025 09:00:02", 7.0, seen(7))  # Madrid, two hours ahead
+    rows += [(107, "A", "us", rows[0][3][:10], 100.0, seen(0, 2)), rows[3], (108, "A", "eu", "n/a", 9.0, seen(3)), (109, "A", "eu", "1761354000000.5", None, seen(1))]
+    sf = tables(spark, tmp_path, funding_history=("funding_id long, instrument_name string, feed string, funding_timestamp string, interest_1h double, available_at timestamp_ntz", rows))
+    rate = [100.0, *map(float, range(1, 26))]
+    first = 1761350400 // 3600
+    want = [("A", first + k, sum(rate[k - 23 : k + 1]), round(sum(rate[k - 23 : k + 1]) / 24, 10)) for k in range(23, 26)]
+    assert sorted(map(tuple, market.der_funding_24h(spark, sf).collect())) == want
