@@ -11,6 +11,7 @@ from pitspark.operators.compare import aligned, pair_statistics, range_statistic
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.ordered import index_rows
 from pitspark.operators.pit import as_of, effective_cut, eligible, latest_revision
+from pitspark.plans.series import bars_by_day
 from pitspark.session import micros_sql, table
 
 DAY = 86_400_000_000
@@ -138,12 +139,11 @@ def bars_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars of daily_bars by the day they became available, with trade counts and mean prices where all have one."""
-    one = table(spark, sf_dir, "daily_bars").where("h >= l and l > 0 and c >= l and c <= h and v >= 0").groupBy("bar_id").agg(
-        F.min(F.struct("symbol", "available_at", "o", "h", "l", "c", "v", "n", "vw")).alias("x")
-    )
-    b = one.select("x.symbol", F.col("x.available_at").alias("at_us"), F.col("x.o").alias("open"), F.col("x.h").alias("high"), F.col("x.l").alias("low"), F.col("x.c").alias("close"), F.col("x.v").alias("volume"), F.col("x.n").alias("trade_count"), F.col("x.vw").alias("vwap"))
-    out = resample(b, ["symbol"], F.trunc("at_us", "month"), "at_us")
+    """Monthly bars of daily_bars by their New York day, with trade counts and mean prices where all have one; of a day's revisions the last."""
+    valid = bars_by_day(spark, sf_dir).where("h >= l and l > 0 and c >= l and c <= h and v >= 0")
+    one = valid.groupBy("symbol", "day").agg(F.max(F.struct("available_at", "bar_id", "o", "h", "l", "c", "v", "n", "vw")).alias("x"))
+    b = one.select("symbol", F.date_from_unix_date("day").alias("at"), F.col("x.o").alias("open"), F.col("x.h").alias("high"), F.col("x.l").alias("low"), F.col("x.c").alias("close"), F.col("x.v").alias("volume"), F.col("x.n").alias("trade_count"), F.col("x.vw").alias("vwap"))
+    out = resample(b, ["symbol"], calendar_bucket(F.col("at"), "month"), "at")
     return out.select("symbol", "bucket", "high", "low", "volume", "members", "trade_count", F.round("vwap", 4).alias("vwap"))
 
 

@@ -100,3 +100,19 @@ def test_funding_hours_are_those_of_the_event(spark, tmp_path):
     first = 1761350400 // 3600
     want = [("A", first + k, sum(rate[k - 23 : k + 1]), round(sum(rate[k - 23 : k + 1]) / 24, 10)) for k in range(23, 26)]
     assert sorted(map(tuple, market.der_funding_24h(spark, sf).collect())) == want
+
+
+def test_bars_weighted_has_the_month_of_the_day(spark, tmp_path):
+    bars = [
+        bar(1, "QX", "2020-01-30", 10.0, "2020-01-30 22:00", 100, 1, 10.0),
+        bar(2, "QX", "01/31/2020", 20.0, "2020-02-03 22:00", 300, 2, 20.0),  # came in the next month
+        bar(3, "QX", "2020-01-31T05:00:00Z", 20.0, "2020-02-05 22:00", 100, 4, 22.0),  # the day again, revised
+        bar(4, "QX", "2020-02-01T04:30:00Z", 90.0, "2020-01-31 10:00", 100, 8, 90.0),  # 31 January in New York, older
+        bar(5, "QX", "2020-02-03", 30.0, "2020-02-03 22:00", 50, 16, None),
+        bar(6, "QX", "n/a", 99.0, "2020-02-04 22:00", 50, 32, 99.0),
+    ]
+    got = market.bars_weighted(spark, tables(spark, tmp_path, daily_bars=(BARS, bars))).collect()
+    assert sorted(tuple(map(str, r)) for r in got) == [
+        ("QX", "2020-01-01", "20.0", "10.0", "200", "2", "5", "16.0"),
+        ("QX", "2020-02-01", "30.0", "30.0", "50", "1", "16", "None"),
+    ]
