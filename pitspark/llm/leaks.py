@@ -1,7 +1,8 @@
 """Held-out passages in a corpus: a broadcast set of their rare n-grams, scanned token windows, verified stretches.
 
 An item's normalised n-grams that few other items share are its anchors; an opening instruction or a stock phrase has
-none. Every text is scanned once against the set of all anchors. Where one is hit, item and text are aligned word by
+none. Where so many of an item's words are shared that they could make a leak by themselves, as a passage with several
+questions, the shared ones are anchors too, however many items share them. Every text is scanned once against the set of all anchors. Where one is hit, item and text are aligned word by
 word around the hits, in at most two stretches, and the share of the item's words found in order decides.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm.textnorm import INVISIBLE, fold_word
+from pitspark.session import materialise
 
 #: Words in an anchor, and how many items may share one where an item has few of its own.
 ANCHOR, SHARED = 3, 3
 #: Share of an item's n-grams that are its own, below which shared ones are taken as well.
 OWN = 0.3
+#: Words without an anchor, fewer than which in an item are an instruction or a phrase and no passage.
+PASSAGE = 20
 #: Different anchors of an item that a text must hit, as a share of the item's words, before they are aligned.
 HITS = 0.03
 #: Share of an item's words that a leak contains at least.
@@ -57,8 +61,16 @@ class Items:
     sizes: list[int]
 
 
-def index_items(rows: list[tuple[int, str | None]]) -> Items:
-    """Items with equal words are one text with several ids; items without words have no text."""
+def _grams(words: Sequence[str]) -> list[tuple[str, ...]]:
+    n = min(ANCHOR, len(words))
+    return [tuple(words[a : a + n]) for a in range(len(words) - n + 1)] if n else []
+
+
+def index_items(rows: list[tuple[int, str | None]], shared: dict[tuple[str, ...], int] | None = None) -> Items:
+    """Items with equal words are one text with several ids; items without words have no text.
+
+    shared: of how many texts an n-gram is, where more texts than these rows count; one that isn't named is of one text.
+    """
     by_text: dict[tuple[str, ...], list[int]] = defaultdict(list)
     for item_id, text in rows:
         if item_id is not None and text and (w := words_of(text)) and item_id not in by_text[tuple(w)]:
@@ -66,16 +78,40 @@ def index_items(rows: list[tuple[int, str | None]]) -> Items:
     texts = list(by_text)
     owners: dict[tuple[str, ...], list[int]] = defaultdict(list)
     for k, w in enumerate(texts):
-        n = min(ANCHOR, len(w))
-        for gram in {w[a : a + n] for a in range(len(w) - n + 1)}:
+        for gram in set(_grams(w)):
             owners[gram].append(k)
-    own = np.bincount([k[0] for k in owners.values() if len(k) == 1], minlength=len(texts))
+    count = {g: len(k) if shared is None else shared.get(g, 1) for g, k in owners.items()}
+    own = np.bincount([k[0] for g, k in owners.items() if count[g] == 1], minlength=len(texts))
     few = [own[k] < OWN * len(w) for k, w in enumerate(texts)]
-    anchors = {g: [x for x in k if len(k) == 1 or few[x]] for g, k in owners.items() if len(k) <= SHARED}
+    plain = lambda g, x: count[g] == 1 or (few[x] and count[g] <= SHARED)
+    passage = [_has_passage([not plain(g, k) for g in _grams(w)], len(w)) for k, w in enumerate(texts)]
+    anchors = {g: [x for x in k if passage[x] or plain(g, x)] for g, k in owners.items()}
     kept = {g: k for g, k in anchors.items() if k}
     return Items([list(w) for w in texts], [by_text[w] for w in texts], kept, sorted({len(g) for g in kept}))
 
 
+def _has_passage(hidden: list[bool], words: int) -> bool:
+    """Whether two stretches of an item with hardly an anchor (hidden: by n-gram, whether it is none) could be a leak, and
+    are more than an instruction."""
+    n = len(hidden)
+
+    def longest(low: int, high: int) -> tuple[int, int]:
+        """The longest part of n-grams low..high with fewer anchors than a text must hit."""
+        best, a, open_ = (low, low), low, 0
+        for b in range(low, high):
+            open_ += not hidden[b]
+            while open_ and open_ >= HITS * words:
+                open_ -= not hidden[a]
+                a += 1
+            best = max(best, (a, b + 1), key=lambda x: x[1] - x[0])
+        return best
+
+    a, b = longest(0, n)
+    more = max((longest(0, a), longest(b, n)), key=lambda x: x[1] - x[0])
+    covered = sum(z - y + words - n for y, z in ((a, b), more) if z > y)
+    return covered >= max(PASSAGE, LEAST * words - 1e-9)
+
+
 def _stretch(item: np.ndarray, text: np.ndarray) -> tuple[list[int], int, int]:
     """Best local alignment: the item's words that are met, and the first and last place in the text."""
     n, m = len(item), len(text)
@@ -114,7 +150,7 @@ def _windows(hits: list[int], length: int, total: int) -> list[tuple[int, int]]:
 
 def find_leaks(text: str, items: Items, least: float = LEAST) -> Iterator[tuple[int, float, list[tuple[int, int]]]]:
     """(index of the item text, share of its words, character spans) for the items that the text contains."""
-    words, places = words_of(text), None
+    words, places, present = words_of(text), None, None
     hits: dict[int, list[int]] = defaultdict(list)
     different: dict[int, set] = defaultdict(set)
     for n in items.sizes:
@@ -126,6 +162,9 @@ def find_leaks(text: str, items: Items, least: float = LEAST) -> Iterator[tuple[
         item = items.words[k]
         if len(different[k]) < HITS * len(item):
             continue
+        present = set(words) if present is None else present
+        if sum(w in present for w in item) < least * len(item) - 1e-9:  # no alignment can meet more
+            continue
         code = {w: c for c, w in enumerate(dict.fromkeys(item))}
         a_codes = np.array([code[w] for w in item], dtype=np.int32)
         best: list[tuple[int, list[int], int, int]] = []
@@ -147,6 +186,18 @@ def find_leaks(text: str, items: Items, least: float = LEAST) -> Iterator[tuple[
             yield k, found / len(item), [(places[x[2]][0], places[x[3]][1]) for x in ([one, two] if two else [one])]
 
 
+def _with_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(words=[" ".join(words_of(t)) for t in batch["text"]])
+
+
+def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different n-grams of each text, with its pass."""
+    for batch in batches:
+        out = [(part, " ".join(g)) for part, words in zip(batch["part"], batch["words"], strict=True) for g in set(_grams(words.split()))]
+        yield pd.DataFrame(out, columns=["part", "gram"])
+
+
 def leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, share, spans) for every document (doc_id, text) that contains ``least`` of an item's words (item_id,
     text) in order, in one or two stretches.
@@ -159,11 +210,20 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     schema = "doc_id long, item_id long, share double, spans array<struct<begin:int,stop:int>>"
     clean = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     passes = -(-clean.count() // ITEMS_AT_ONCE)
+    shared = None
+    if passes > 1:  # how many texts own an n-gram is counted over all items; equal texts are in one pass
+        clean = clean.mapInPandas(_with_words, "item_id long, text string, words string").withColumn("part", F.pmod(F.xxhash64("words"), F.lit(passes)).cast("int"))
+        grams = clean.select("part", "words").distinct().mapInPandas(_gram_rows, "part int, gram string")
+        counts = grams.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+        shared = materialise(counts.where("n > 1"))
     own = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     found = None
     for part in range(max(1, passes)):
-        rows = clean if passes <= 1 else clean.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == part)
-        held = documents.sparkSession.sparkContext.broadcast(index_items([(r[0], r[1]) for r in rows.collect()]))
+        rows, known_counts = clean, None
+        if shared is not None:
+            rows = clean.where(F.col("part") == part).select("item_id", "text")
+            known_counts = {tuple(r.gram.split(" ")): r.n for r in shared.where(F.array_contains("parts", part)).select("gram", "n").collect()}
+        held = documents.sparkSession.sparkContext.broadcast(index_items([(r[0], r[1]) for r in rows.collect()], known_counts))
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             known = held.value
