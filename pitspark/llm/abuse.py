@@ -177,7 +177,8 @@ _MASKED = re.compile(r"[a-z@$*#!%&0-9]*(?:[a-z][@$*#%&0-9]|[@$*][a-z]{2}|[a-z]![
 _TRIPLE = re.compile(r"([a-z])\1\1")
 _STRETCHED = re.compile(r"\b\w*?([a-z])\1\1\w*")
 _RUN = re.compile(r"(.)\1+")
-_CLAUSE = re.compile(r"[.!?;\n\r¡¿]+(?=\s|$)|[\n\r…]+")
+#: A line break ends a clause after closing punctuation or as a blank line; else the line is only wrapped.
+_CLAUSE = re.compile(r"[.!?;¡¿]+(?=\s|$)|…+|(?<=[:\"'”’»)\]])[^\S\n\r]*[\n\r]+|[^\S\n\r]*(?:\r\n|\r(?!\n)|\n)(?:[^\S\n\r]*(?:\r\n|\r(?!\n)|\n))+")
 _TOKEN = re.compile(r"[a-z0-9]+(?:'[a-z]+)?")
 _LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il"}
 
@@ -199,8 +200,13 @@ _COLLAPSED = {_RUN.sub(r"\1", w): w for w in reversed(_KNOWN)}
 def _unmask(token: str) -> str:
     """The lexicon word that a token with masked or replaced letters stands for, else the token."""
     letters = sum(c.isalpha() for c in token)
-    if letters < 2 or len(token) < 4 or letters * 10 < len(token) * 3:
+    if len(token) < 4:
         return token
+    if letters < 2 or letters * 10 < len(token) * 3:  # too few letters to guess the rest: every sign must stand for one
+        if not letters or not all(c.isalpha() or c in _LEET for c in token):
+            return token
+        strict = re.compile("".join(c if c.isalpha() else f"[{_LEET[c]}]" for c in token))
+        return next((w for w in _SIZES.get(len(token), ()) if strict.fullmatch(w)), token)
     pattern = re.compile("".join(c if c.isalpha() else f"[{_LEET[c]}]" if c in _LEET and c.isdigit() else "[a-z]" for c in token))
     for word in _SIZES.get(len(token), ()):
         if pattern.fullmatch(word):
