@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pitspark.functions.scalars import canonical_json, checksum, clamp, day_bounds, isin_is_valid, name_key, number_or_null, pad_cik, uuid5
 from pitspark.operators.bars import resample
 from pitspark.operators.pit import require
+from pitspark.operators.shred import shred, table_of
 from pitspark.plans.market import _BARS, _calendar, revised
-from pitspark.sources.landed import company_facts, filing_index, verified, volatility_points
+from pitspark.sources.landed import verified
 from pitspark.sources.stores import broken_lineage
 from pitspark.session import micros_sql, table
 
@@ -91,19 +92,21 @@ def join_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_volatility_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "raw_records").where("source_id = 'deribit-dvol'").select("record_id", "payload").distinct()
-    return volatility_points(r).select("record_id", "position", F.col("epoch_ms").cast("long").alias("epoch_ms"), "open", "close")
+    r = table(spark, sf_dir, "raw_records").where("source_id = 'deribit-dvol'").select("record_id", "payload")
+    return table_of(shred(r), "point").select("record_id", F.col("item_no").alias("position"), "epoch_ms", "open", "close")
 
 
 def src_filing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "raw_records").where("source_id = 'sec-submissions'").select("record_id", "payload").distinct()
-    return filing_index(r).select("record_id", "position", F.col("accessionNumber").alias("accession"), F.col("filingDate").alias("filed"), "form")
+    """Filings with an accession number; empty texts are null."""
+    r = table(spark, sf_dir, "raw_records").where("source_id = 'sec-submissions'").select("record_id", "payload")
+    own = lambda c: F.nullif(F.col(c), F.lit(""))
+    return table_of(shred(r), "filing").select("record_id", F.col("item_no").alias("position"), F.col("accessionNumber").alias("accession"), own("filingDate").alias("filed"), own("form").alias("form"))
 
 
 def src_company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of documents whose units are all lists; odd forms are left to the visitor of p5."""
-    r = table(spark, sf_dir, "raw_records").where("source_id = 'sec-companyfacts'").select("record_id", "payload").distinct()
-    return company_facts(r).select("record_id", "taxonomy", "tag", "unit", "position", "val", "accn")
+    """Facts of all readable documents, also of those whose body is JSON text or whose unit holds one fact in place of a list."""
+    r = table(spark, sf_dir, "raw_records").where("source_id = 'sec-companyfacts'").select("record_id", "payload")
+    return table_of(shred(r), "fact").select("record_id", F.col("level1").alias("taxonomy"), F.col("level2").alias("tag"), F.col("level3").alias("unit"), F.col("item_no").alias("position"), "val", "accn")
 
 
 def src_verified(spark: SparkSession, sf_dir: str) -> DataFrame:

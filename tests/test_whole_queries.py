@@ -1,8 +1,9 @@
 """Queries over small tables of the test's own, where a plainer reading would give fewer or other rows."""
 
 import datetime
+import json
 
-from pitspark.plans import fundamentals, market
+from pitspark.plans import basics, fundamentals, market
 
 ZONES = [("us", "America/New_York", False), ("eu", "Europe/Madrid", True)]
 
@@ -116,3 +117,33 @@ def test_bars_weighted_has_the_month_of_the_day(spark, tmp_path):
         ("QX", "2020-01-01", "20.0", "10.0", "200", "2", "5", "16.0"),
         ("QX", "2020-02-01", "30.0", "30.0", "50", "1", "16", "None"),
     ]
+
+
+def test_company_facts_of_odd_documents(spark, tmp_path):
+    facts = lambda unit: {"facts": {"us-gaap": {"Assets": {"units": {"USD": unit}}}}}
+    one = {"val": 1.5, "accn": "a"}
+    rows = [
+        ("r1", "sec-companyfacts", json.dumps({"body": facts([None, one])})),
+        ("r2", "sec-companyfacts", json.dumps({"body": json.dumps(facts([one]))})),  # the body is JSON text
+        ("r3", "sec-companyfacts", json.dumps({"body": facts(one)})),  # one fact in place of a list
+        ("r3", "sec-companyfacts", json.dumps({"body": facts(one)})),
+        ("r4", "sec-companyfacts", "{"),
+    ]
+    sf = tables(spark, tmp_path, raw_records=("record_id string, source_id string, payload string", rows))
+    assert sorted(map(tuple, basics.src_company_facts(spark, sf).collect())) == [(r, "us-gaap", "Assets", "USD", n, 1.5, "a") for r, n in (("r1", 1), ("r2", 0), ("r3", 0))]
+
+
+def test_filings_and_points_of_odd_documents(spark, tmp_path):
+    recent = {"filings": {"recent": {"accessionNumber": ["x", "y"], "filingDate": ["2020-01-02", ""], "form": ["8-K", "4"]}}}
+    data = {"data": [[1000, 1.0, 2.0, 0.5, 1.5], None, [2000, 1.5, 2.0, 1.0, 1.0]]}
+    rows = [
+        ("s1", "sec-submissions", json.dumps({"body": recent})),
+        ("s2", "sec-submissions", json.dumps({"body": json.dumps(recent)})),
+        ("v1", "deribit-dvol", json.dumps({"result": data})),
+        ("v2", "deribit-dvol", json.dumps({"result": json.dumps(data)})),
+    ]
+    sf = tables(spark, tmp_path, raw_records=("record_id string, source_id string, payload string", rows))
+    got = sorted(map(tuple, basics.src_filing_index(spark, sf).collect()))
+    assert got == [row for r in ("s1", "s2") for row in ((r, 0, "x", "2020-01-02", "8-K"), (r, 1, "y", None, "4"))]
+    got = sorted(map(tuple, basics.src_volatility_points(spark, sf).collect()))
+    assert got == [row for r in ("v1", "v2") for row in ((r, 0, 1000, 1.0, 1.5), (r, 2, 2000, 1.5, 1.0))]
