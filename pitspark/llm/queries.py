@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark.llm.abuse import flagged, rates, scores
-from pitspark.llm.encode import encode_corpus
+from pitspark.llm.encode import decode_corpus, encode_corpus
 from pitspark.llm.leaks import leaks, without_leaks
 from pitspark.llm.nearest import nearest_in_time
 from pitspark.operators.normalise_times import with_instant
@@ -38,6 +38,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document decoded from its ids: characters, bytes and a digest of the text that comes back."""
+    text = decode_corpus(p8_ids(spark, sf_dir))
+    return text.select("doc_id", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -65,5 +71,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
-SQL: dict[str, str] = {}
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
+SQL: dict[str, str] = {
+    "p8_round_trip": "select doc_id, length(t) as chars, strlen(t) as bytes, sha256(t) as digest from (select distinct doc_id, coalesce(text, '') as t from documents where doc_id is not null) d",
+}
