@@ -1,17 +1,21 @@
-"""Held-out passages in a corpus: a broadcast set of their rare n-grams, scanned token windows, verified stretches.
-
-An item's normalised n-grams that few other items share are its anchors; an opening instruction or a stock phrase has
-none. Where so many of an item's words are shared that they could make a leak by themselves, as a passage with several
-questions, the shared ones are anchors too, however many items share them. Every text is scanned once against the set of all anchors. Where one is hit, item and text are aligned word by
-word around the hits, in at most two stretches, and the share of the item's words found in order decides.
+"""Held-out passages in a corpus: a broadcast set of their n-grams, scanned token windows, verified stretches.
+
+An item's normalised n-grams (three neighbouring words, or three of four with one left open) that few other items share
+are its anchors; an opening instruction or a stock phrase has none. Where so many of an item's words are shared that they
+could make a leak by themselves, as a passage with several questions, all of its n-grams are anchors, however many items
+share them. How many items share an n-gram is counted over all items. Every text is scanned once against the set of all
+anchors; n-grams with the same owners are one class, so that many items with one passage cost as much as one until they
+are verified. Where enough anchors of an item are hit, item and text are aligned word by word in bands around the hits,
+in at most two stretches, and the share of the item's words found in order decides.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -19,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm.textnorm import INVISIBLE, fold_word
-from pitspark.session import materialise
 
 #: Words in an anchor, and how many items may share one where an item has few of its own.
 ANCHOR, SHARED = 3, 3
@@ -35,11 +38,15 @@ LEAST = 0.4
 EQUAL, OTHER, GAP = 1.0, -1.5, -1.0
 #: A stretch shorter than this many words is a common phrase.
 LEAST_WORDS = 5
-#: Items in one broadcast set; more are worked on in several passes over the corpus.
-ITEMS_AT_ONCE = 20_000
+#: Words that may be put in between before a stretch counts as two; shorter items bear half their length.
+MOST_GAP = 1_000
+#: Items and characters of one broadcast set; beyond either the n-grams are joined by shuffling, with the same result.
+ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 40_000_000
 
 _WORD = re.compile(rf"</?[a-zA-Z][^<>]{{0,60}}>|([\w{INVISIBLE}̀-ͯ]+(?:['’\-,.][\w{INVISIBLE}̀-ͯ]+)*)")
 
+Gram = tuple[str | None, ...]
+
 
 def words_of(text: str) -> list[str]:
     """Folded words. Tags and punctuation are no words, marks inside a word join it."""
@@ -51,43 +58,29 @@ def places_of(text: str) -> list[tuple[int, int]]:
     return [m.span(1) for m in _WORD.finditer(text) if m[1] and fold_word(m[1])]
 
 
-@dataclass(frozen=True)
-class Items:
-    """What is broadcast: each distinct item text's words and ids, and the anchors with the texts they belong to."""
+def _grams(words: Sequence[str], sizes: Sequence[int] = (ANCHOR,)) -> Iterator[tuple[int, Gram]]:
+    """Places and n-grams: neighbours of each size, and of the full size also three words of four."""
+    for n in sizes:
+        yield from enumerate(zip(*(words[k:] for k in range(n)), strict=False))
+    if ANCHOR in sizes:
+        yield from enumerate(zip(words, words[1:], repeat(None), words[3:], strict=False))
 
-    words: list[list[str]]
-    ids: list[list[int]]
-    anchors: dict[tuple[str, ...], list[int]]
-    sizes: list[int]
 
+def _own_grams(words: Sequence[str]) -> list[tuple[int, Gram]]:
+    """All n-grams of an item; one of fewer words than an anchor is a single n-gram."""
+    return list(_grams(words, (min(ANCHOR, len(words)),))) if words else []
 
-def _grams(words: Sequence[str]) -> list[tuple[str, ...]]:
-    n = min(ANCHOR, len(words))
-    return [tuple(words[a : a + n]) for a in range(len(words) - n + 1)] if n else []
 
-
-def index_items(rows: list[tuple[int, str | None]], shared: dict[tuple[str, ...], int] | None = None) -> Items:
-    """Items with equal words are one text with several ids; items without words have no text.
-
-    shared: of how many texts an n-gram is, where more texts than these rows count; one that isn't named is of one text.
-    """
-    by_text: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for item_id, text in rows:
-        if item_id is not None and text and (w := words_of(text)) and item_id not in by_text[tuple(w)]:
-            by_text[tuple(w)].append(item_id)
-    texts = list(by_text)
-    owners: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for k, w in enumerate(texts):
-        for gram in set(_grams(w)):
-            owners[gram].append(k)
-    count = {g: len(k) if shared is None else shared.get(g, 1) for g, k in owners.items()}
-    own = np.bincount([k[0] for g, k in owners.items() if count[g] == 1], minlength=len(texts))
-    few = [own[k] < OWN * len(w) for k, w in enumerate(texts)]
-    plain = lambda g, x: count[g] == 1 or (few[x] and count[g] <= SHARED)
-    passage = [_has_passage([not plain(g, k) for g in _grams(w)], len(w)) for k, w in enumerate(texts)]
-    anchors = {g: [x for x in k if passage[x] or plain(g, x)] for g, k in owners.items()}
-    kept = {g: k for g, k in anchors.items() if k}
-    return Items([list(w) for w in texts], [by_text[w] for w in texts], kept, sorted({len(g) for g in kept}))
+def anchors_of(words: Sequence[str], owners: Mapping[Gram, int]) -> set[Gram]:
+    """The n-grams of an item text by which it is looked for; owners: how many item texts have an n-gram (else one)."""
+    grams = _own_grams(words)
+    count = [owners.get(g, 1) for _, g in grams]
+    neighbours = max(0, len(words) - ANCHOR + 1) or len(grams)
+    few = sum(n == 1 for n in count[:neighbours]) < OWN * len(words)
+    plain = [n == 1 or (few and n <= SHARED) for n in count]
+    if _has_passage([not p for p in plain[:neighbours]], len(words)):
+        return {g for _, g in grams}
+    return {g for (_, g), p in zip(grams, plain, strict=True) if p}
 
 
 def _has_passage(hidden: list[bool], words: int) -> bool:
@@ -112,90 +105,269 @@ def _has_passage(hidden: list[bool], words: int) -> bool:
     return covered >= max(PASSAGE, LEAST * words - 1e-9)
 
 
-def _stretch(item: np.ndarray, text: np.ndarray) -> tuple[list[int], int, int]:
-    """Best local alignment: the item's words that are met, and the first and last place in the text."""
-    n, m = len(item), len(text)
-    h = np.zeros((n + 1, m + 1), dtype=np.float32)
-    score = np.where(item[:, None] == text[None, :], np.float32(EQUAL), np.float32(OTHER))
-    slope = np.arange(m, dtype=np.float32) * np.float32(-GAP)
-    for k in range(1, n + 1):
-        row = np.maximum(np.maximum(h[k - 1, :-1] + score[k - 1], h[k - 1, 1:] + np.float32(GAP)), 0)
-        h[k, 1:] = np.maximum(row, np.maximum.accumulate(row + slope) - slope)
-    a, b = np.unravel_index(int(h.argmax()), h.shape)
-    met, first, last = [], b, b - 1
-    while a > 0 and b > 0 and h[a, b] > 1e-4:
-        if abs(h[a, b] - h[a - 1, b - 1] - score[a - 1, b - 1]) < 1e-3:
-            if score[a - 1, b - 1] > 0:
-                met.append(int(a - 1))
-                first = b - 1
-            a, b = a - 1, b - 1
-        elif abs(h[a, b] - h[a - 1, b] - GAP) < 1e-3:
-            a -= 1
-        else:
-            b -= 1
-    return met[::-1], int(first), int(last)
+@dataclass(frozen=True)
+class Items:
+    """What is broadcast: each distinct item text's words and ids, the class of each anchor, and the texts of each class."""
 
+    words: list[list[str]]
+    ids: list[list[int]]
+    classes: dict[Gram, int]
+    owners: list[tuple[int, ...]]
+    sizes: list[int]
 
-def _windows(hits: list[int], length: int, total: int) -> list[tuple[int, int]]:
-    """Parts of the text within an item's length of a hit, merged."""
-    out: list[list[int]] = []
-    for h in sorted(hits):
-        a, b = max(0, h - length), min(total, h + length + ANCHOR)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+
+def index_items(rows: list[tuple[int, str | None]]) -> Items:
+    """Items with equal words are one text with several ids; items without words have no text."""
+    by_text: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for item_id, text in rows:
+        if item_id is not None and text and (w := words_of(text)) and item_id not in by_text[tuple(w)]:
+            by_text[tuple(w)].append(item_id)
+    texts = list(by_text)
+    count: dict[Gram, int] = defaultdict(int)
+    for w in texts:
+        for g in {g for _, g in _own_grams(w)}:
+            count[g] += 1
+    held: dict[Gram, list[int]] = defaultdict(list)
+    for k, w in enumerate(texts):
+        for g in anchors_of(w, count):
+            held[g].append(k)
+    numbers: dict[tuple[int, ...], int] = {}
+    classes = {g: numbers.setdefault(tuple(k), len(numbers)) for g, k in held.items()}
+    return Items([list(w) for w in texts], [by_text[w] for w in texts], classes, list(numbers), sorted({len(g) for g in held} & {1, 2, ANCHOR}))
+
+
+def _stretch(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[list[int], int, int]:
+    """Best local alignment with text place minus item place in low..high: the item's words that are met, and the first
+    and last place in the text. Kept is one score for each cell of the band, raised along the row by what gaps cost, so
+    that a gap in the row is a running maximum."""
+    n, wide = len(item), high - low + 1
+    padded = np.full(n + wide, -9, dtype=np.int32)  # padded[x] is text[low + x]
+    a, b = max(0, low), min(len(text), low + n + wide)
+    if a < b:
+        padded[a - low : b - low] = text[a:b]
+    equal = np.lib.stride_tricks.sliding_window_view(padded, wide)[:n] == item[:, None]
+    raised = np.arange(wide + 1, dtype=np.float32) * np.float32(-GAP)  # a score of zero
+    score = np.empty((n + 1, wide + 1), dtype=np.float32)
+    score[0], score[:, wide] = raised, raised[wide]
+    adds, up, floor = np.array([OTHER, EQUAL], dtype=np.float32), np.empty(wide, dtype=np.float32), raised[:wide]
+    for k in range(n):
+        before, now = score[k], score[k + 1, :wide]
+        np.add(before[:wide], adds[equal[k].view(np.uint8)], out=now)
+        np.add(before[1:], np.float32(2 * GAP), out=up)
+        np.maximum(now, up, out=now)
+        np.maximum(now, floor, out=now)
+        np.maximum.accumulate(now, out=now)
+    score -= raised
+    k, c = divmod(int(score[:, :wide].argmax()), wide)
+    met, last, first = [], k - 1 + c + low, k - 1 + c + low
+    while k > 0 and 0 <= c < wide and (h := score[k, c]) > 0:
+        same = equal[k - 1, c]
+        if h == score[k - 1, c] + (EQUAL if same else OTHER):
+            k -= 1
+            if same:
+                met.append(k)
+                first = k + c + low
+        elif h == score[k - 1, c + 1] + GAP:
+            k, c = k - 1, c + 1
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            c -= 1
+    return met[::-1], first, last
+
+
+def _bands(diagonals: list[tuple[int, Gram]], pad: int) -> list[tuple[int, int]]:
+    """Diagonals (with the n-gram that lies on them) within ``pad`` of each other as bands, cut where they grow too wide."""
+    out: list[tuple[int, int]] = []
+    own: list[tuple[int, Gram]] = []
+
+    def close() -> None:
+        if len({g for _, g in own}) > 1 or len(diagonals) == 1:
+            for a in range(own[0][0], own[-1][0] + 1, 4 * pad + 1):
+                out.append((a - pad, min(a + 4 * pad, own[-1][0]) + pad))
+
+    for d in sorted(diagonals, key=lambda x: x[0]):
+        if own and d[0] - own[-1][0] > pad:
+            close()
+            own = []
+        own.append(d)
+    if own:
+        close()
+    return out
+
+
+class _Text:
+    """A text's words, and what is found out about it only when it is needed."""
+
+    def __init__(self, text: str, words: list[str] | None = None):
+        self.text, self.words = text, words_of(text) if words is None else words
+        self._places: list[tuple[int, int]] | None = None
+        self._grams: dict[Gram, list[int]] | None = None
+        self._present: set[str] | None = None
+
+    def has(self, item: Sequence[str], least: float) -> bool:
+        """Whether enough of the item's words are there at all, in whatever order."""
+        if self._present is None:
+            self._present = set(self.words)
+        return sum(w in self._present for w in item) >= least * len(item) - 1e-9
+
+    def diagonals(self, item: Sequence[str]) -> list[tuple[int, Gram]]:
+        size = min(ANCHOR, len(item))
+        if self._grams is None or size < ANCHOR:
+            self._grams = defaultdict(list)
+            for at, g in _grams(self.words, sorted({size, ANCHOR})):
+                self._grams[g].append(at)
+        return list({(j - i, g) for i, g in _own_grams(item) for j in self._grams.get(g, ())})
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        if self._places is None:
+            self._places = places_of(self.text)
+        return self._places[first][0], self._places[last][1]
+
+
+def _common(item: list[int], text: list[int]) -> int:
+    """Length of the longest common subsequence, by bits of one number: no alignment meets more words."""
+    at: dict[int, int] = defaultdict(int)
+    for k, c in enumerate(item):
+        at[c] |= 1 << k
+    every = (1 << len(item)) - 1
+    open_ = every
+    for c in text:
+        m = open_ & at[c]
+        open_ = ((open_ + m) | (open_ - m)) & every
+    return len(item) - open_.bit_count()
+
+
+def verify(item: Sequence[str], text: _Text, least: float = LEAST) -> tuple[float, list[tuple[int, int]]] | None:
+    """The share of the item's words that the text has in order, in one or two stretches, and where; None below ``least``."""
+    if not text.has(item, least):
+        return None
+    code = {w: c for c, w in enumerate(dict.fromkeys(item))}
+    there = [code[w] for w in text.words if w in code]
+    if _common([code[w] for w in item], there + there) < least * len(item) - 1e-9:  # twice, as stretches may be swapped
+        return None
+    a_codes = np.array([code[w] for w in item], dtype=np.int32)
+    t_codes = np.array([code.get(w, -1) for w in text.words], dtype=np.int32)
+    bands = _bands(text.diagonals(item), min(MOST_GAP, max(8, len(item) // 2)))
+    order = lambda x: (-len(x[0]), x[1])
+    one = min((_stretch(a_codes, t_codes, a, b) for a, b in bands), key=order, default=([], 0, 0))
+    if len(one[0]) < min(LEAST_WORDS, len(item)) or 2 * len(one[0]) < least * len(item) - 1e-9:  # the second is no longer
+        return None
+    # a second stretch, of other words of the item and the text
+    rest, other = a_codes.copy(), t_codes.copy()
+    rest[one[0][0] : one[0][-1] + 1], other[one[1] : one[2] + 1] = -2, -3
+    two = min((_stretch(rest, other, a, b) for a, b in bands), key=order, default=([], 0, 0))
+    both = [one, two] if len(two[0]) >= LEAST_WORDS and (two[0][0] > one[0][-1] or two[0][-1] < one[0][0]) else [one]
+    found = sum(len(x[0]) for x in both)
+    if found < least * len(item) - 1e-9:
+        return None
+    return found / len(item), [text.span(x[1], x[2]) for x in both]
 
 
 def find_leaks(text: str, items: Items, least: float = LEAST) -> Iterator[tuple[int, float, list[tuple[int, int]]]]:
     """(index of the item text, share of its words, character spans) for the items that the text contains."""
-    words, places, present = words_of(text), None, None
-    hits: dict[int, list[int]] = defaultdict(list)
-    different: dict[int, set] = defaultdict(set)
-    for n in items.sizes:
-        for at, gram in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
-            for k in items.anchors.get(gram, ()):
-                hits[k].append(at)
-                different[k].add(gram)
-    for k, at in hits.items():
-        item = items.words[k]
-        if len(different[k]) < HITS * len(item):
-            continue
-        present = set(words) if present is None else present
-        if sum(w in present for w in item) < least * len(item) - 1e-9:  # no alignment can meet more
-            continue
-        code = {w: c for c, w in enumerate(dict.fromkeys(item))}
-        a_codes = np.array([code[w] for w in item], dtype=np.int32)
-        best: list[tuple[int, list[int], int, int]] = []
-        for a, b in _windows(at, len(item), len(words)):
-            t_codes = np.array([code.get(w, -1) for w in words[a:b]], dtype=np.int32)
-            met, first, last = _stretch(a_codes, t_codes)
-            best.append((len(met), met, a + first, a + last))
-            if met:  # a second stretch, of other words of the item and the text
-                rest, other = a_codes.copy(), t_codes.copy()
-                rest[met[0] : met[-1] + 1], other[first : last + 1] = -2, -3
-                more, f, z = _stretch(rest, other)
-                best.append((len(more), more, a + f, a + z))
-        best.sort(key=lambda x: (-x[0], x[2]))
-        one = best[0]
-        two = next((x for x in best[1:] if x[0] >= LEAST_WORDS and not set(x[1]) & set(one[1]) and (x[1][0] > one[1][-1] or x[1][-1] < one[1][0])), None)
-        found = one[0] + (two[0] if two else 0)
-        if one[0] >= min(LEAST_WORDS, len(item)) and found >= least * len(item) - 1e-9:
-            places = places or places_of(text)
-            yield k, found / len(item), [(places[x[2]][0], places[x[3]][1]) for x in ([one, two] if two else [one])]
-
-
-def _with_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(words=[" ".join(words_of(t)) for t in batch["text"]])
-
-
-def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The different n-grams of each text, with its pass."""
-    for batch in batches:
-        out = [(part, " ".join(g)) for part, words in zip(batch["part"], batch["words"], strict=True) for g in set(_grams(words.split()))]
-        yield pd.DataFrame(out, columns=["part", "gram"])
+    own = _Text(text)
+    hit: dict[int, set[Gram]] = defaultdict(set)
+    get = items.classes.get
+    words = own.words
+    for grams in [zip(*(words[k:] for k in range(n)), strict=False) for n in items.sizes] + [zip(words, words[1:], repeat(None), words[3:], strict=False)]:
+        for gram in grams:
+            if (c := get(gram)) is not None:
+                hit[c].add(gram)
+    different: dict[int, int] = defaultdict(int)
+    for c, grams in hit.items():
+        for k in items.owners[c]:
+            different[k] += len(grams)
+    for k, n in different.items():
+        if n >= HITS * len(items.words[k]) and (found := verify(items.words[k], own, least)):
+            yield k, *found
+
+
+_FOUND = "share double, spans array<struct<begin:int,stop:int>>"
+
+
+def _spans(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"begin": a, "stop": b} for a, b in spans]
+
+
+def _clean(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+
+
+def _held(items: DataFrame) -> Items | None:
+    """The index of all items, or None where they are too many or too long to be broadcast."""
+    clean = _clean(items)
+    n, chars = clean.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    return index_items([(r[0], r[1]) for r in clean.collect()]) if n <= ITEMS_AT_ONCE and chars <= CHARS_AT_ONCE else None
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+
+
+def _scanned(documents: DataFrame, held: Items, least: float) -> DataFrame:
+    """One pass over the corpus against the broadcast index."""
+    broadcast = documents.sparkSession.sparkContext.broadcast(held)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = broadcast.value
+        for batch in batches:
+            out = [
+                (doc_id, item_id, share, _spans(spans))
+                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
+                for k, share, spans in find_leaks(text, known, least)
+                for item_id in known.ids[k]
+            ]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "spans"])
+
+    return _texts(documents).mapInPandas(scan, f"doc_id long, item_id long, {_FOUND}")
+
+
+def _line(gram: Gram) -> str:
+    return " ".join(w or "*" for w in gram)
+
+
+def _joined(documents: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """The same by joins on the n-grams' hashes, for item sets of any size; texts and items meet only as candidates."""
+
+    def worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"item_id": batch["item_id"], "words": [" ".join(words_of(t)) for t in batch["text"]]})
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(key, _line(g)) for key, words in zip(batch["key"], batch["words"], strict=True) for g in {g for _, g in _own_grams(words.split())}]
+            yield pd.DataFrame(out, columns=["key", "gram"])
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, words, shared in zip(batch["key"], batch["words"], batch["shared"], strict=True):
+                own, known = words.split(), {x["gram"]: x["n"] for x in (shared if shared is not None else ())}
+                owners = {g: known[_line(g)] for _, g in _own_grams(own) if _line(g) in known}
+                out += [(key, _line(g), HITS * len(own)) for g in anchors_of(own, owners)]
+            yield pd.DataFrame(out, columns=["key", "gram", "need"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(doc_id, _line(g)) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True) for g in {g for _, g in _grams(words_of(text), (1, 2, ANCHOR))}]
+            yield pd.DataFrame(out, columns=["doc_id", "gram"])
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(doc_id, key, found[0], _spans(found[1])) for doc_id, key, text, words in zip(batch["doc_id"], batch["key"], batch["text"], batch["words"], strict=True) if (found := verify(words.split(), _Text(text), least))]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "key", "share", "spans"])
+
+    members = _clean(items).mapInPandas(worded, "item_id long, words string").where("words <> ''").withColumn("key", F.sha2("words", 256))
+    texts = members.select("key", "words").distinct()
+    own = texts.mapInPandas(grams, "key string, gram string")
+    shared = own.join(own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "n")).alias("shared"))
+    sought = texts.join(shared, "key", "left").mapInPandas(anchors, "key string, gram string, need double").select("key", F.xxhash64("gram").alias("hash"), "need")
+    there = _texts(documents).mapInPandas(read, "doc_id long, gram string").select("doc_id", F.xxhash64("gram").alias("hash"))
+    near = there.join(sought, "hash").groupBy("doc_id", "key").agg(F.count_distinct("hash").alias("n"), F.max("need").alias("need")).where("n >= need")
+    pairs = _texts(documents).join(near.select("doc_id", "key"), "doc_id").join(texts, "key")
+    found = pairs.select("doc_id", "key", "text", "words").mapInPandas(check, f"doc_id long, key string, {_FOUND}")
+    return found.join(members.select("key", "item_id"), "key").select("doc_id", "item_id", "share", "spans")
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -204,57 +376,46 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
 
     Words are compared without case, accents, marks, look-alikes and invisible characters, so that layout doesn't
     matter; altered words cost their share. Null and blank texts contain nothing, repeated rows give no second row,
-    items with the same words are all reported. The held-out set is counted before it is broadcast, and split into
-    several passes beyond ITEMS_AT_ONCE items; the corpus is never shuffled.
+    items with the same words are all reported. The held-out set is counted before it is broadcast; beyond ITEMS_AT_ONCE
+    items or CHARS_AT_ONCE characters texts and items meet by joins. The broadcast way never shuffles the corpus.
     """
-    schema = "doc_id long, item_id long, share double, spans array<struct<begin:int,stop:int>>"
-    clean = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    passes = -(-clean.count() // ITEMS_AT_ONCE)
-    shared = None
-    if passes > 1:  # how many texts own an n-gram is counted over all items; equal texts are in one pass
-        clean = clean.mapInPandas(_with_words, "item_id long, text string, words string").withColumn("part", F.pmod(F.xxhash64("words"), F.lit(passes)).cast("int"))
-        grams = clean.select("part", "words").distinct().mapInPandas(_gram_rows, "part int, gram string")
-        counts = grams.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
-        shared = materialise(counts.where("n > 1"))
-    own = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = None
-    for part in range(max(1, passes)):
-        rows, known_counts = clean, None
-        if shared is not None:
-            rows = clean.where(F.col("part") == part).select("item_id", "text")
-            known_counts = {tuple(r.gram.split(" ")): r.n for r in shared.where(F.array_contains("parts", part)).select("gram", "n").collect()}
-        held = documents.sparkSession.sparkContext.broadcast(index_items([(r[0], r[1]) for r in rows.collect()], known_counts))
-
-        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            known = held.value
-            for batch in batches:
-                out = [
-                    (doc_id, item_id, share, [{"begin": a, "stop": b} for a, b in spans])
-                    for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                    for k, share, spans in find_leaks(text, known, least)
-                    for item_id in known.ids[k]
-                ]
-                if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "spans"])
-
-        one = own.mapInPandas(scan, schema)
-        found = one if found is None else found.unionAll(one)
+    held = _held(items)
+    found = _joined(documents, items, least) if held is None else _scanned(documents, held, least)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "spans")).alias("x")).select("doc_id", "item_id", "x.share", "x.spans")
 
 
-def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents that leak, their leaked spans cut out."""
-    spans = found.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans."""
+    kept, at = [], 0
+    for a, b in sorted(spans):
+        kept.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join([*kept, text[at:]])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, own in zip(batch["text"], batch["spans"], strict=True):
-                kept, at = [], 0
-                for s in own:
-                    kept.append(text[at : max(at, s["begin"])])
-                    at = max(at, s["stop"])
-                out.append("".join([*kept, text[at:]]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": out})
-
-    return documents.select("doc_id", "text").where("text is not null").join(spans, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(cut, "doc_id long, text string")
+
+def without_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, text) of the documents that leak, their leaked spans cut out; one row a document, of differing texts the least.
+
+    Where the items can be broadcast this is one pass over the corpus.
+    """
+    held = _held(items)
+    if held is None:
+        found = _joined(documents, items, least).select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts = [cut_out(text, [(s["begin"], s["stop"]) for s in own]) for text, own in zip(batch["text"], batch["spans"], strict=True)]
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
+
+        rows = _texts(documents).join(found, "doc_id").mapInPandas(cut, "doc_id long, text string")
+    else:
+        broadcast = documents.sparkSession.sparkContext.broadcast(held)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = [(doc_id, cut_out(text, spans)) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True) if (spans := [s for _, _, own in find_leaks(text, broadcast.value, least) for s in own])]
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "text"])
+
+        rows = _texts(documents).mapInPandas(scan, "doc_id long, text string")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))

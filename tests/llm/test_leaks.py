@@ -53,7 +53,7 @@ def test_corpus(spark):
     i = spark.createDataFrame(items, "item_id long, text string")
     out = leaks(d, i)
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(1, 3), (1, 103), (4, 5)} and out.count() == 3
-    cut = {r.doc_id: r.text for r in without_leaks(d, out).collect()}
+    cut = {r.doc_id: r.text for r in without_leaks(d, i).collect()}
     assert cut[1].strip() == "x" and cut[4].strip().endswith("tail") and set(cut) == {1, 4}
     assert leaks(d.limit(0), i).count() == leaks(d, i.limit(0)).count() == 0
 
