@@ -30,8 +30,9 @@ ANCHOR, SHARED = 3, 3
 OWN = 0.3
 #: Words without an anchor, fewer than which in an item are an instruction or a phrase and no passage.
 PASSAGE = 20
-#: Different anchors of an item that a text must hit, as a share of the item's words, before they are aligned.
-HITS = 0.03
+#: Different anchors of an item that a text must hit, as a share of the item's words, before they are aligned; and
+#: neighbours among a stretch's n-grams, as such a share, fewer than which hide it (each brings about one of four words too).
+HITS, OPEN = 0.05, 0.03
 #: Share of an item's words that a leak contains at least.
 LEAST = 0.4
 #: Scores of the alignment: equal words, other words, a word left out.
@@ -89,11 +90,11 @@ def _has_passage(hidden: list[bool], words: int) -> bool:
     n = len(hidden)
 
     def longest(low: int, high: int) -> tuple[int, int]:
-        """The longest part of n-grams low..high with fewer anchors than a text must hit."""
+        """The longest part of n-grams low..high with hardly an anchor."""
         best, a, open_ = (low, low), low, 0
         for b in range(low, high):
             open_ += not hidden[b]
-            while open_ and open_ >= HITS * words:
+            while open_ and open_ >= OPEN * words:
                 open_ -= not hidden[a]
                 a += 1
             best = max(best, (a, b + 1), key=lambda x: x[1] - x[0])
