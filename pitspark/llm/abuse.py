@@ -1,11 +1,10 @@
 """Abusive, hateful or sexual language: a weighted finite-state grammar over clauses.
 
 Spelling comes first: look-alikes, invisible characters, letters spread out, doubled, masked or replaced are brought
-back to the words of the lexicon. Word classes (insults, targets, groups, acts, body parts and so on, in four
-languages) are then composed into rules for whole clauses: an insult needs a target, an attack on a group needs a
-predicate, a sexual word needs an act or a body. Each rule is a regular expression over words and thus a finite-state
-machine with a weight; negation, speaking of oneself and reporting speech lower the weight of what they govern. A
-clause's score is 1 - prod(1 - weight) over the kinds of rules that match it, a text's score that of its worst clause.
+back to the words of the lexicon. ``transducer`` then composes insults, threats, targets, negation and reported speech
+(``abuse_grammar``) and reads each clause as a whole, however long; an insult needs a target, an attack on a group needs a
+predicate, a sexual word needs an act or a body. A clause's score is 1 - prod(1 - weight) over the kinds found in it, a
+text's score that of its worst clause.
 """
 
 from __future__ import annotations
@@ -18,158 +17,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitspark.llm.abuse_grammar import CLASSES
 from pitspark.llm.textnorm import fold
+from pitspark.llm.transducer import REPORTED, Grammar
 
 #: Score from which a text counts as containing such language.
 THRESHOLD = 0.5
-#: A clause of more words is read in overlapping windows of so many.
-WORDS = 80
-#: What remains of a weight under negation, of oneself, and in reported speech.
-NEGATED, ONESELF, REPORTED = 0.2, 0.2, 0.3
-
-_W = {
-    # insults that stand for a person
-    "insult": """idiot idiots moron morons asshole assholes prick pricks dickhead dickheads retard retards imbecile imbeciles scumbag scumbags
-        bastard bastards bitch bitches cunt cunts motherfucker motherfuckers fucker fuckers twat wanker whore slut dumbass jackass dipshit
-        shithead cretin douchebag arsehole loser losers clown scum parasite pig
-        idiota idiotas imbecil imbeciles gilipollas cabron cabrones pendejo pendejos payaso cerdo parasito estupido estupida subnormal capullo
-        puta puto malparido hijueputa huevon boludo pelotudo maricon mamon baboso rata escoria tarado
-        otario babaca burro vagabundo arrombado cuzao desgracado vadia corno palhaco
-        arschloch wichser hurensohn trottel schwein dreckskerl depp vollidiot fotze missgeburt schlampe drecksau penner spast""",
-    "foul": "stupid pathetic worthless useless disgusting brainless braindead greasy filthy spineless dumb ugly miserable fucking bloody damn goddamn rotten dirty little complete total absolute utter old fat inutil asqueroso asquerosa maldito maldita repugnante nojento inutil dumme blode verdammte",
-    "you": "you u ya thou",
-    "yours": "your ur",
-    "group": """women immigrants migrants refugees foreigners jews muslims blacks gays lesbians gypsies arabs asians mexicans africans christians homosexuals
-        transgenders mujeres inmigrantes refugiados extranjeros judios musulmanes negros gitanos arabes homosexuales moros sudacas
-        mulheres imigrantes refugiados estrangeiros judeus negros ciganos frauen auslander fluchtlinge juden muslime schwarze zigeuner""",
-    "vermin": """vermin subhuman subhumans scum animals rats roaches cockroaches parasites filth trash garbage savages monkeys pigs inferior beasts disease plague
-        animales ratas cucarachas basura plaga escoria inferiores bestias parasitos cerdos lixo ratos animais inferiores ungeziefer abschaum tiere ratten untermenschen""",
-    "subhuman": "vermin subhuman subhumans scum cockroaches filth savages escoria inferiores ungeziefer abschaum untermenschen",  # said of people alone
-    "harm": "kill murder stab shoot beat smash break strangle burn slit hurt rape cripple hang drown punch choke gut bleed bury crush destroy skin",
-    "limb": "teeth jaw face neck throat legs arms skull head bones knees nose ribs fingers",
-    "porn": "porn porno pornos xxx milf milfs hentai blowjob blowjobs handjob creampie gangbang cumshot pussy pussies camgirl camgirls deepthroat orgasm dildo onlyfans bukkake",
-    "nude": "naked nude nudes undressed topless stripped desnuda desnudo desnudas desnudos nackt nackte nua nu pelada pelado",
-    "bodypart": "pussy cock cocks tits dick nipples ass arse clit thighs breasts vagina penis panties bragas tetas culo polla cono verga coxas bunda muschi schwanz titten",
-    "pleasure": "panting gasping moaning groaning jadeando gimiendo gemendo stohnend moaned panted gasped",
-    "bed": "bed sofa couch desk table hotel cama mesa escritorio sofa bett",
-    "media": "pics videos clips selfies cams photos fotos videos bilder pictures",
-    "lewd": "nude naked wet dirty xxx uncensored horny sexy desnuda desnudas sucias calientes hot",
-}
-_W = {k: " ".join(v.split()).split(" ") for k, v in _W.items()}
-
-
-def _any(*names: str) -> str:
-    return "(?:" + "|".join(sorted({re.escape(w) for n in names for w in _W[n]}, key=lambda w: (-len(w), w))) + ")"
-
-
-#: Phrases that act as one insult.
-_INSULT = rf"(?:{_any('insult')}|son of a bitch|sons of bitches|piece of (?:shit|crap|garbage|trash|filth)|waste of (?:space|air|oxygen|skin)|hijos? de (?:la gran )?puta|filh[oa] da puta|pedazo de (?:mierda|basura)|stuck scheisse|lump of shit)"
-_FOUL = rf"(?:{_any('foul')} )*"
-_DET = r"(?:(?:a|an|the|such|some|un|una|uno|um|uma|ein|eine|el|la|o|this|that|de) )?"
-#: A group of people: known ones, or a people named with an article or as "X people".
-_GROUP = rf"(?:(?:the|those|these|all|most|los|las|esos|esas|estos|estas|die|diese|os|as|esses) )?(?:{_any('group')}|[a-z]+ people|people of color)"
-_OPEN_GROUP = rf"(?:{_GROUP}|(?:the|those|these|los|las|esos|esas) [a-z]+)"
-_THEM = rf"(?:{_OPEN_GROUP}|they|them|ellos|ellas|[a-z]+)"
-_NAMED = rf"(?:{_OPEN_GROUP}|they|them|ellos|ellas|sie|eles)"
-_YOU = rf"(?:{_any('you')})"
-
-#: kind, weight, pattern over the folded words of a clause, words of which one must be there.
-_RULES = [
-    # insults that are aimed at someone
-    ("insult", 0.9, rf"\b{_YOU} (?:are|re|were|r) (?:just |nothing but |really |such )?{_DET}{_FOUL}{_INSULT}\b", ""),
-    ("insult", 0.9, rf"\b(?:eres|sos|sois|es usted|voce e|tu es|du bist|ihr seid) {_DET}{_FOUL}{_INSULT}\b", ""),
-    ("insult", 0.85, rf"\b(?:what|such) an? {_FOUL}{_INSULT}\b", ""),
-    ("insult", 0.85, rf"\b(?:vaya|menudo|menuda|que|pedazo de|valiente) {_FOUL}{_INSULT}\b(?! (?:hora|dia|fecha))", ""),
-    ("insult", 0.9, rf"\bonly an? {_FOUL}{_INSULT} like {_YOU}\b", ""),
-    ("insult", 0.85, rf"\b(?:run|led|managed|owned|headed|ruled) by (?:a |an |some )?{_FOUL}{_INSULT}\b", ""),
-    ("insult", 0.8, rf"\bhis {_FOUL}(?:friends|cronies) *$", "friends cronies"),
-    ("insult", 0.85, rf"\b{_YOU} {_FOUL}{_INSULT} *$", ""),
-    ("insult", 0.85, rf"^(?:listen|hey|oi|look|shut up|oye|mira|escucha|callate|cierra la boca|cala a boca|halt die fresse|ey) (?:up )?(?:{_YOU} )?{_FOUL}{_INSULT}\b", ""),
-    ("insult", 0.85, rf"^{_FOUL}{_INSULT}(?= (?:vete|ojala|nadie|alguien|no sirves|callate|you|shut|fuck|go|die|i hope|nobody|someone))", ""),
-    ("insult", 0.8, rf"\b{_INSULT} de (?:mierda|puta madre)\b", ""),
-    ("insult", 0.85, r"\bno sirves (?:ni )?para\b", "sirves"),
-    ("insult", 0.9, r"\bshut (?:the|your) (?:fuck|hell|fucking mouth)(?: up)?\b|\bfuck (?:off|you|yourself|your)\b|\bgo fuck\b|\bscrew you\b|\bpiss off\b|\beat shit\b", "fuck fucking screw piss shit"),
-    ("insult", 0.8, r"^(?:just |so |now |and )*go to hell\b|\brot in hell\b|\bgo to hell(?: you| and| with| *$)", "hell"),
-    ("insult", 0.85, r"\b(?:vete|vayase|idos|andate|vai|va) (?:a|pra|para|tomar) ?(?:la |o )?(?:mierda|carajo|infierno|inferno|caralho|puta|no cu)\b|\bque te (?:jodan|follen|den)\b|\bfick dich\b|\bvai se foder\b|\bvete al (?:infierno|carajo|diablo)\b", "mierda carajo infierno inferno caralho jodan follen den dich foder cu diablo puta"),
-    ("insult", 0.8, r"\bcallate\b.*\bmierda\b|\bchoke on (?:your|it|that)\b|\byou deserve to be (?:spat|beaten|shot|hanged|hurt|slapped|whipped)\b|\bcrawl back (?:in|in ?to|under)\b", "mierda choke deserve crawl"),
-    # wishes of death or harm
-    ("harm", 0.85, r"\bnobody (?:would|will) (?:ever )?miss you\b|\bnadie te va a echar de menos\b|\b(?:world|place) would be (?:cleaner|better)(?: off)? without you\b", "miss menos without"),
-    ("harm", 0.9, r"\b(?:i )?hope you (?:lose everything and rot|die|rot|get (?:cancer|shot|hurt)|suffer|burn|choke|starve)\b|\bojala (?:te|se|os) (?:mueras?|pudras?|ahogues?|maten|atropellen)\b|\btomara que (?:voce )?morra\b", "hope ojala tomara"),
-    ("harm", 0.85, r"\b(?:hole|ditch|hell|fire|gutter) and die\b|\b(?:just|go|please) (?:die|kill yourself|hang yourself)\b|\bkill yourself\b|\bkys\b|^die (?:in|you)\b|\bmuerete\b|\bvai morrer\b|\bstirb\b", "die kill hang kys muerete morrer stirb"),
-    ("harm", 0.9, r"\b(?:people|someone|somebody|a thing|things|anyone|one|scum|women|men|types) like (?:you|him|her|them) should (?:not|never|nt) (?:be allowed|be permitted|have been|be able) to\b", "like"),
-    ("harm", 0.9, r"\b(?:parents|mother|father|family|mum|mom) should have (?:\w+ )?(?:drowned|left|thrown|aborted|strangled|killed|swallowed|sold|buried|abandoned) (?:you|him|her)\b", "parents mother father family mum mom"),
-    ("harm", 0.8, r"\bdo us all a favou?r and (?:jump|die|leave|end|go|disappear)\b|^end it already\b|\bend your life\b", "favour favor already life"),
-    ("harm", 0.9, rf"\b(?:i|we|i m|i am|ill|i ll|we ll) (?:will|shall|ll|am going to|m going to|gonna|going to|are going to|swear i will|want to) (?:\w+ )?{_any('harm')} (?:you|your|u|ur|him|her|them|his|their)\b", ""),
-    ("harm", 0.9, r"\b(?:i|we) (?:will|ll|am going to|are going to|gonna) make (?:you|him|her|them) (?:bleed|suffer|pay in blood|scream|beg|regret being born)\b", "bleed suffer pay scream beg regret"),
-    ("harm", 0.9, r"\b(?:i|we) know (?:where|which|what) [a-z ]{0,60}\byou\b.*\b(?:coming|come|bringing|bring|going to|waiting|wait|hurt|hammer|knife|gun)\b", "know"),
-    ("harm", 0.85, rf"\b(?:someone|somebody|we|they) (?:ought to|should|must|needs? to|has to) (?:{_any('harm')}) (?:you|your|him|his|her|them|their)\b|\balguien deberia (?:partirte|romperte|matarte|pegarte|reventarte|quemarte|arrancarte)\b", ""),
-    ("harm", 0.8, r"\b(?:te voy a|vamos a|voy a) (?:matarte?|partirte|romperte|reventarte|quemarte|partir|matar|romper|hacer sangrar|reventar)\b|\bvou te (?:matar|quebrar|bater)\b|\bich werde dich (?:toten|schlagen|umbringen)\b", "voy vamos vou werde"),
-    ("harm", 0.8, r"^(?:burn|smash|torch|wreck) their (?:shops|houses|homes|churches|mosques|temples|stores|villages)\b|^beat them (?:out|up|all|until)\b|^make them (?:pay in blood|bleed|suffer|disappear)\b|^(?:hang|shoot|kill|gas|deport|exterminate) them(?: all)?\b|\block them all up\b", "burn smash torch wreck beat make hang shoot kill gas deport exterminate lock"),
-    # attacks on groups
-    ("hate", 0.9, rf"\b{_THEM} (?:are|re|is|were|son|sao|sind) (?:all |just |nothing but |only |todos |todas |alle |{_any('foul')} )*{_any('subhuman')}\b", ""),
-    ("hate", 0.9, rf"\b{_NAMED} (?:are|re|is|were|son|sao|sind|will always be) (?:all |just |nothing but |only |todos |todas |alle |unos |unas |una |un |una clase de |kinda |{_any('foul')} )*{_any('vermin')}\b", ""),
-    ("hate", 0.9, rf"\b{_THEM} (?:viven|se comportan|live|behave|breed|crawl|crawl in|swarm|multiply|leben) (?:como|like|wie) {_any('vermin')}\b", ""),
-    ("hate", 0.85, rf"\b{_THEM} (?:are|re|son) (?:born (?:thieves|liars|criminals|killers|idiots)|too stupid by birth|not (?:real )?(?:people|human|humans)|less than human|a disease|an infestation|una enfermedad)\b", "born stupid not less disease infestation enfermedad"),
-    ("hate", 0.85, r"\bno son (?:personas|humanos|gente|seres humanos)\b|\bnacen (?:ladrones|criminales|mentirosos|asesinos|inferiores)\b|\btraen enfermedades\b|\bsind keine menschen\b|\bnao sao (?:gente|pessoas|humanos)\b", "personas humanos gente nacen enfermedades menschen pessoas"),
-    ("hate", 0.9, rf"\b(?:do not|don ?t|dont|does not) deserve (?:\w+ )?(?:rights?|votes?|accounts?|jobs?|to live|mercy|homes?|protection|citizenship|a \w+)\b(?:.*\b(?:belong|cages?|camps?|sea|prison|locked)\b)|\bthey (?:all )?belong (?:in|behind|under) (?:\w+ )?(?:cages?|camps?|the sea|bars|the ground|ovens?|zoos?|the gutter|prison)\b", "deserve belong"),
-    ("hate", 0.85, rf"\b{_OPEN_GROUP} (?:\w+ ){{0,4}}should be (?:thrown out|deported|shot|hanged|exterminated|gassed|sterilised|sterilized|locked up|wiped out|drowned|banned from|kept in)\b", "should"),
-    ("hate", 0.85, r"\b(?:habria que|hay que|deberian|hemos de|toca) (?:echarl[oa]s|encerrarl[oa]s|expulsarl[oa]s|matarl[oa]s|quemarl[oa]s|fusilarl[oa]s|exterminarl[oa]s|desaparecer|deportarl[oa]s)\b|\bque se pudran\b", "echarlos echarlas encerrarlos encerrarlas expulsarlos expulsarlas matarlos matarlas quemarlos quemarlas fusilarlos fusilarlas exterminarlos exterminarlas desaparecer deportarlos deportarlas pudran"),
-    ("hate", 0.85, rf"\b(?:never|do not|don ?t) (?:lend|sell|rent|talk|listen|speak|give|trust) (?:\w+ )?(?:to )?{_OPEN_GROUP}\b.*\b(?:are|re) (?:all )?(?:\w+ )?{_any('vermin')}\b", ""),
-    ("hate", 0.85, rf"\b(?:keep|get|throw|kick|drive|chase) {_OPEN_GROUP} (?:off|out of|away from|out) .*\b(?:they are|they re|inferior|thieves|stupid|born|always will be)\b", "keep get throw kick drive chase"),
-    ("hate", 0.85, r"\btheir kind (?:only |just |always |will )?(?:steals?|lies|lie|ruins?|cheats?|destroys?|spreads?|brings?|breeds?|kills?|belongs?)\b|\bsu (?:gente|raza) solo (?:roba|miente)\b", "kind gente raza"),
-    ("hate", 0.9, r"\b(?:once|when|after) we (?:\w+ ){1,4}(?:with|out|of|up|down|rid) .*\bthere (?:will|ll) be none (?:left|of them)\b|\bthere (?:will|ll) be none left in\b", "none"),
-    ("hate", 0.7, rf"\b(?:is|was|are|were) (?:all )?the fault of (?:{_GROUP}|(?:the|those|these) [a-z]+i)\b|\b(?:es|la) culpa (?:es )?de {_GROUP}\b", "fault culpa"),
-    ("hate", 0.85, rf"\b(?:con|a) {_OPEN_GROUP} no se (?:negocia|habla|discute|pacta|escucha|contrata|comparte|come|trabaja)\b", "negocia habla discute pacta escucha contrata comparte come trabaja"),
-    ("hate", 0.9, rf"\bno (?:hay que|se debe|conviene) (?:contratar|ayudar|escuchar|dejar entrar|creer|prestar)(?:les)? a {_OPEN_GROUP}\b.*\b(?:{_any('vermin')}|roban|mienten|ladrones|inferiores)\b", ""),
-    ("hate", 0.85, r"\blive off (?:our|your|the) (?:taxes|money|work|state)\b.*|\bcrawl in like\b", "taxes crawl"),
-    # sexually explicit language
-    ("sexual", 0.9, rf"\b(?:{_any('porn')})\b", ""),
-    ("sexual", 0.9, rf"\b(?:lick|licked|licks|suck|sucked|sucks|fondle|fondled|squeeze|squeezed|stroke|stroked|kiss|kissed|finger|fingered|ride|rode|grab|grabbed|spread|chupar|lamer) (?:my|your|his|her|their|the|big|hard|wet|tu|su|mi) ?(?:\w+ )?{_any('bodypart')}\b|\bsucks? (?:cocks?|dicks?|tits)\b", ""),
-    ("sexual", 0.9, r"\b(?:want|wants|wanna|going|love|ready|need|begging|begs|begged) (?:to )?(?:fuck|be fucked|bang|screw|shag)\b(?! (?:off|up|over))|\bfuck(?:ed|s|ing)? (?:me|her|him|you all night|them) (?:hard|all night|tonight|again|senseless|raw)\b|\b(?:follarte|follarme|follar|cogerte|garchar|foder voce|ficken)\b", "fuck fucked fucking fucks bang screw shag follarte follarme follar cogerte garchar foder ficken"),
-    ("sexual", 0.9, r"\b(?:he|she|they|i) (?:came|finished|cum|cums|spilled|exploded) (?:\w+ )?(?:all over|inside|in|on|over) (?:her|him|me|my|his|them)\b|\bcame all over\b|\b(?:thrust|thrusts|thrusting|pushed|slid|slipped|pounded) (?:\w+ )?(?:deep )?(?:into|inside|in) (?:her|him|me)\b", "came finished cum cums spilled exploded thrust thrusts thrusting pushed slid slipped pounded"),
-    ("sexual", 0.9, r"\bbetween (?:her|his|my|your) (?:legs|thighs)\b|\b(?:rode|took|mounted|straddled) (?:her|him|me) (?:hard|roughly|from behind|slowly)\b|\bbegg?(?:ed|ing) (?:him|her) (?:not to stop|for more|to be taken)\b|\bshe begged (?:for more|him not to stop|to be taken(?: harder)?)\b", "between rode took mounted straddled begged begging"),
-    ("sexual", 0.85, rf"\b{_any('nude')}\b(?: \w+){{0,6}} {_any('bed', 'pleasure')}\b|\b{_any('pleasure')}\b.*\b(?:he|she|lick|licked|her|his)\b.*\b{_any('bodypart')}\b", ""),
-    ("sexual", 0.85, r"\b(?:arranco|quito|saco) la ropa\b|\ble (?:bajo|quito|arranco) (?:las|los) (?:bragas|pantalones|calzones)\b|\bbeso por todo el cuerpo\b|\b(?:jadeando|gimiendo) (?:de placer)?\b.*|\bpuso desnud[oa] sobre\b", "ropa bragas pantalones calzones cuerpo jadeando gimiendo desnuda desnudo"),
-    ("sexual", 0.85, rf"\b(?:{_any('lewd')}) (?:{_any('media')})\b|\b(?:{_any('media')}) (?:{_any('lewd')})\b|\bsexo en vivo\b|\blive sex\b|\bsex (?:chat|cam|cams|videos?|tape|live)\b|\bsin censura\b.*|\bno (?:panties|clothes|limits)\b", ""),
-    ("sexual", 0.85, r"\b(?:do|does|doing) (?:anything|everything) in bed\b|\bhorny (?:\w+ ){0,2}(?:singles|girls|women|wives|boys|men|housewives|students|couples)\b|\bdressed whores\b|\bwhores (?:waiting|near|for)\b|\btonight on cam\b|\bstrip(?:s|ping)? (?:and suck|for you|naked|live)\b|\b(?:esperan?|espero) desnud[oa]s?\b", "bed horny whores cam strip strips stripping desnudas desnudos desnuda desnudo"),
-]
-_LISTED = {"insult": _W["insult"] + ["bitch", "shit", "crap", "garbage", "trash", "filth", "waste", "puta", "mierda"]}
-
-
-def _triggers(pattern: str, named: str) -> set[str]:
-    """Words of which a clause must hold one for a rule to be tried."""
-    if named:
-        return set(named.split())
-    found: set[str] = set()
-    if _INSULT in pattern:
-        found |= set(_LISTED["insult"])
-    for name in ("vermin", "subhuman", "harm", "porn", "bodypart", "nude", "lewd"):
-        if _any(name) in pattern:
-            found |= set(_W[name])
-    if "sexo en vivo" in pattern:
-        found |= {"sexo", "sex", "censura", "panties", "clothes", "limits"} | set(_W["lewd"])
-    if "alguien deberia" in pattern:
-        found |= {"alguien"}
-    return found
-
-
-_COMPILED = [(kind, weight, re.compile(pattern), _triggers(pattern, named)) for kind, weight, pattern, named in _RULES]
-_BY_WORD: dict[str, list[int]] = {}
-for _k, (_, _, _, _words) in enumerate(_COMPILED):
-    for _w in _words:
-        _BY_WORD.setdefault(_w, []).append(_k)
 
 #: Compounds and terms of the trade whose parts only sound rude.
 _HARMLESS = re.compile(
     r"\b(?:naked (?:short|shorts|shorting|call|calls|put|puts|option|options|position|swap)|dirty (?:float|price|bond)|cock-?ups?|dead cat|bear hug|stripped bonds?|strip(?:ped)? (?:coupon|bond)s?|"
     r"breast[- ]cancer|market penetration|kill switch|hostile (?:takeover|bid)|suicide rates?|sex and age|poison pill|puta(?:tive|tively)|descubierto desnudo|dick's|moby dick|essex|sussex|cocktails?|peacocks?|hancock|pig iron|adult[- ]education)\b"
 )
-_REPORT = re.compile(
-    r"\b(?:report on|reports? of|removed a post|complaint|ombudsman|moderator|harassment|hate speech|abusive language|regulator|was accused|were accused|is accused|denied having|study of|survey of|court heard|fined for|banned for|sentenced|investigat\w+|apologi[sz]ed|quoted as|according to|denuncia|informe sobre|moderador|acusad[oa]s?|discurso de odio|beschwerde|denuncia de|reportagem)\b"
-)
-_SELF = re.compile(r"\b(?:i am|i m|im|i was|i feel like|call me|myself|soy|fui|me siento|eu sou|ich bin|my own)(?: \w+){0,3} *$")
-_NEGATION = re.compile(r"\b(?:not|never|no|nor|isn t|aren t|ain t|wasn t|nunca|jamas|nao|nicht|kein|keine)(?: all| every| any| a| an| todos| alle)? *$")
-
 _SPREAD = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-_*])(?:[^\W\d_]\1){2,}[^\W\d_])(?![^\W_])")
 #: What a masked word holds, and the whole of it.
 _MASK = re.compile(r"[a-z][@$*#%&0-9]|[@$*][a-z]{2}|[a-z]![a-z]")
@@ -185,7 +44,7 @@ _LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Words that hidden spellings may stand for.
 _KNOWN = sorted(
     {
-        *(w for k in ("insult", "foul", "vermin", "porn", "nude", "bodypart", "group", "harm", "pleasure") for w in _W[k]),
+        *(w for k in ("INSULT", "MILD", "FOUL", "VERMIN", "PORN", "NUDE", "BODY", "GROUP", "HARM", "PLEASURE") for w in CLASSES[k].split() if len(w) > 2),
         *"shit crap hell fuck fucking fucked puta mierda hijo piece bitch sex sexo whores whore horny panties kill rot die subhuman friends brainless cages camps follarte desnudas censura thieves stupid suck lick strip braindead".split(),
     }
 )
@@ -242,37 +101,16 @@ def plain_words(text: str) -> str:
     return t if not _TRIPLE.search(t) else _STRETCHED.sub(lambda m: _COLLAPSED.get(_RUN.sub(r"\1", m[0]), m[0]), t)
 
 
-def score_clause(clause: str) -> tuple[float, dict[str, float]]:
-    """Score of a clause of folded text, and the weight of each kind."""
-    words = _TOKEN.findall(clause.replace("'", " "))
-    if len(words) > WORDS:  # without punctuation: read through overlapping windows
-        best: tuple[float, dict[str, float]] = (0.0, {})
-        for a in range(0, len(words), WORDS // 2):
-            one = words[a : a + WORDS]
-            if not _BY_WORD.keys().isdisjoint(one):
-                best = max(best, _score_words(one), key=lambda x: x[0])
-        return best
-    return _score_words(words)
+@lru_cache(maxsize=1)
+def grammar() -> Grammar:
+    return Grammar()
 
 
-def _score_words(words: list[str]) -> tuple[float, dict[str, float]]:
-    tried = {k for w in set(words) if w in _BY_WORD for k in _BY_WORD[w]}
-    if not tried:
-        return 0.0, {}
-    line = " ".join(words)
-    reported = _REPORT.search(line) is not None
-    kinds: dict[str, float] = {}
-    for k in sorted(tried):
-        kind, weight, pattern, _ = _COMPILED[k]
-        for m in pattern.finditer(line):
-            w, before = weight, line[: m.start()]
-            if kind == "insult" and (_SELF.search(before) or line[: m.end()].startswith(("i am", "i m ", "soy "))):
-                w *= ONESELF
-            if _NEGATION.search(before) and kind != "harm":
-                w *= NEGATED
-            if reported:
-                w *= REPORTED
-            kinds[kind] = max(kinds.get(kind, 0.0), w)
+def score_clause(clause: str) -> tuple[float, dict[str, float]]:
+    """Score of a clause of folded text, and the weight of each kind."""
+    kinds, reported = grammar().run(_TOKEN.findall(clause.replace("'", " ")))
+    if reported:
+        kinds = {k: w * REPORTED for k, w in kinds.items()}
     rest = 1.0
     for w in kinds.values():
         rest *= 1 - w
@@ -284,10 +122,7 @@ def score_text(text: str | None) -> tuple[float, dict[str, float]]:
     if not text or not text.strip():
         return 0.0, {}
     worst, kinds = 0.0, {}
-    plain = plain_words(text)
-    if _BY_WORD.keys().isdisjoint(_TOKEN.findall(plain)):
-        return worst, kinds
-    for clause in _CLAUSE.split(plain):
+    for clause in _CLAUSE.split(plain_words(text)):
         if clause:
             score, own = score_clause(clause)
             worst = max(worst, score)

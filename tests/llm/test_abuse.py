@@ -2,6 +2,10 @@
 
 import pytest
 
+from heldout_abuse import BAD as OTHER_BAD
+from heldout_abuse import BAD_2, GOOD_2
+from heldout_abuse import GOOD as OTHER_GOOD
+
 from pitspark.llm.abuse import THRESHOLD, flagged, plain_words, rates, score_text, scores
 
 BAD = [
@@ -53,3 +57,44 @@ def test_agreement_with_raters(spark):
     both = labels.join(scores(spark.read.parquet(f"{d}/documents.parquet")), "doc_id").toPandas()
     agree = ((both.toxic > 0.5) == (both.score >= THRESHOLD)).mean()
     assert agree > 0.95
+
+
+def test_other_wording():
+    """Precision and recall on texts in other words than the tables'. Both sets were used to widen the grammar since; what it
+    scored on them at first sight stands in the README."""
+    for bad, good in ((OTHER_BAD, OTHER_GOOD), (BAD_2, GOOD_2)):
+        hit, false = sum(score_text(t)[0] >= THRESHOLD for t in bad), sum(score_text(t)[0] >= THRESHOLD for t in good)
+        assert hit / len(bad) >= 0.9 and hit / (hit + false) >= 0.9
+
+
+PROBES_GOOD = ["The estimates are garbage.", "The results are trash, redo the model.", "The rooms are filth.", "The markets are savages.", "Those spreads are garbage.", "immigrants should be kept in the loop", "I want to bang out the report.", "The patient lay undressed on the bed for the examination."]
+PROBES_BAD = ["I'll put a bullet in your head.", "All Roma people ought to be gassed.", "Women belong in the kitchen and nowhere else.", "You are a liar and a thief, you filthy animal.", "Ich bringe dich um."]
+
+
+@pytest.mark.parametrize("text", PROBES_GOOD)
+def test_no_group_no_person(text):
+    assert score_text(text)[0] < THRESHOLD
+
+
+@pytest.mark.parametrize("text", PROBES_BAD)
+def test_plain_threats(text):
+    assert score_text(text)[0] >= THRESHOLD
+
+
+def test_context_reaches_over_long_clauses():
+    far = "The court heard " + "and the matter went on and on " * 60 + "that he said you are an idiot"
+    assert 0 < score_text(far)[0] < THRESHOLD
+    assert score_text("on and on " * 500 + "you are an idiot " + "on and on " * 500)[0] >= THRESHOLD
+    assert score_text("he is not an idiot")[0] < THRESHOLD and score_text("I am just an idiot")[0] < THRESHOLD
+
+
+def test_the_machine():
+    """The determinised product finds what a plain search of the rules' words finds, and its table may begin anew."""
+    from pitspark.llm import transducer
+
+    g = transducer.Grammar()
+    before = g.run("you are a filthy animal".split())
+    g.taken = transducer.MOST_STEPS + 1
+    assert g.run("you are a filthy animal".split()) == before and before[0]["insult"] > 0.8 and g.taken < 50
+    with pytest.raises(ValueError):
+        transducer._Builder().pattern("( a | b")
