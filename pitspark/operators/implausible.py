@@ -75,52 +75,63 @@ def _stuck(same_as_before: np.ndarray) -> np.ndarray:
     return lengths[run] >= STUCK
 
 
+def _by_length(lengths: np.ndarray) -> list[np.ndarray]:
+    """Indices of sources of about the same length: the longest of a class is less than twice the shortest."""
+    sizes = np.frexp(lengths.astype(float))[1]
+    return [np.flatnonzero(sizes == k) for k in np.unique(sizes)]
+
+
+def _both_ways(values: np.ndarray, begin: np.ndarray, lengths: np.ndarray, charts: list[Chart]) -> tuple[np.ndarray, np.ndarray]:
+    """Limits of each row (rows x readings, sources one after another) by the charts forwards and backwards."""
+    lower, upper = np.full(values.shape, np.nan), np.full(values.shape, np.nan)
+    for own in _by_length(lengths):
+        n = lengths[own]
+        step = np.arange(n.max())
+        inside = step < n[:, None]
+        there = begin[own][:, None] + np.where(inside, step, 0)
+        back = begin[own][:, None] + np.where(inside, n[:, None] - 1 - step, 0)
+        for at, first in ((there, True), (back, False)):
+            x = values[at]
+            x[~inside] = np.nan
+            low, high = _limits(x, charts)
+            rows = at[inside]
+            if first:
+                lower[rows], upper[rows] = low[inside], high[inside]
+            else:
+                lower[rows], upper[rows] = np.minimum(lower[rows], low[inside]), np.maximum(upper[rows], high[inside])
+    return lower, upper
+
+
 def chart_days(days: DataFrame, charts: dict[str, Chart], groups: dict[str, list[str]]) -> DataFrame:
-    """Limits and stuck runs of days (source, day, usable boolean, and the readings), one row for each source and day.
+    """Limits and stuck runs of days (source, day, usable boolean, certain boolean, and the readings), one row for each source and day.
 
-    Gives source, day, for each reading x low_x and high_x (of its logarithm; null where nothing lies before and after
-    it), and for each group of readings whether the day is part of a run in which they all stay equal. Rows that are
-    not usable don't update a chart. A source has a row for each day at most, so that it fits in a task's memory.
+    Gives source, day, certain and the readings as they are (as day_x), for each reading x low_x and high_x (of its
+    logarithm; null where nothing lies before and after it), and for each group of readings whether the day is part of a
+    run in which they all stay equal. Rows that are not usable don't update a chart. A source has a row for each day at
+    most, so that it fits in a task's memory; sources are charted together in classes of about the same length.
     """
     names, list_of = list(charts), list(charts.values())
-    schema = "source string, day int, " + ", ".join(f"low_{n} double, high_{n} double" for n in names) + ", " + ", ".join(f"stuck_{g} boolean" for g in groups)
+    schema = "source string, day int, certain boolean, " + ", ".join(f"day_{n} double, low_{n} double, high_{n} double" for n in names) + ", " + ", ".join(f"stuck_{g} boolean" for g in groups)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         source = rows["source"].to_numpy()
         first = np.concatenate([[True], source[1:] != source[:-1]])
-        number = np.cumsum(first) - 1
         begin = np.flatnonzero(first)
-        place = np.arange(len(rows)) - begin[number]
-        x = np.full((len(begin), place.max() + 1, len(names)), np.nan)
+        lengths = np.diff(np.append(begin, len(rows)))
         values = rows[names].to_numpy(dtype=float)
         with np.errstate(invalid="ignore", divide="ignore"):
             logs = np.log(values + np.array([c.offset for c in list_of]))
         logs[~np.isfinite(logs) | ~rows["usable"].to_numpy(dtype=bool)[:, None]] = np.nan
-        x[number, place] = logs
-        low, high = _limits(x, list_of)
-        # backwards, each source from its own last value, which is the same as from the padding after it
-        low_b, high_b = (y[:, ::-1] for y in _limits_backwards(x))
-        out = {"source": source, "day": rows["day"].to_numpy()}
-        lower, upper = np.minimum(low, low_b)[number, place], np.maximum(high, high_b)[number, place]
+        lower, upper = _both_ways(logs, begin, lengths, list_of)
+        out = {"source": source, "day": rows["day"].to_numpy(), "certain": rows["certain"].to_numpy(dtype=bool)}
         for k, n in enumerate(names):
-            out[f"low_{n}"], out[f"high_{n}"] = lower[:, k], upper[:, k]
+            out[f"day_{n}"], out[f"low_{n}"], out[f"high_{n}"] = values[:, k], lower[:, k], upper[:, k]
         for g, members in groups.items():
             v = rows[members].to_numpy(dtype=float)
             same = np.concatenate([[False], (v[1:] == v[:-1]).all(axis=1)]) & ~first
             out[f"stuck_{g}"] = _stuck(same)
         return pd.DataFrame(out)
 
-    def _limits_backwards(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = [int(np.max(np.flatnonzero(~np.isnan(row).all(axis=1)), initial=-1)) + 1 for row in x]
-        turned = np.full(x.shape, np.nan)
-        for k, n in enumerate(lengths):  # values first, so that the warm-up sees them
-            turned[k, :n] = x[k, :n][::-1]
-        low, high = _limits(turned, list_of)
-        out_low, out_high = np.full(x.shape, np.nan), np.full(x.shape, np.nan)
-        for k, n in enumerate(lengths):
-            out_low[k, :n], out_high[k, :n] = low[k, :n][::-1], high[k, :n][::-1]
-        return out_low[:, ::-1], out_high[:, ::-1]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
         for batch in batches:
@@ -136,7 +147,7 @@ def chart_days(days: DataFrame, charts: dict[str, Chart], groups: dict[str, list
         if waiting:
             yield work(pd.concat(waiting, ignore_index=True))
 
-    ordered = days.select("source", "day", "usable", *[F.col(n).cast("double").alias(n) for n in names])
+    ordered = days.select("source", "day", "usable", "certain", *[F.col(n).cast("double").alias(n) for n in names])
     return ordered.repartition("source").sortWithinPartitions("source", "day").mapInPandas(run, schema)
 
 
@@ -147,18 +158,21 @@ def implausible(rows: DataFrame, impossible: Column, charts: dict[str, Chart], g
     charted as one, the possible one seen first, and each of them is held against that day's limits. dated: whether
     the day is certain; a row whose day is not takes part only where no certain one stands. Rows without source or day
     are held against the physical limits alone; null readings are no spikes and end no run but their own group's.
+
+    Rows move once, to their source and day; the reduction to one a day and the comparison with its limits both read that
+    exchange. Only one row a source and day moves on to the charts.
     """
-    flagged = rows.withColumn("impossible", F.coalesce(impossible, F.lit(False)))
     names = list(charts)
+    flagged = rows.withColumn("impossible", F.coalesce(impossible, F.lit(False))).repartition("source", "day")
     one = (
-        flagged.where("source is not null and day is not null")
-        .groupBy("source", "day")
-        .agg(F.min(F.struct((~F.col("dated")).alias("guessed"), "impossible", "seen", *names)).alias("r"))
+        flagged.groupBy("source", "day")
+        # whether the keys are there is asked of the groups, so that both readers of the exchange read the same rows
+        .agg(F.min(F.struct((~F.col("dated")).alias("guessed"), "impossible", "seen", *names)).alias("r"), F.max(F.col("source").isNotNull() & F.col("day").isNotNull()).alias("placed"))
+        .where("placed")
         .select("source", "day", (~F.col("r.impossible")).alias("usable"), (~F.col("r.guessed")).alias("certain"), *[F.col(f"r.{n}").alias(n) for n in names])
     )
-    limits = chart_days(one, charts, groups).select(F.col("source").alias("s"), F.col("day").alias("d"), *[f"{side}_{n}" for n in names for side in ("low", "high")], *[f"stuck_{g}" for g in groups])
-    known = one.select(F.col("source").alias("s"), F.col("day").alias("d"), "certain", *[F.col(n).alias(f"day_{n}") for n in names])
-    joined = flagged.join(limits.join(known, ["s", "d"]), (flagged["source"] == F.col("s")) & (flagged["day"] == F.col("d")), "left")
+    limits = chart_days(one, charts, groups).withColumnsRenamed({"source": "s", "day": "d"}).hint("merge")  # grows with the rows, so it is never broadcast
+    joined = flagged.join(limits, (flagged["source"] == F.col("s")) & (flagged["day"] == F.col("d")), "left")
     inside = F.coalesce(F.col("dated") == F.col("certain"), F.lit(False))
     spike, stuck = F.lit(False), F.lit(False)
     for n, chart in charts.items():
@@ -169,5 +183,4 @@ def implausible(rows: DataFrame, impossible: Column, charts: dict[str, Chart], g
         for n in members:
             same = same & (F.col(n) == F.col(f"day_{n}"))
         stuck = stuck | F.coalesce(F.col(f"stuck_{g}") & same, F.lit(False))
-    extra = ["s", "d", "certain", *[f"day_{n}" for n in names], *[f"{side}_{n}" for n in names for side in ("low", "high")], *[f"stuck_{g}" for g in groups]]
-    return joined.withColumns({"spike": inside & ~F.col("impossible") & spike, "stuck": inside & stuck}).drop(*extra)
+    return joined.withColumns({"spike": inside & ~F.col("impossible") & spike, "stuck": inside & stuck}).drop(*limits.columns)

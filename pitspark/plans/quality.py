@@ -18,19 +18,23 @@ def _new_york_day(micros: str) -> str:
     return f"datediff(cast(convert_timezone('UTC', 'America/New_York', {utc}) as date), date'1970-01-01')"
 
 
-def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each bar, once, with what speaks against it. A bar whose t is unusable stands on the day it became available."""
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with what speaks against them; of a day's bars the one with the smallest id is charted."""
     bars = table(spark, sf_dir, "daily_bars").where("bar_id is not null").select("bar_id", "symbol", "feed", "t", "h", "l", "c", F.col("v").cast("double").alias("v"), "available_at")
     timed = with_instant(bars, "t", "feed", table(spark, sf_dir, "feed_zones"))
     day = F.coalesce(F.expr(_new_york_day("utc_ms * 1000")), F.expr(_new_york_day(micros_sql("available_at"))))
-    rows = timed.select("bar_id", F.col("symbol").alias("source"), day.alias("day"), F.col("utc_ms").isNotNull().alias("dated"), F.expr(micros_sql("available_at")).alias("seen"), "h", "l", "c", "v")
+    rows = timed.select(F.col("bar_id").alias("seen"), F.col("symbol").alias("source"), day.alias("day"), F.col("utc_ms").isNotNull().alias("dated"), "h", "l", "c", "v")
     limits = (F.least("h", "l", "c") <= 0) | (F.col("v") < 0) | (F.col("l") > F.col("h")) | (F.col("c") < F.col("l")) | (F.col("c") > F.col("h"))
-    flags = implausible(rows, limits, CHARTS, GROUPS)
-    return flags.groupBy("bar_id").agg(F.max("impossible").alias("impossible"), F.max("spike").alias("spike"), F.max("stuck").alias("stuck"))
+    return implausible(rows, limits, CHARTS, GROUPS).withColumnRenamed("seen", "bar_id")
+
+
+def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bar, once, with what speaks against it. A bar whose t is unusable stands on the day it became available."""
+    return _flagged(spark, sf_dir).groupBy("bar_id").agg(F.max("impossible").alias("impossible"), F.max("spike").alias("spike"), F.max("stuck").alias("stuck"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_flags(spark, sf_dir).where("impossible or spike or stuck").select("bar_id")
+    return _flagged(spark, sf_dir).where("impossible or spike or stuck").select("bar_id").distinct()
 
 
 QUERIES = {"p4_found": p4_found, "p4_flags": p4_flags}
