@@ -12,14 +12,14 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ends of open rectangles.
 OPEN_DAY, OPEN_MICROS = 2**31 - 1, 2**63 - 1
 #: Sides of a grid cell.
 CELL_DAYS, CELL_MICROS = 730, 730 * 86_400_000_000
-#: A rectangle this many cells longer than one lies in the coarse level of that direction, whose one cell is EVERY.
+#: A rectangle that reaches this many cells beyond its first lies in the coarse level of that direction, whose one cell is EVERY.
 LONG, EVERY = 2, -(2**31)
 
 _SEGMENTS = "entity string, attribute string, day int, known long, day_end int"
@@ -60,10 +60,11 @@ def rectangles(facts: DataFrame) -> DataFrame:
     earlier = Window.partitionBy(*place).orderBy("known").rowsBetween(Window.unboundedPreceding, -1)
     # a fact recorded later takes over only if its period ends no earlier than those known on the same day
     current = first.withColumn("best", F.min("own.back").over(earlier)).where("best is null or own.back <= best").select(*place, "known", F.col("own.fact_id").alias("fact_id"))
-    opened = current.groupBy(*place).agg(F.min("known").alias("known"))
+    # the id goes along, so that both readers of the windows ask for the same exchange
+    opened = current.groupBy(*place).agg(F.min(F.struct("known", "fact_id")).alias("o")).select(*place, "o.known")
     swept = opened.repartition("entity", "attribute").sortWithinPartitions("entity", "attribute", "known", "day").mapInPandas(_sweep, _SEGMENTS)
     events = current.select(*place, "known", "fact_id", F.lit(None).cast("int").alias("day_end")).unionByName(swept.withColumn("fact_id", F.lit(None).cast("string")))
-    merged = events.groupBy(*place, "known").agg(F.max("fact_id").alias("fact_id"), F.min("day_end").alias("day_end"))
+    merged = events.repartition(*place).groupBy(*place, "known").agg(F.max("fact_id").alias("fact_id"), F.min("day_end").alias("day_end"))
     line = Window.partitionBy(*place).orderBy("known")
     return merged.select(
         "entity",
@@ -79,29 +80,23 @@ def rectangles(facts: DataFrame) -> DataFrame:
 def locate(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(point_id, attribute, fact_id) for points (point_id, entity, at_day int, at_micros long) in rectangles.
 
-    Points with a null lie nowhere. The grid has three levels: cells, and strips of all days or of all recorded times
-    for rectangles that are long in that direction, so that a rectangle has few copies however long it stays open; a
-    rectangle long in both lies in strips of all days, within the bounds of the points. A point is looked up once in
-    each level. A busy entity is thus met in many cells, and the join on entity and cell may be split further at run
-    time.
+    Points with a null lie nowhere. The grid has four levels: cells, strips of all days or of all recorded times for
+    rectangles that are long in that direction, and the whole plane for those long in both, of which an attribute has
+    few. So a rectangle has at most nine copies, wherever it ends and whatever the points are. A point is looked up once
+    in each level. A busy entity is met in many cells, and the join on entity and cell may be split further at run time.
     """
     whole = points.where("point_id is not null and entity is not null and at_day is not null and at_micros is not null")
-    low, high = whole.agg(F.min("at_micros"), F.max("at_micros")).first()
-    if low is None:
-        low = high = 0
-    near = regions.where((F.col("known") <= high) & (F.col("known_end") > low) & (F.col("day") < F.col("day_end")))
+    near = regions.where((F.col("day") < F.col("day_end")) & (F.col("known") < F.col("known_end")))
     cell = lambda c, size: F.floor(c / F.lit(float(size))).cast("int")
     every = F.lit(EVERY).cast("int")
-    days = F.sequence(cell(F.col("day"), CELL_DAYS), cell(F.col("day_end") - 1, CELL_DAYS))
-    first = cell(F.greatest(F.col("known"), F.lit(low)), CELL_MICROS)
-    last = cell(F.least(F.col("known_end") - 1, F.lit(high)), CELL_MICROS)
-    long_days = cell(F.col("day_end") - 1, CELL_DAYS) - cell(F.col("day"), CELL_DAYS) >= LONG
-    long_known = ~long_days & (last - first >= LONG)
-    indexed = near.withColumn("cell_day", F.explode(F.when(long_days, F.array(every)).otherwise(days))).withColumn(
-        "cell_known", F.explode(F.when(long_known, F.array(every)).otherwise(F.sequence(first, last)))
-    )
+
+    def cells(first: str, end: str, size: int) -> Column:
+        a, b = cell(F.col(first), size), cell(F.col(end) - 1, size)
+        return F.explode(F.when(b - a >= LONG, F.array(every)).otherwise(F.sequence(a, F.least(b, a + LONG))))
+
+    indexed = near.withColumn("cell_day", cells("day", "day_end", CELL_DAYS)).withColumn("cell_known", cells("known", "known_end", CELL_MICROS))
     cd, ck = cell(F.col("at_day"), CELL_DAYS), cell(F.col("at_micros"), CELL_MICROS)
-    levels = F.array(*[F.struct(d.alias("cd"), k.alias("ck")) for d, k in ((cd, ck), (every, ck), (cd, every))])
+    levels = F.array(*[F.struct(d.alias("cd"), k.alias("ck")) for d, k in ((cd, ck), (every, ck), (cd, every), (every, every))])
     at = whole.select("point_id", F.col("entity").alias("e"), "at_day", "at_micros", F.explode(levels).alias("c")).select("point_id", "e", "at_day", "at_micros", "c.cd", "c.ck")
     inside = (
         (F.col("e") == F.col("entity"))
