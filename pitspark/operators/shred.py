@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.operators.dedupe import one_per_key
+from pitspark.session import ROW
 
 NODE_SCHEMA = (
     "record_id string, tag string, node_key string, parent_key string, level1 string, level2 string, level3 string, "
@@ -124,7 +125,7 @@ def visit(record_id: str, payload: object) -> Iterator[Node]:
 def shred(records: DataFrame, visitor: Callable[[str, object], Iterator[Node]] = visit) -> DataFrame:
     """The nodes of all records (record_id, payload), see NODE_SCHEMA.
 
-    A record delivered twice counts once. Null, empty and unreadable payloads and null ids give no node; null elements
+    A record delivered twice counts once (see ``one_per_key``). Null, empty and unreadable payloads and null ids give no node; null elements
     give none but keep their position. Other columns of the input are not read. A payload is held in memory one at a
     time, nodes in batches.
     """
@@ -144,7 +145,8 @@ def shred(records: DataFrame, visitor: Callable[[str, object], Iterator[Node]] =
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return one_per_key(records.select("record_id", "payload"), "record_id").mapInPandas(emit, NODE_SCHEMA)
+    own = records.select("record_id", "payload", *[c for c in records.columns if c == ROW])
+    return one_per_key(own, "record_id").select("record_id", "payload").mapInPandas(emit, NODE_SCHEMA)
 
 
 def table_of(nodes: DataFrame, tag: str) -> DataFrame:

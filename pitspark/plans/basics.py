@@ -12,7 +12,7 @@ from pitspark.operators.shred import shred, table_of
 from pitspark.plans.market import _BARS, _calendar, revised
 from pitspark.sources.landed import verified
 from pitspark.sources.stores import broken_lineage
-from pitspark.session import micros_sql, table
+from pitspark.session import micros_sql, numbered, table
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
@@ -92,20 +92,20 @@ def join_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_volatility_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "raw_records").where("source_id = 'deribit-dvol'").select("record_id", "payload")
+    r = numbered(spark, sf_dir, "raw_records", "record_id", "source_id", "payload").where("source_id = 'deribit-dvol'")
     return table_of(shred(r), "point").select("record_id", F.col("item_no").alias("position"), "epoch_ms", "open", "close")
 
 
 def src_filing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings with an accession number; empty texts are null."""
-    r = table(spark, sf_dir, "raw_records").where("source_id = 'sec-submissions'").select("record_id", "payload")
+    r = numbered(spark, sf_dir, "raw_records", "record_id", "source_id", "payload").where("source_id = 'sec-submissions'")
     own = lambda c: F.nullif(F.col(c), F.lit(""))
     return table_of(shred(r), "filing").select("record_id", F.col("item_no").alias("position"), F.col("accessionNumber").alias("accession"), own("filingDate").alias("filed"), own("form").alias("form"))
 
 
 def src_company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of all readable documents, also of those whose body is JSON text or whose unit holds one fact in place of a list."""
-    r = table(spark, sf_dir, "raw_records").where("source_id = 'sec-companyfacts'").select("record_id", "payload")
+    r = numbered(spark, sf_dir, "raw_records", "record_id", "source_id", "payload").where("source_id = 'sec-companyfacts'")
     return table_of(shred(r), "fact").select("record_id", F.col("level1").alias("taxonomy"), F.col("level2").alias("tag"), F.col("level3").alias("unit"), F.col("item_no").alias("position"), "val", "accn")
 
 

@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from pitspark.operators.history import numeric_value, version_history
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.shred import shred, table_of
-from pitspark.session import micros_sql, table
+from pitspark.session import micros_sql, numbered, table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred(table(spark, sf_dir, "raw_records")).select("record_id", "level1", "level2", "level3", "item_no", "sub_no")
+    return shred(numbered(spark, sf_dir, "raw_records", "record_id", "payload")).select("record_id", "level1", "level2", "level3", "item_no", "sub_no")
 
 
 def p5_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of company facts, typed."""
-    return table_of(shred(table(spark, sf_dir, "raw_records")), "fact")
+    return table_of(shred(numbered(spark, sf_dir, "raw_records", "record_id", "payload")), "fact")
 
 
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of fact segments; parent_key is the fact's node_key."""
-    return table_of(shred(table(spark, sf_dir, "raw_records")), "segment")
+    return table_of(shred(numbered(spark, sf_dir, "raw_records", "record_id", "payload")), "segment")
 
 
 def macro_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Session settings, table access and the shared folder for materialised steps."""
+"""Session settings and table access."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a key list may be broadcast; beyond it the same step runs as a shuffled join.
 BROADCAST_ROWS = 1_000_000
@@ -31,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where a row was read: its file and its place in it.
+ROW = "__row"
+
+
+def numbered(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a test table, and in ROW where each row stands, which is the same whenever the table is read."""
+    return table(spark, sf_dir, name).select(*columns, F.struct("_metadata.file_path", "_metadata.row_index").alias(ROW))
+
+
 def micros_sql(column: str) -> str:
     """SQL for the microseconds since the epoch of a timestamp without zone, independent of the session's zone."""
     return (
@@ -39,18 +47,3 @@ def micros_sql(column: str) -> str:
         f" + cast(extract(MINUTE from `{column}`) as bigint) * 60000000L"
         f" + cast(extract(SECOND from `{column}`) * 1000000 as bigint)"
     )
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one is set only where none is."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitspark-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder so that lost executors don't matter."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
