@@ -37,21 +37,20 @@ def expected(windows: DataFrame) -> DataFrame:
     return words.select("series", "step", "word", mask.alias("mask")).groupBy("series", "step", "word").agg(F.bit_or("mask").alias("wanted"))
 
 
-def grid(windows: DataFrame, readings: DataFrame) -> DataFrame:
-    """(series, step, cell, covered) for every cell of the windows; covered says whether a reading begins in it."""
-    words = expected(windows).join(presence(readings), ["series", "step", "word"], "left")
-    return _cells(words.withColumn("present", F.coalesce("present", F.lit(0).cast("long"))), "wanted").select("series", "step", "cell", F.getbit("present", F.col("bit")).cast("boolean").alias("covered"))
+def spans(present: DataFrame) -> DataFrame:
+    """Windows (series, step, first, last) from each series' first to its last cell with a reading, of its words."""
+    ends = present.groupBy("series", "step").agg(F.min(F.struct("word", "present")).alias("a"), F.max(F.struct("word", "present")).alias("b"))
+    low, high = F.bin("a.present"), F.bin("b.present")
+    first = F.col("a.word") * WORD + F.length(low) - F.length(F.rtrim(low, F.lit("0")))
+    return ends.select("series", "step", first.alias("first"), (F.col("b.word") * WORD + F.length(high) - 1).alias("last"))
 
 
-def uncovered(windows: DataFrame, readings: DataFrame) -> DataFrame:
-    """(series, step, cell) for the cells of the windows without any reading; only words with a gap are opened.
-
-    Null series, steps and cells take no part; a reading delivered twice sets the same bit; windows may overlap, and
-    one that ends before it begins has no cells.
-    """
-    words = expected(windows).join(presence(readings), ["series", "step", "word"], "left")
-    gaps = words.withColumn("gap", F.col("wanted").bitwiseAND(F.bitwise_not(F.coalesce("present", F.lit(0).cast("long"))))).where("gap != 0")
-    return _cells(gaps, "gap").select("series", "step", "cell")
+def grid(windows: DataFrame | None, readings: DataFrame) -> DataFrame:
+    """(series, step, cell, covered) for every cell of the windows (none: from each series' first reading to its last);
+    covered says whether a reading begins in it."""
+    present = presence(readings)
+    words = expected(spans(present) if windows is None else windows).join(present, ["series", "step", "word"], "left")
+    return _cells(words.withColumn("present", F.coalesce("present", F.lit(0).cast("long"))), "wanted").select("series", "step", "cell", (F.getbit("present", F.col("bit")) == 1).alias("covered"))
 
 
 def _cells(words: DataFrame, mask: str) -> DataFrame:
@@ -93,7 +92,9 @@ def distribute(increments: DataFrame) -> DataFrame:
     return cells.groupBy("series", "step", "cell").agg(F.sum(F.col("amount") * overlap / (F.col("until") - F.col("at"))).alias("amount"))
 
 
-def regular_series(windows: DataFrame, readings: DataFrame, increments: DataFrame) -> DataFrame:
-    """(series, step, cell, covered, amount) for every cell of the windows: its share of the increments, and whether a
-    reading begins in it; the amount of a cell that nothing reaches is null, never zero."""
+def regular_series(windows: DataFrame | None, readings: DataFrame, increments: DataFrame) -> DataFrame:
+    """(series, step, cell, covered, amount) for every cell of the windows (none: from each series' first reading to its
+    last): its share of the increments, and whether a reading begins in it; the amount of a cell that nothing reaches is
+    null, never zero. Null series, steps and cells take no part; a reading delivered twice sets the same bit; windows may
+    overlap, and one that ends before it begins has no cells."""
     return grid(windows, readings).join(distribute(increments), ["series", "step", "cell"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitspark.operators.bitemporal import locate, rectangles
 from pitspark.operators.normalise_times import with_instant
-from pitspark.operators.regular_grid import counter_increments, regular_series, uncovered
+from pitspark.operators.regular_grid import counter_increments, regular_series
 from pitspark.session import micros_sql, table
 
 
@@ -68,26 +68,37 @@ def bars_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.where("utc_ms is not null").withColumn("day", F.expr(f"datediff(cast(convert_timezone('UTC', 'America/New_York', {utc}) as date), date'1970-01-01')"))
 
 
+def _candle_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candle period, whether a candle begins in it, and its share of the volume; a candle that begins off the grid
+    shares it with the next. A redelivered candle counts once: of candles that begin together, the largest volume."""
+    candles = _candles(spark, sf_dir).where("volume is not null").select(
+        F.col("product_id").alias("series"), F.col("granularity_s").cast("long").alias("step"), _seconds("candle_start").alias("at"), "volume"
+    )
+    once = candles.groupBy("series", "step", "at").agg(F.max("volume").alias("amount")).withColumn("until", F.col("at") + F.col("step"))
+    return regular_series(_candle_windows(spark, sf_dir), _candle_cells(spark, sf_dir), once)
+
+
+def _bar_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day from a symbol's first bar to its last, whether it has a bar, and its volume (of a day's bars the largest)."""
+    days = bars_by_day(spark, sf_dir).where("symbol is not null").groupBy(F.col("symbol").alias("series"), F.col("day").cast("long").alias("cell")).agg(F.max("v").cast("double").alias("amount"))
+    readings = days.withColumn("step", F.lit(1).cast("long"))
+    return regular_series(None, readings, readings.select("series", "step", F.col("cell").alias("at"), (F.col("cell") + 1).alias("until"), "amount"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = uncovered(_candle_windows(spark, sf_dir), _candle_cells(spark, sf_dir))
-    # the text of a time is made from its day and its clock, so that the session's zone plays no part
+    """The periods of the regular series that no reading covers; of bars those on working days."""
     at = F.col("cell") * F.col("step")
+    # the text of a time is made from its day and its clock, so that the session's zone plays no part
     clock = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(pmod(cell * step, 86400) as decimal(18, 6)))"), "'T'HH:mm:ss'Z'")
-    candles = gaps.select("series", F.concat(F.date_format(F.date_from_unix_date(F.floor(at / 86_400.0).cast("int")), "yyyy-MM-dd"), clock).alias("period"))
-    days = bars_by_day(spark, sf_dir).select(F.col("symbol").alias("series"), F.lit(86_400).cast("long").alias("step"), F.col("day").cast("long").alias("cell"))
-    ranges = days.where("series is not null").groupBy("series", "step").agg(F.min("cell").alias("first"), F.max("cell").alias("last"))
-    bars = uncovered(ranges, days).withColumn("date", F.date_from_unix_date(F.col("cell").cast("int"))).where("weekday(date) < 5").select("series", F.date_format("date", "yyyy-MM-dd").alias("period"))
-    return candles.unionAll(bars)
+    begins = F.concat(F.date_format(F.date_from_unix_date(F.floor(at / 86_400.0).cast("int")), "yyyy-MM-dd"), clock)
+    candles = _candle_series(spark, sf_dir).where("not covered").select("series", begins.alias("period"))
+    days = _bar_series(spark, sf_dir).where("not covered").withColumn("date", F.date_from_unix_date(F.col("cell").cast("int"))).where("weekday(date) < 5")
+    return candles.unionAll(days.select("series", F.date_format("date", "yyyy-MM-dd").alias("period")))
 
 
 def p3_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candle period with its share of the volume; a candle that begins off the grid shares it with the next."""
-    candles = _candles(spark, sf_dir).where("volume is not null").select(
-        F.col("product_id").alias("series"), F.col("granularity_s").cast("long").alias("step"), _seconds("candle_start").alias("at"), "volume"
-    )
-    # a redelivered candle counts once: of candles that begin together, the largest volume
-    once = candles.groupBy("series", "step", "at").agg(F.max("volume").alias("amount")).withColumn("until", F.col("at") + F.col("step"))
-    return regular_series(_candle_windows(spark, sf_dir), _candle_cells(spark, sf_dir), once).select(
+    """Every candle period with its share of the volume."""
+    return _candle_series(spark, sf_dir).select(
         F.col("series").alias("product_id"), F.date_from_unix_date(F.floor(F.col("cell") * F.col("step") / 86_400.0).cast("int")).alias("day"), (F.col("cell") * F.col("step")).alias("begins_s"), "covered", F.round("amount", 6).alias("volume")
     )
 
@@ -99,8 +110,7 @@ def p3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = counter_increments(readings, block=30 * 86_400_000).withColumn("step", hour)
     own = readings.where("series is not null and at is not null and value is not null")
     cells = own.select("series", hour.alias("step"), F.floor(F.col("at") / hour).alias("cell"))
-    windows = cells.groupBy("series", "step").agg(F.min("cell").alias("first"), F.max("cell").alias("last"))
-    return regular_series(windows, cells, steps).select(F.col("series").alias("instrument_name"), (F.col("cell") * 3600).alias("begins_s"), "covered", F.round("amount", 4).alias("volume"))
+    return regular_series(None, cells, steps).select(F.col("series").alias("instrument_name"), (F.col("cell") * 3600).alias("begins_s"), "covered", F.round("amount", 4).alias("volume"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_regions": p1_regions, "p3_found": p3_found, "p3_series": p3_series, "p3_counters": p3_counters}

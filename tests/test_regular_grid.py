@@ -2,7 +2,7 @@
 
 import random
 
-from pitspark.operators.regular_grid import counter_increments, distribute, grid, regular_series, uncovered
+from pitspark.operators.regular_grid import counter_increments, distribute, grid, regular_series
 
 
 def frames(spark, windows, readings):
@@ -16,16 +16,16 @@ def test_uncovered_against_brute_force(spark):
     w, r = frames(spark, windows, readings)
     wanted = {(s, c) for s, step, a, b in windows if s and step for c in range(a, b + 1)}
     there = {(s, c) for s, _, c in readings}
-    assert sorted((x.series, x.cell) for x in uncovered(w, r).collect()) == sorted(wanted - there)
+    assert sorted((x.series, x.cell) for x in grid(w, r).where("not covered").collect()) == sorted(wanted - there)
     got = {(x.series, x.cell): x.covered for x in grid(w, r).collect()}
     assert got == {k: k in there for k in wanted}
 
 
 def test_empty(spark):
     w, r = frames(spark, [], [])
-    assert uncovered(w, r).count() == 0
+    assert grid(w, r).where("not covered").count() == 0
     w, _ = frames(spark, [("a", 1, 0, 130)], [])
-    assert uncovered(w, r).count() == 131
+    assert grid(w, r).where("not covered").count() == 131
 
 
 def test_counters_over_blocks_and_resets(spark):
