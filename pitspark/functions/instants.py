@@ -8,15 +8,21 @@ transitions, kept for each version of the zone data.
 
 from __future__ import annotations
 
+import os
 import re
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+from zoneinfo import TZPATH, ZoneInfo, ZoneInfoNotFoundError
 
 import numpy as np
 
-#: A text longer than this (after trimming) states no time.
-MAX_LEN = 48
+#: Texts up to so many characters are read together; longer ones in classes of about the same length.
+WIDTH = 48
+#: Transition tables reach from 1900 to 2100; the few times beyond are asked of the zone one by one.
+TABLE_FROM, TABLE_TO = -2_208_988_800, 4_102_444_800
+
+#: Folders with zone data, by version; None is the data that Python finds.
+_ZONE_DATA: dict[str, str | None] = {}
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[48:58] = ord("9")
@@ -76,58 +82,92 @@ def _plan(mask: str, period: bool) -> dict[str, tuple[int, int]] | None:
     return None
 
 
-@lru_cache(maxsize=1024)
-def zone_table(zone: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """UTC seconds at which the zone's offset changes, and the offsets before the first and after each of them.
+@lru_cache(maxsize=1)
+def installed_version() -> str:
+    """The version of the zone data that Python finds, e.g. '2025b'; 'unknown' if it doesn't say."""
+    for folder in TZPATH:
+        try:
+            with open(os.path.join(folder, "tzdata.zi"), encoding="ascii") as f:
+                if m := re.match(r"# version (\w+)", f.readline()):
+                    return m[1]
+        except OSError:
+            continue
+    try:
+        import tzdata
 
-    None for a name that is no zone. Found from 1900 to 2100 by days, then to the second by halving.
-    """
+        return tzdata.IANA_VERSION
+    except ImportError:
+        return "unknown"
+
+
+def add_zone_data(version: str, folder: str) -> None:
+    """Makes the compiled zone files in a folder known under a version."""
+    _ZONE_DATA[version] = folder
+
+
+@lru_cache(maxsize=1024)
+def _zone(zone: str, version: str) -> ZoneInfo | None:
+    folder = _ZONE_DATA.get(version)
     try:
-        z = ZoneInfo(zone)
+        if folder is None:
+            return ZoneInfo(zone)
+        if not re.fullmatch(r"[A-Za-z0-9_+-]+(?:/[A-Za-z0-9_+-]+)*", zone):
+            return None
+        with open(os.path.join(folder, zone), "rb") as f:
+            return ZoneInfo.from_file(f, key=zone)
     except (ZoneInfoNotFoundError, ValueError, OSError):
         return None
-    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
-    def offset(s: int) -> int:
-        return round((epoch + timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
 
-    at, offsets = [], [offset(-2_208_988_800)]
-    for day in range(-25_567, 47_482):
-        if (new := offset(day * 86_400 + 86_400)) != (old := offsets[-1]):
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _offset(z: ZoneInfo, s: int) -> int:
+    return round((_EPOCH + timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
+
+
+@lru_cache(maxsize=1024)
+def zone_table(zone: str, version: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """UTC seconds at which the zone's offset changes, and the offsets before the first and after each of them, in a
+    version of the zone data. None for a name that is no zone. Found by days, then to the second by halving.
+    """
+    if (z := _zone(zone, version)) is None:
+        return None
+    at, offsets = [], [_offset(z, TABLE_FROM)]
+    for day in range(TABLE_FROM // 86_400, TABLE_TO // 86_400):
+        if (new := _offset(z, day * 86_400 + 86_400)) != (old := offsets[-1]):
             low, high = day * 86_400, day * 86_400 + 86_400
             while high - low > 1:
                 mid = (low + high) // 2
-                low, high = (mid, high) if offset(mid) == old else (low, mid)
+                low, high = (mid, high) if _offset(z, mid) == old else (low, mid)
             at.append(high)
             offsets.append(new)
     return np.array(at, dtype=np.int64), np.array(offsets, dtype=np.int64)
 
 
-def wall_to_utc(wall: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
-    """UTC seconds of wall clock seconds, and which of them exist; of two instants the earlier one."""
-    tab = zone_table(zone)
-    if tab is None:
-        return wall, np.zeros(len(wall), dtype=bool)
-    at, offsets = tab
+def _offsets(utc: np.ndarray, zone: str, version: str) -> np.ndarray:
+    at, offsets = zone_table(zone, version)
+    out = offsets[np.searchsorted(at, utc, side="right")]
+    for k in np.flatnonzero((utc < TABLE_FROM + 86_400) | (utc >= TABLE_TO - 86_400)):
+        if -62_135_510_400 <= utc[k] <= 253_402_214_400:  # what a datetime can hold in any zone
+            out[k] = _offset(_zone(zone, version), int(utc[k]))
+    return out
 
-    def off(u: np.ndarray) -> np.ndarray:
-        return offsets[np.searchsorted(at, u, side="right")]
 
+def wall_to_utc(wall: np.ndarray, zone: str, version: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """UTC seconds of wall clock seconds, and which of them exist; of two instants the earlier one."""
+    version = version or installed_version()
+    if zone_table(zone, version) is None:
+        return wall, np.zeros(len(wall), dtype=bool)
     best, ok = np.zeros(len(wall), dtype=np.int64), np.zeros(len(wall), dtype=bool)
-    for o in (off(wall - 86_400), off(wall + 86_400)):
+    for o in (_offsets(wall - 86_400, zone, version), _offsets(wall + 86_400, zone, version)):
         u = wall - o
-        fits = off(u) == o
+        fits = _offsets(u, zone, version) == o
         best = np.where(fits & (~ok | (u < best)), u, best)
         ok |= fits
     return best, ok
 
 
-def utc_to_wall(utc: np.ndarray, zone: str) -> np.ndarray:
-    """Wall clock seconds in the zone of UTC seconds."""
-    at, offsets = zone_table(zone)
-    return utc + offsets[np.searchsorted(at, utc, side="right")]
-
-
 def _number(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     out = np.zeros(len(chars), dtype=np.int64)
     for k in range(*span):
@@ -152,7 +192,7 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     return first + d - 1, ok & (d <= after - first)
 
 
-def _read(chars: np.ndarray, plan: dict, zones: np.ndarray, day_first: np.ndarray, period: bool) -> tuple[np.ndarray, np.ndarray]:
+def _read(chars: np.ndarray, plan: dict, zones: np.ndarray, day_first: np.ndarray, period: bool, version: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     n = len(chars)
     num = lambda k, default=0: _number(chars, plan[k]) if k in plan else np.full(n, default, dtype=np.int64)
     ok = np.ones(n, dtype=bool)
@@ -210,38 +250,38 @@ def _read(chars: np.ndarray, plan: dict, zones: np.ndarray, day_first: np.ndarra
         utc = np.zeros(n, dtype=np.int64)
         for zone in {z for z in zones if z is not None}:
             at = np.flatnonzero(zones == zone)
-            utc[at], there = wall_to_utc(wall[at], zone)
+            utc[at], there = wall_to_utc(wall[at], zone, version)
             ok[at] &= there
         ok &= np.array([z is not None for z in zones], dtype=bool)
     return utc * 1000 + ms, ok
 
 
-def parse_instants(texts: list, zones: list, day_first: list, period: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def parse_instants(texts: list, zones: list, day_first: list, period: bool = False, version: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Epoch milliseconds of texts, and which of them state an instant.
 
     zones: for each text the zone it means when it names none (None: such a text states no instant). day_first: for
     each whether numeric dates with slashes put the day first (None: only dates that can be read one way count).
     period: the first day of the stated day, month, quarter or year, at midnight UTC. Null, empty, unreadable or
     impossible times, unknown zones and wall clock times that never occur are no instants. Finer digits are cut off.
+    version: of the zone data (see ``add_zone_data``); that which Python finds, if none is given.
     """
     n = len(texts)
     out, ok = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     clean = [b"" if t is None else t.strip().encode("ascii", "replace") for t in texts]
-    fits = np.array([0 < len(t) <= MAX_LEN for t in clean], dtype=bool)
-    rows = np.flatnonzero(fits)
-    if not len(rows):
-        return out, ok
-    raw = np.array([clean[k] for k in rows], dtype=f"S{MAX_LEN}")
-    chars = raw.view(np.uint8).reshape(len(rows), MAX_LEN)
-    masks, where = np.unique(_CLASS[chars].view(f"S{MAX_LEN}").ravel(), return_inverse=True)
-    order = np.argsort(where, kind="stable")
-    ends = np.searchsorted(where[order], np.arange(len(masks) + 1))
+    lengths = np.array([len(t) for t in clean], dtype=np.int64)
+    width = np.maximum(WIDTH, 1 << np.frexp(np.maximum(lengths - 1, 1).astype(float))[1])
     zones_of = np.array(zones, dtype=object)
     first_of = np.array([-1 if x is None or x != x else int(x) for x in day_first], dtype=np.int64)
-    for k, mask in enumerate(masks):
-        if (plan := _plan(mask.decode("ascii"), period)) is None:
-            continue
-        own = order[ends[k] : ends[k + 1]]
-        at = rows[own]
-        out[at], ok[at] = _read(chars[own], plan, zones_of[at], first_of[at], period)
+    for wide in np.unique(width[lengths > 0]).tolist():
+        rows = np.flatnonzero((width == wide) & (lengths > 0))
+        chars = np.array([clean[k] for k in rows], dtype=f"S{wide}").view(np.uint8).reshape(len(rows), wide)
+        masks, where = np.unique(_CLASS[chars].view(f"S{wide}").ravel(), return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        ends = np.searchsorted(where[order], np.arange(len(masks) + 1))
+        for k, mask in enumerate(masks):
+            if (plan := _plan(mask.decode("ascii"), period)) is None:
+                continue
+            own = order[ends[k] : ends[k + 1]]
+            at = rows[own]
+            out[at], ok[at] = _read(chars[own], plan, zones_of[at], first_of[at], period, version)
     return out, ok

@@ -7,7 +7,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pytest
 
-from pitspark.functions.instants import parse_instants, utc_to_wall, wall_to_utc, zone_table
+from pitspark.functions.instants import add_zone_data, installed_version, parse_instants, wall_to_utc, zone_table
 from pitspark.operators.normalise_times import with_instant
 
 
@@ -75,7 +75,7 @@ def test_periods(text, expected):
 def test_zone_table_against_zoneinfo(zone):
     rng, z = random.Random(3), ZoneInfo(zone)
     walls = [rng.randrange(0, 2_500_000_000) for _ in range(2000)]
-    at, _ = zone_table(zone)
+    at, _ = zone_table(zone, installed_version())
     walls += [int(t) + d for t in at[(at > 0) & (at < 2_500_000_000)] for d in (-7200, -3600, -1, 0, 1, 3599, 3600, -18000, 36000)]
     got, ok = wall_to_utc(np.array(walls), zone)
     for w, g, exists in zip(walls, got, ok, strict=True):
@@ -83,7 +83,42 @@ def test_zone_table_against_zoneinfo(zone):
         found = {int(naive.replace(tzinfo=z, fold=f).timestamp()) for f in (0, 1)}
         real = {u for u in found if datetime.fromtimestamp(u, z).replace(tzinfo=None) == naive}
         assert exists == bool(real) and (not real or g == min(real))
-    assert list(utc_to_wall(got[ok][:100], zone)) == [w for w, e in zip(walls, ok, strict=True) if e][:100]
+
+
+def test_years_beyond_the_tables():
+    texts = ["2250-07-01 12:00:00", "2250-01-01 12:00:00", "1850-07-01 12:00:00", "9998-07-01 12:00:00"]
+    ms, ok = parse_instants(texts, ["America/New_York"] * 4, [None] * 4)
+    z = ZoneInfo("America/New_York")
+    assert ok.all() and [int(datetime.fromisoformat(t).replace(tzinfo=z).timestamp()) for t in texts] == [int(x) // 1000 for x in ms]
+
+
+def test_long_texts_are_read():
+    day = "Wednesday, 30 September 2025 23:59:59.123456789 +00:00"
+    texts = [" " * 5000 + day + "\n" * 5000, day, "x" * 100_000, "2025-01-01", "1" * 5000]
+    ms, ok = parse_instants(texts, ["UTC"] * 5, [None] * 5)
+    assert ok.tolist() == [True, True, False, True, False] and ms[0] == ms[1] == 1759276799123
+
+
+def test_versions_of_the_zone_data(tmp_path):
+    """The same text under two versions of a zone's rules; names outside the folder are no zones."""
+    import zoneinfo
+    from pathlib import Path
+
+    found = next((Path(d) / "Etc/GMT+3" for d in zoneinfo.TZPATH if (Path(d) / "Etc/GMT+3").exists()), None)
+    if found is None:
+        import tzdata
+
+        found = Path(tzdata.__file__).parent / "zoneinfo/Etc/GMT+3"
+    (tmp_path / "Own").mkdir()
+    (tmp_path / "Own/Zone").write_bytes(found.read_bytes())
+    (tmp_path / "Europe").mkdir()
+    (tmp_path / "Europe/Madrid").write_bytes(found.read_bytes())
+    add_zone_data("own-1", str(tmp_path))
+    read = lambda zone, version: [x.tolist() for x in parse_instants(["2025-01-31 10:00:00"], [zone], [None], version=version)]
+    at = 1738317600000
+    assert read("Europe/Madrid", None) == [[at - 3_600_000], [True]]
+    assert read("Europe/Madrid", "own-1") == read("Own/Zone", "own-1") == [[at + 3 * 3_600_000], [True]]
+    assert read("Europe/Paris", "own-1")[1] == read("../Own/Zone", "own-1")[1] == [False]
 
 
 def test_columns(spark):
