@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.operators.dedupe import one_per_key
+from pitspark.session import ROW
 
 #: Where the vocabulary's ranks are, unless a caller says otherwise; every executor needs the file at this path.
 VOCABULARY = os.environ.get("PITSPARK_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
@@ -130,8 +131,8 @@ CHARS_AT_ONCE = 2_000_000
 def encode_corpus(documents: DataFrame, path: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
     """(doc_id, ids) of documents (doc_id, text): every text whole, as it stands.
 
-    Null and empty texts have an empty list; a document delivered twice gives one row (of differing texts the least by
-    digest), a null doc_id none. Texts are held in memory one batch at a time; the vocabulary is read once by each worker.
+    Null and empty texts have an empty list; a document delivered twice gives one row (see
+    ``one_per_key``), a null doc_id none. Texts are held in memory one batch at a time; the vocabulary is read once by each worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +147,8 @@ def encode_corpus(documents: DataFrame, path: str = VOCABULARY, leaf: int = LEAF
             if rows:
                 yield pa.RecordBatch.from_arrays([ids.slice(a), _lists(rows)], names=["doc_id", "ids"])
 
-    one = one_per_key(documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()), "doc_id")
-    return one.mapInArrow(run, "doc_id long, ids array<int>")
+    own = documents.select(F.col("doc_id").cast("long"), "text", *[c for c in documents.columns if c == ROW]).where(F.col("doc_id").isNotNull())
+    return one_per_key(own, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -10,7 +10,7 @@ from pitspark.llm.encode import decode_corpus, encode_corpus
 from pitspark.llm.leaks import leaks, without_leaks
 from pitspark.llm.nearest import nearest_in_time
 from pitspark.operators.normalise_times import with_instant
-from pitspark.session import micros_sql, table
+from pitspark.session import micros_sql, numbered, table
 
 FUNDING_TOLERANCE_MS = 20 * 60 * 1000
 CANDLE_TOLERANCE_MICROS = 90 * 1_000_000
@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents"))
+    return encode_corpus(numbered(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
