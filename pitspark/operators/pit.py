@@ -55,31 +55,30 @@ def effective_cut(df: DataFrame, keys: list[str], known_at: Column, available: s
     return first.withColumn("too_early", F.col("earliest") > known_at)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, block: int, carry: list[str]) -> DataFrame:
-    """left with the columns ``carry`` of the last right row of its keys at or before ``left_at`` (times as numbers).
+def best_known(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, known: str, block: int, rank: list[str], carry: list[str]) -> DataFrame:
+    """left with the columns ``rank`` and ``carry`` of the greatest right row, by ``rank``, of its keys that was known at ``left_at``.
 
-    Both sides are put on one line and the last right value is carried along it, within blocks of time; the last right
-    row of all earlier blocks comes from one row a block. So neither side is paired with a range of the other, and a
-    busy key is spread over its blocks. Of right rows at one time the greatest ``carry`` counts. A left row before any
+    known: the time, a number like left_at, from which a right row is known; with rank [known] this is the last row before
+    a moment, with rank [event, known] the latest event as it was known then. Both sides are put on one line, and the
+    greatest row so far is carried along it within blocks of time; that of all earlier blocks comes from one row a block.
+    So neither side is paired with a range of the other, and a busy key is spread over its blocks. A left row before any
     right row keeps nulls.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(float(block))).cast("long")
     others = [c for c in left.columns if c not in keys and c != left_at]
-    r = right.where(F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).alias("__at")).agg(F.max(F.struct(*carry)).alias("__value"))
-    r = r.withColumn("__block", bucket("__at"))
-    lasts = r.groupBy(*keys, "__block").agg(F.max(F.struct("__at", "__value")).alias("__last"))
-    lines = left.withColumnRenamed(left_at, "__at").select(*keys, "__at", F.struct(*others).alias("__left")).withColumn("__block", bucket("__at"))
-    blocks = lines.select(*keys, "__block").distinct().withColumn("__last", F.lit(None).cast(lasts.schema["__last"].dataType)).unionByName(lasts)
-    blocks = blocks.groupBy(*keys, "__block").agg(F.max("__last").alias("__last"))
+    r = right.where(F.col(known).isNotNull()).select(*keys, F.col(known).alias("__at"), F.struct(*dict.fromkeys([*rank, *carry])).alias("__value")).withColumn("__block", bucket("__at"))
+    lines = left.select(*keys, F.col(left_at).alias("__at"), F.struct(*others).alias("__left")).withColumn("__block", bucket("__at"))
+    none = F.lit(None).cast(r.schema["__value"].dataType)
+    tops = r.groupBy(*keys, "__block").agg(F.max("__value").alias("__top"))
+    blocks = lines.select(*keys, "__block").distinct().withColumn("__top", none).unionByName(tops).groupBy(*keys, "__block").agg(F.max("__top").alias("__top"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, "__block", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
-    both = lines.select(*keys, "__block", "__at", F.lit(1).alias("__side"), "__left", F.lit(None).cast(r.schema["__value"].dataType).alias("__value")).unionByName(
+    carried = blocks.select(*keys, "__block", F.max("__top").over(before).alias("__carried"))
+    both = lines.select(*keys, "__block", "__at", F.lit(1).alias("__side"), "__left", none.alias("__value")).unionByName(
         r.select(*keys, "__block", "__at", F.lit(0).alias("__side"), F.lit(None).cast(lines.schema["__left"].dataType).alias("__left"), "__value")
     )
     line = Window.partitionBy(*keys, "__block").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.last(F.when(F.col("__side") == 0, F.struct("__at", "__value")), ignorenulls=True).over(line)
-    found = both.withColumn("__own", own).where("__side = 1").join(carried, [*keys, "__block"], "left").withColumn("__got", F.coalesce("__own", "__carried"))
-    return found.select(*keys, F.col("__at").alias(left_at), *[F.col(f"__left.{c}").alias(c) for c in others], F.col("__got.__at").alias(right_at), *[F.col(f"__got.__value.{c}").alias(c) for c in carry])
+    found = both.withColumn("__own", F.max("__value").over(line)).where("__side = 1").join(carried, [*keys, "__block"], "left").withColumn("__got", F.greatest("__own", "__carried"))
+    return found.select(*keys, F.col("__at").alias(left_at), *[F.col(f"__left.{c}").alias(c) for c in others], *[F.col(f"__got.{c}").alias(c) for c in dict.fromkeys([*rank, *carry])])
 
 
 QUALITY = ["valid", "delayed", "partial", "suspect"]

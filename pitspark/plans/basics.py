@@ -196,6 +196,9 @@ SQL = {
     "fn_scalars": f"""select distinct filing_id, {_PAD} as padded, sha256(accession_number) as checksum, trim(regexp_replace(lower('nandu ' || coalesce(form, '')), '[^a-z0-9]+', ' ', 'g')) as name_key,
         least(greatest(filing_id / 100.0, 1.0), 5.0)::double as clamped from sec_filings""",
     "fn_numbers": "select distinct vintage_row_id, case when trim(raw_value) not in ('.', '', 'NA') then round(try_cast(replace(trim(raw_value), ',', '') as double), 4) end as number from macro_vintages",
+    "fn_identity": f"""with d as (select distinct filing_id, '{{"accession":' || coalesce(to_json(accession_number)::varchar, 'null') || ',"form":' || coalesce(to_json(form)::varchar, 'null') || '}}' as text from sec_filings),
+        h as (select *, sha1(unhex('{NAMESPACE.replace('-', '')}') || encode(text)) as x from d)
+        select filing_id, text, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', 1 + (('0x' || x[17:17])::int % 4), 1) || x[18:20] || '-' || x[21:32] as identity from h""",
     "fn_isin": "select p_partkey, 1 as fits from part",
     "check_strict": _BARS + "select product_id, count(*) as bars from bars group by 1",
     "plan_refresh": _BARS + """select r.product_id, begins, ends, coalesce(l, begins) as fetch_from, case when l is null then 'initial' when l >= ends then 'current' else 'incremental' end as mode

@@ -11,16 +11,20 @@ from pitspark.operators.bitemporal import locate, rectangles
 from pitspark.operators.conditions import all_met, fold, outcome
 from pitspark.functions.scalars import clamp
 from pitspark.operators.normalise_times import with_instant
-from pitspark.operators.pit import latest_revision, quality_name, quality_rank
+from pitspark.operators.pit import eligible, latest_revision, quality_name, quality_rank
 from pitspark.operators.ratios import CORE, RATIOS, evaluate, history_statistics, percentile_rank, ratio_sql, year_over_year
 from pitspark.plans.market import _BARS, _RBARS, _W, DAY, KEYS, bars
-from pitspark.plans.series import bars_by_day, p1_found
+from pitspark.plans.instant_sql import instants
+from pitspark.plans.series import BARS_BY_DAY, bars_by_day, p1_found
 from pitspark.session import micros_sql, table
 
 FIELDS = ["revenue", "net_income", "total_assets", "total_liabilities", "shares_outstanding"]
 
-_FACTS = """
-with o as (select distinct * from observations where asset_id is not null and field_name is not null and period_end is not null and available_at is not null and quality = 'valid'),
+#: The cut at which facts are read.
+FACTS_KNOWN_AT = "2024-06-30 00:00:00"
+
+_FACTS = f"""
+with o as (select distinct * from observations where available_at <= timestamp '{FACTS_KNOWN_AT}' and asset_id is not null and field_name is not null and period_end is not null and available_at is not null and quality = 'valid'),
 r as (select *, row_number() over (partition by asset_id, frequency, field_name, period_end::date order by available_at desc, observation_id) as k from o),
 f as (select asset_id, frequency, replace(field_name, 'fundamental.', '') as field, period_end::date as period, obs_value as value, try_cast(json_extract_string(record_key, '$.fy') as int) as fy, json_extract_string(record_key, '$.fp') as fp from r where k = 1),
 wide as (select asset_id, frequency, period, max(value) filter (field = 'revenue') as revenue, max(value) filter (field = 'net_income') as net_income, max(value) filter (field = 'total_assets') as total_assets,
@@ -28,9 +32,9 @@ wide as (select asset_id, frequency, period, max(value) filter (field = 'revenue
 """
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last revision of each valid fact: asset_id, frequency, field, period (date), value, fy, fp."""
-    o = table(spark, sf_dir, "observations").where("asset_id is not null and field_name is not null and period_end is not null and available_at is not null and quality = 'valid'")
+def facts(spark: SparkSession, sf_dir: str, known_at: str = FACTS_KNOWN_AT) -> DataFrame:
+    """Each valid fact as known at the cut, the last of its revisions: asset_id, frequency, field, period (date), value, fy, fp."""
+    o = eligible(table(spark, sf_dir, "observations"), F.lit(known_at).cast("timestamp_ntz")).where("asset_id is not null and field_name is not null and period_end is not null and available_at is not null and quality = 'valid'")
     keys = ["asset_id", "frequency", "field_name", "period"]
     moments = o.withColumn("period", F.to_date("period_end")).groupBy(*keys, "available_at").agg(F.min(F.struct("observation_id", "obs_value", "record_key")).alias("first"))
     best = moments.groupBy(*keys).agg(F.max_by("first", "available_at").alias("b"))
@@ -227,10 +231,11 @@ SQL = {
         select asset_id, field_name, period, min(observation_id) as observation_id, count(distinct coalesce(obs_value::varchar, '')) > 1 as ambiguous, max(revisions) as revisions, max(revisions) - count(*) as superseded
         from m where available_at = last group by 1, 2, 3""",
     "fund_lineage": "select source_id, count(*) as orphans from (select distinct observation_id, source_id, raw_record_id from observations) o where not exists (select 1 from raw_records r where r.record_id = o.raw_record_id) group by 1",
-    "macro_as_of": r"""with o as (select distinct series_id, observation_date, vintage_date, vintage_row_id, raw_value from macro_vintages where regexp_full_match(observation_date, '\d{4}-\d{2}-\d{2}') and vintage_date <= date '2020-06-30'),
-        m as (select *, max(vintage_date) over (partition by series_id, observation_date) as last, count(*) over (partition by series_id, observation_date) as revisions from o)
-        select series_id, observation_date, last as vintage_date, min(vintage_row_id) as vintage_row_id, count(distinct coalesce(raw_value, '~')) > 1 as ambiguous, max(revisions) as revisions, max(revisions) - count(*) as superseded
-        from m where vintage_date = last group by 1, 2, 3""",
+    "macro_as_of": "with " + instants("i", "select distinct vintage_row_id as id, observation_date as t, feed from macro_vintages", True) + """,
+        o as (select distinct series_id, make_timestamp(i.ms * 1000)::date as day, vintage_date, vintage_row_id, raw_value from macro_vintages v join i on i.id = v.vintage_row_id where i.ms is not null and vintage_date <= date '2020-06-30'),
+        m as (select *, max(vintage_date) over (partition by series_id, day) as last, count(*) over (partition by series_id, day) as revisions from o)
+        select series_id, strftime(day, '%Y-%m-%d') as observation_date, last as vintage_date, min(vintage_row_id) as vintage_row_id, count(distinct coalesce(raw_value, '~')) > 1 as ambiguous, max(revisions) as revisions, max(revisions) - count(*) as superseded
+        from m where vintage_date = last group by series_id, day, last""",
     "cond_tri_valued": _FACTS + f"""select asset_id, frequency, period, margin, leverage, shares, case when margin = 'met' and leverage = 'met' and shares = 'met' then 'met'
         when 'not_met' in (margin, leverage, shares) then 'not_met' else 'not_evaluable' end as together from (select *, {', '.join(f'{v} as {k}' for k, v in _TRI.items())} from wide) t""",
     "cond_lifecycle": _RBARS + f""", rv as (select product_id, at_us, row_number() over (partition by product_id order by at_us) as n, round(volume / b, 6) as v from (select *, avg(volume) {_W.format(a=20, b='1 preceding')} as b from bars) x where rn >= 20 and b <> 0),
@@ -242,15 +247,16 @@ SQL = {
           case when s.is_open then case when r.v < 1.2 then 'closed' end when r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) then 'opened' end
         from s join rv r on r.product_id = s.product_id and r.n = s.n + 1)
         select product_id, at_us, event from s where event is not null""",
-    "val_multiples": """with b as (select symbol, available_at as seen, max(c) as c from daily_bars where c > 0 and c >= l and c <= h group by 1, 2),
-        q as (select distinct request_id, 'Q' || upper(regexp_replace(asset_id, '^equity-', '')) as symbol, known_at, valuation_date, asset_id from valuation_requests where asset_id is not null and known_at is not null),
-        p as (select q.*, b.c from q asof join b on q.symbol = b.symbol and q.known_at >= b.seen),
+    "val_multiples": f"""with {BARS_BY_DAY},
+        q as (select distinct request_id, 'Q' || upper(regexp_replace(asset_id, '^equity-', '')) as symbol, known_at, valuation_date, asset_id from valuation_requests where asset_id is not null and known_at is not null and valuation_date is not null and request_id is not null),
+        p as (select q.*, b.c from q join bars_by_day b on q.symbol = b.symbol and b.available_at <= q.known_at and b.day <= q.valuation_date where b.c > 0 and b.c >= b.l and b.c <= b.h and b.bar_id is not null
+          qualify row_number() over (partition by request_id order by b.day desc, b.available_at desc, b.bar_id) = 1),
         k as (select q.request_id, replace(o.field_name, 'fundamental.', '') as field, o.obs_value, row_number() over (partition by q.request_id, o.field_name order by o.period_end desc, o.available_at desc, o.observation_id) as k
           from q join (select distinct * from observations) o on o.asset_id = q.asset_id and o.available_at <= q.known_at and o.period_end::date <= q.valuation_date where o.frequency = 'annual' and o.quality = 'valid'),
         w as (select request_id, max(obs_value) filter (field = 'revenue') as revenue, max(obs_value) filter (field = 'net_income') as net_income, max(obs_value) filter (field = 'total_assets') - max(obs_value) filter (field = 'total_liabilities') as book,
           max(obs_value) filter (field = 'shares_outstanding') as shares from k where k = 1 group by 1)
         select p.request_id, p.symbol, round(c * shares, 2) as market_cap, case when net_income > 0 then round(c * shares / net_income, 4) end as price_to_earnings, case when revenue > 0 then round(c * shares / revenue, 4) end as price_to_sales,
-          case when book > 0 then round(c * shares / book, 4) end as price_to_book from p join w on p.request_id = w.request_id""",
+          case when book > 0 then round(c * shares / book, 4) end as price_to_book from p left join w on p.request_id = w.request_id""",
     "diag_scores": _BARS + f""", r as (select *, close / lag(close) over (partition by product_id order by rn) - 1 as ret, avg(close) {_W.format(a=4, b='current row')} as s, avg(close) {_W.format(a=19, b='current row')} as l,
           avg(volume) {_W.format(a=20, b='1 preceding')} as base, max(rn) over (partition by product_id) as last from bars),
         t as (select *, stddev_samp(ret) {_W.format(a=19, b='current row')} as vol from r),

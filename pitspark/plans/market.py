@@ -10,8 +10,9 @@ from pitspark.operators.bars import INTERVALS, calendar_bucket, fixed_bucket, is
 from pitspark.operators.compare import aligned, pair_statistics, range_statistics
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.ordered import index_rows
-from pitspark.operators.pit import as_of, effective_cut, eligible, latest_revision
-from pitspark.plans.series import bars_by_day
+from pitspark.operators.pit import best_known, effective_cut, eligible, latest_revision
+from pitspark.plans.instant_sql import instants
+from pitspark.plans.series import BARS_BY_DAY, bars_by_day
 from pitspark.session import micros_sql, table
 
 DAY = 86_400_000_000
@@ -19,26 +20,43 @@ KEYS = ["product_id"]
 #: The cut at which the point-in-time queries look.
 KNOWN_AT = "2025-11-15 00:00:00"
 
-_BARS = """
-with c as (
-  select product_id, granularity_s, epoch_us(candle_start) as at_us, open_price as open, high, low, close_price as close, volume,
-         row_number() over (partition by product_id, candle_start order by available_at desc, candle_id desc) as k
-  from spot_candles
-  where open_price > 0 and high > 0 and low > 0 and close_price > 0 and volume >= 0
-    and low <= open_price and open_price <= high and low <= close_price and close_price <= high),
-bars as (select product_id, granularity_s, at_us, open, high, low, close, volume, row_number() over (partition by product_id order by at_us) - 1 as rn from c where k = 1)
+_MEANING = ["granularity_s", "open", "high", "low", "close", "volume"]
+_BARS = f"""
+with k as (
+  select distinct product_id, granularity_s, epoch_us(candle_start) as at_us, available_at, candle_id, open_price as open, high, low, close_price as close, volume
+  from spot_candles where product_id is not null and candle_start is not null and candle_id is not null and available_at <= timestamp '{KNOWN_AT}'),
+lasting as (select *, concat_ws('|', {', '.join(f"coalesce({c}::varchar, '~')" for c in _MEANING)}) as m, max(available_at) over (partition by product_id, at_us) as last from k),
+c as (select *, row_number() over w as k, min(m) over v as m0, max(m) over v as m1 from lasting where available_at = last
+  window w as (partition by product_id, at_us order by candle_id), v as (partition by product_id, at_us)),
+versions as (select product_id, granularity_s, at_us, open, high, low, close, volume, m0 <> m1 as ambiguous,
+  coalesce(low > 0 and low <= open and open <= high and low <= close and close <= high and volume >= 0, false) as valid from c where k = 1),
+bars as (select product_id, granularity_s, at_us, open, high, low, close, volume, row_number() over (partition by product_id order by at_us) - 1 as rn from versions where valid and not ambiguous)
 """
-_RBARS = _BARS.replace("with c", "with recursive c")
+_RBARS = _BARS.replace("with k", "with recursive k", 1)
 
 
-def revised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last revision of each valid candle: product_id, granularity_s, at (microseconds), open, high, low, close, volume."""
-    c = table(spark, sf_dir, "spot_candles").select(
+def versions(spark: SparkSession, sf_dir: str, known_at: str = KNOWN_AT) -> DataFrame:
+    """Each candle as it was known at the cut: of its revisions available by then the latest.
+
+    Whether it is usable is asked of that revision alone: an invalid correction hides the older one. Revisions available
+    at the same moment that disagree are ambiguous.
+    """
+    c = table(spark, sf_dir, "spot_candles").where("product_id is not null and candle_start is not null and candle_id is not null").select(
         "product_id", "granularity_s", F.expr(micros_sql("candle_start")).alias("at_us"), F.col("open_price").alias("open"), "high", "low", F.col("close_price").alias("close"), "volume", "available_at", "candle_id"
     )
-    valid = c.where(is_valid_bar() & F.col("product_id").isNotNull())
-    best = F.max(F.struct("available_at", "candle_id", "granularity_s", "open", "high", "low", "close", "volume")).alias("x")
-    return valid.groupBy("product_id", "at_us").agg(best).select("product_id", "at_us", *[F.col(f"x.{n}").alias(n) for n in ("granularity_s", "open", "high", "low", "close", "volume")])
+    known = eligible(c, F.lit(known_at).cast("timestamp_ntz"))
+    return latest_revision(known, ["product_id", "at_us"], "available_at", _MEANING, "candle_id").withColumn("valid", is_valid_bar())
+
+
+def revised(spark: SparkSession, sf_dir: str, known_at: str = KNOWN_AT) -> DataFrame:
+    """The usable candles as known at the cut: product_id, granularity_s, at_us (microseconds), open, high, low, close, volume."""
+    return versions(spark, sf_dir, known_at).where("valid and not ambiguous").select("product_id", "at_us", *_MEANING)
+
+
+def bars_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candles of each product were usable, invalid or ambiguous at the cut."""
+    n = lambda test: F.count(F.when(F.expr(test), F.lit(1)))
+    return versions(spark, sf_dir).groupBy("product_id").agg(F.count(F.lit(1)).alias("candles"), n("valid and not ambiguous").alias("usable"), n("not valid and not ambiguous").alias("invalid"), n("ambiguous").alias("ambiguous"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +158,8 @@ def bars_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly bars of daily_bars by their New York day, with trade counts and mean prices where all have one; of a day's revisions the last."""
-    valid = bars_by_day(spark, sf_dir).where("h >= l and l > 0 and c >= l and c <= h and v >= 0")
-    one = valid.groupBy("symbol", "day").agg(F.max(F.struct("available_at", "bar_id", "o", "h", "l", "c", "v", "n", "vw")).alias("x"))
+    one = bars_by_day(spark, sf_dir).where("symbol is not null").groupBy("symbol", "day").agg(F.max(F.struct("available_at", "bar_id", "o", "h", "l", "c", "v", "n", "vw")).alias("x"))
+    one = one.where("x.h >= x.l and x.l > 0 and x.c >= x.l and x.c <= x.h and x.v >= 0")
     b = one.select("symbol", F.date_from_unix_date("day").alias("at"), F.col("x.o").alias("open"), F.col("x.h").alias("high"), F.col("x.l").alias("low"), F.col("x.c").alias("close"), F.col("x.v").alias("volume"), F.col("x.n").alias("trade_count"), F.col("x.vw").alias("vwap"))
     out = resample(b, ["symbol"], calendar_bucket(F.col("at"), "month"), "at")
     return out.select("symbol", "bucket", "high", "low", "volume", "members", "trade_count", F.round("vwap", 4).alias("vwap"))
@@ -197,11 +215,13 @@ def cmp_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asof_candle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each summary with the close of the last candle that began at or before it."""
-    s = table(spark, sf_dir, "perpetual_summaries").where("creation_timestamp is not null and instrument_name is not null").select(
+    """Each summary with the close of the last candle that was available when it was made, as it was known then."""
+    s = table(spark, sf_dir, "perpetual_summaries").where("creation_timestamp is not null and instrument_name is not null and summary_id is not null").select(
         "summary_id", F.concat(F.regexp_replace("instrument_name", "-PERPETUAL$", ""), F.lit("-USD")).alias("product_id"), (F.col("creation_timestamp") * 1000).alias("when")
     ).distinct()
-    out = as_of(s, revised(spark, sf_dir), KEYS, "when", "at_us", DAY, ["close"])
+    c = table(spark, sf_dir, "spot_candles").where("product_id is not null and candle_start is not null and available_at is not null and candle_id is not null")
+    known = c.select("product_id", F.expr(micros_sql("available_at")).alias("seen_us"), F.expr(micros_sql("candle_start")).alias("at_us"), "candle_id", F.col("close_price").alias("close"))
+    out = best_known(s, known, KEYS, "when", "seen_us", DAY, ["at_us", "seen_us", "candle_id"], ["close"])
     return out.where("close is not null").select("summary_id", "at_us", "close")
 
 
@@ -224,9 +244,18 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("instrument_name", F.floor(F.col("second") / F.lit(3600.0)).cast("long").alias("hour")).agg(F.avg("rate").alias("rate"))
 
 
+def _funding_sums(hours: DataFrame, n: int) -> DataFrame:
+    return ind.gap_free_sum(hours, ["instrument_name"], n, "rate", "hour").select("instrument_name", F.lit(n).alias("hours"), "hour", F.round("total", 10).alias("total"), F.round("mean", 10).alias("mean"))
+
+
 def der_funding_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _funding_sums(index_rows(_hours(spark, sf_dir), ["instrument_name"], "hour", 24 * 30), 24).drop("hours")
+
+
+def der_funding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum and mean of the funding of 24, 168 and 720 consecutive hours; a gap among them gives no row."""
     hours = index_rows(_hours(spark, sf_dir), ["instrument_name"], "hour", 24 * 30)
-    return ind.gap_free_sum(hours, ["instrument_name"], 24, "rate", "hour").select("instrument_name", "hour", F.round("total", 10).alias("total"), F.round("mean", 10).alias("mean"))
+    return _funding_sums(hours, 24).unionAll(_funding_sums(hours, 168)).unionAll(_funding_sums(hours, 720))
 
 
 def der_change_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +277,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         ind_return, ind_sma_20, ind_volatility_20, ind_relative_volume_20, ind_bollinger_20_2, ind_true_range, ind_ema_20, ind_rsi_14, ind_atr_14, ind_macd_12_26_9,
-        ind_drawdown, ind_normalised, ind_warm_up, bars_fixed, bars_daily, bars_weekly, bars_monthly, bars_weighted, bars_fields, bars_coverage, pit_latest_revision,
-        pit_history_range, pit_effective_cut, cmp_calendar, cmp_pairs, cmp_range, asof_candle, der_spread_bps, der_funding_24h, der_change_days, der_latest_slots,
+        ind_drawdown, ind_normalised, ind_warm_up, bars_fixed, bars_daily, bars_weekly, bars_monthly, bars_weighted, bars_fields, bars_coverage, bars_status, pit_latest_revision,
+        pit_history_range, pit_effective_cut, cmp_calendar, cmp_pairs, cmp_range, asof_candle, der_spread_bps, der_funding_24h, der_funding_windows, der_change_days, der_latest_slots,
     )
 }
 
@@ -271,6 +300,9 @@ _TR = """, ranges as (select product_id, at_us, rn, greatest(high - low, coalesc
   from (select *, lag(close) over (partition by product_id order by rn) as pc from bars) x)"""
 _W = "over (partition by product_id order by rn rows between {a} preceding and {b})"
 
+_HOURLY = "with " + instants("i", "select distinct funding_id as id, funding_timestamp as t, feed from funding_history") + """,
+    s as (select instrument_name, i.ms // 1000 as second, arg_max(interest_1h, (available_at, funding_id)) as rate from funding_history f join i on i.id = f.funding_id where i.ms is not null and interest_1h is not null and available_at is not null group by 1, 2),
+    h as (select instrument_name, second // 3600 as hour, avg(rate) as rate from s group by 1, 2)"""
 SQL = {
     "ind_return": _BARS + "select product_id, at_us, round(close / pc - 1, 6) as ret from (select *, lag(close) over (partition by product_id order by rn) as pc from bars) x where pc is not null",
     "ind_sma_20": _BARS + f"select product_id, at_us, round(m, 6) as sma from (select *, avg(close) {_W.format(a=19, b='current row')} as m from bars) x where rn >= 19",
@@ -298,10 +330,14 @@ SQL = {
     "bars_daily": _BARS + _CAL.format(u="day"),
     "bars_weekly": _BARS + _CAL.format(u="week"),
     "bars_monthly": _BARS + _CAL.format(u="month"),
-    "bars_weighted": """select symbol, date_trunc('month', available_at)::date as bucket, max(h) as high, min(l) as low, sum(v) as volume, count(*) as members,
+    "bars_weighted": f"""with {BARS_BY_DAY},
+        one as (select * from bars_by_day where symbol is not null qualify row_number() over (partition by symbol, day order by available_at desc nulls last, bar_id desc) = 1)
+        select symbol, date_trunc('month', day)::date as bucket, max(h) as high, min(l) as low, sum(v) as volume, count(*) as members,
         case when count(n) = count(*) then sum(n) end as trade_count, case when count(vw) = count(*) and sum(v) > 0 then round(sum(vw * v) / sum(v), 4) end as vwap
-        from (select distinct * from daily_bars) d where h >= l and l > 0 and c >= l and c <= h and v >= 0 group by 1, 2""",
+        from one where h >= l and l > 0 and c >= l and c <= h and v >= 0 group by 1, 2""",
     "bars_fields": _BARS + "select product_id, count(*) as bars, count(*) as missing, 0 as duplicated, max(high) as top from bars group by 1",
+    "bars_status": _BARS + """select product_id, count(*) as candles, count(*) filter (valid and not ambiguous) as usable, count(*) filter (not valid and not ambiguous) as invalid, count(*) filter (ambiguous) as ambiguous
+        from versions group by 1""",
     "bars_coverage": """with r as (select product_id, epoch_us(requested_start) as b, epoch_us(requested_end) as e from import_summaries where requested_start < requested_end),
         m as (select *, max(e) over (partition by product_id order by b, e rows between unbounded preceding and 1 preceding) as reach from r),
         i as (select *, sum(case when reach >= b then 0 else 1 end) over (partition by product_id order by b, e rows unbounded preceding) as g from m)
@@ -327,12 +363,15 @@ SQL = {
         from r group by product_id""",
     "cmp_range": _BARS + """, p as (select *, max(close) over (partition by product_id order by rn) as peak from bars)
         select product_id, count(*) as n, max(high) as high, min(low) as low, round(arg_max(close, at_us) / arg_min(close, at_us) - 1, 6) as total_return, round(min(close / peak - 1), 6) as max_drawdown from p group by 1""",
-    "asof_candle": _BARS + """, s as (select distinct summary_id, regexp_replace(instrument_name, '-PERPETUAL$', '') || '-USD' as product_id, creation_timestamp * 1000 as t from perpetual_summaries where creation_timestamp is not null)
-        select s.summary_id, b.at_us, b.close from s asof join bars b on s.product_id = b.product_id and s.t >= b.at_us""",
+    "asof_candle": """with s as (select distinct summary_id, regexp_replace(instrument_name, '-PERPETUAL$', '') || '-USD' as product_id, make_timestamp(creation_timestamp * 1000) as t from perpetual_summaries where creation_timestamp is not null and summary_id is not null),
+        j as (select s.summary_id, epoch_us(c.candle_start) as at_us, c.close_price as close, row_number() over (partition by s.summary_id order by c.candle_start desc, c.available_at desc, c.candle_id desc) as k
+          from s join (select distinct * from spot_candles) c on c.product_id = s.product_id and c.available_at <= s.t where c.candle_start is not null and c.candle_id is not null)
+        select summary_id, at_us, close from j where k = 1 and close is not null""",
     "der_spread_bps": "select distinct summary_id, instrument_name, round((ask_price - bid_price) / mid_price * 10000, 6) as spread_bps from perpetual_summaries where mid_price > 0 and ask_price >= bid_price",
-    "der_funding_24h": """with h as (select instrument_name, epoch_us(available_at) // 3600000000 as hour, avg(interest_1h) as rate from (select distinct funding_id, instrument_name, available_at, interest_1h from funding_history where interest_1h is not null) x group by 1, 2)
-        select instrument_name, hour, round(t, 10) as total, round(t / 24, 10) as mean from (select *, sum(rate) over w as t, lag(hour, 23) over (partition by instrument_name order by hour) as f from h
+    "der_funding_24h": _HOURLY + """ select instrument_name, hour, round(t, 10) as total, round(t / 24, 10) as mean from (select *, sum(rate) over w as t, lag(hour, 23) over (partition by instrument_name order by hour) as f from h
         window w as (partition by instrument_name order by hour rows between 23 preceding and current row)) y where hour - f = 23""",
+    "der_funding_windows": _HOURLY + " union all ".join(f""" select instrument_name, {n} as hours, hour, round(t, 10) as total, round(t / {n}, 10) as mean from (select *, sum(rate) over w as t, lag(hour, {n - 1}) over (partition by instrument_name order by hour) as f from h
+        window w as (partition by instrument_name order by hour rows between {n - 1} preceding and current row)) y where hour - f = {n - 1}""" for n in (24, 168, 720)),
     "der_change_days": """with d as (select instrument_name, creation_timestamp // 86400000 as day, avg(open_interest) as oi from (select distinct summary_id, instrument_name, creation_timestamp, open_interest from perpetual_summaries where open_interest is not null and creation_timestamp is not null) x group by 1, 2),
         k as (select * from (values (1), (7)) v(days))
         select a.instrument_name, a.day, k.days, round(a.oi - b.oi, 2) as change from d a, k, d b where a.instrument_name = b.instrument_name and b.day = a.day - k.days

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitspark.operators.history import numeric_value, version_history
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.shred import shred, table_of
+from pitspark.plans.instant_sql import instants
 from pitspark.session import micros_sql, numbered, table
 
 
@@ -61,4 +62,16 @@ def p6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_facts": p5_facts, "p5_segments": p5_segments, "p6_found": p6_found, "p6_history": p6_history}
-SQL: dict[str, str] = {}
+_VERSIONS = "with " + instants("i", "select distinct vintage_row_id as id, observation_date as t, feed from macro_vintages", True) + r""",
+    m as (select series_id, make_timestamp(i.ms * 1000)::date as od, realtime_start as start, coalesce(realtime_end, date '9999-12-31') as until, coalesce(retrieved_at, timestamp '0001-01-01') as seen,
+        case when regexp_full_match(x, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') then try_cast(x as double) end as num
+      from (select *, replace(trim(regexp_replace(raw_value, '\s', ' ', 'g')), ',', '') as x from (select distinct * from macro_vintages) d) y join i on i.id = y.vintage_row_id
+      where i.ms is not null and realtime_start is not null and series_id is not null),
+    k as (select * from m qualify row_number() over (partition by series_id, od, start order by seen desc, num desc nulls last, until desc) = 1),
+    c as (select *, case when row_number() over w > 1 and lag(num) over w is not distinct from num then 0 else 1 end as new from k window w as (partition by series_id, od order by start)),
+    g as (select *, sum(new) over (partition by series_id, od order by start rows unbounded preceding) as version from c),
+    v as (select series_id, od, version, min(start) as valid_from, arg_max(until, (seen, start)) as until, any_value(num) as num from g group by 1, 2, 3),
+    h as (select *, least(until, coalesce(lead(valid_from) over (partition by series_id, od order by version) - 1, date '9999-12-31')) as valid_to from v)
+    select series_id, strftime(od, '%Y-%m-%d') as observation_date, """
+_PLACES = "strftime(valid_from, '%Y-%m-%d') as valid_from, strftime(valid_to, '%Y-%m-%d') as valid_to from h"
+SQL = {"p6_found": _VERSIONS + _PLACES, "p6_history": _VERSIONS + "num as obs_value, " + _PLACES}

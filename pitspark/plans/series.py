@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitspark.operators.bitemporal import locate, rectangles
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.regular_grid import counter_increments, regular_series
+from pitspark.plans.instant_sql import instants
 from pitspark.session import micros_sql, table
 
 
@@ -114,7 +115,17 @@ def p3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_regions": p1_regions, "p3_found": p3_found, "p3_series": p3_series, "p3_counters": p3_counters}
+#: CTEs that end in bars_by_day: the rows of daily_bars with their New York date.
+BARS_BY_DAY = instants("bar_times", "select distinct bar_id as id, t, feed from daily_bars") + """,
+    bars_by_day as (select d.*, timezone('America/New_York', make_timestamptz(i.ms * 1000))::date as day from (select distinct * from daily_bars) d join bar_times i on d.bar_id = i.id where i.ms is not null)"""
 SQL = {
+    "p3_found": f"""with {BARS_BY_DAY},
+        w as (select distinct product_id, g, unnest(range((epoch_us(requested_start) + g * 1000000 - 1) // (g * 1000000), (epoch_us(requested_end) + g * 1000000 - 1) // (g * 1000000))) as cell
+          from (select *, granularity_s::bigint as g from import_summaries where granularity_s > 0) i),
+        v as (select distinct product_id, granularity_s::bigint as g, epoch_us(candle_start) // (granularity_s::bigint * 1000000) as cell from spot_candles where granularity_s > 0 and close_price is not null),
+        b as (select distinct symbol, day from bars_by_day where symbol is not null), r as (select symbol, unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from b group by 1)
+        select product_id as series, strftime(make_timestamp(cell * g * 1000000), '%Y-%m-%dT%H:%M:%SZ') as period from w where product_id is not null and not exists (select 1 from v where v.product_id = w.product_id and v.g = w.g and v.cell = w.cell)
+        union all select symbol, strftime(day, '%Y-%m-%d') from r where isodow(day) < 6 and not exists (select 1 from b where b.symbol = r.symbol and b.day = r.day)""",
     "p1_found": """
         select request_id, observation_id from (
           select r.request_id, o.observation_id, row_number() over (partition by r.request_id, o.field_name

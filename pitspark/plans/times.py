@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark.operators.normalise_times import with_instant
+from pitspark.plans.instant_sql import instants
 from pitspark.session import table
 
 #: table, id column, column with the text, whether it states a period
@@ -37,4 +38,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found}
-SQL: dict[str, str] = {}
+SQL = {
+    "p7_found": "with " + ", ".join(instants(f"i{n}", f"select distinct {key} as id, {text} as t, feed from {name}", p) for n, (name, key, text, p) in enumerate(TIMED))
+    + " union all ".join(f" select distinct '{name}' as tbl, id as row_id, ms as utc_ms from i{n} where ms is not null and id is not null" for n, (name, *_) in enumerate(TIMED)),
+}

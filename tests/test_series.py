@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pitspark.operators import indicators as ind
 from pitspark.operators.bars import is_valid_bar, merged_intervals, pivot_fields, resample, unpivot_fields
 from pitspark.operators.ordered import decayed_sum, index_rows
-from pitspark.operators.pit import as_of, latest_revision, quality_name, quality_rank, require
+from pitspark.operators.pit import best_known, latest_revision, quality_name, quality_rank, require
 
 
 def close_series(n, seed=4):
@@ -65,7 +65,7 @@ def test_as_of(spark):
     right = [(rng.choice("ab"), rng.randrange(1000), float(n)) for n in range(60)] + [("a", None, 1.0), ("c", 5, 9.0)]
     left = [(rng.choice("abd"), rng.randrange(-50, 1100), n) for n in range(80)] + [("a", 3, 80), ("a", 3, 80)]
     for block in (37, 10_000):
-        got = as_of(spark.createDataFrame(left, "k string, t long, id int"), spark.createDataFrame(right, "k string, at long, x double"), ["k"], "t", "at", block, ["x"])
+        got = best_known(spark.createDataFrame(left, "k string, t long, id int"), spark.createDataFrame(right, "k string, at long, x double"), ["k"], "t", "at", block, ["at", "x"], ["x"])
         found = sorted((r.id, r.at, r.x) for r in got.collect() if r.x is not None)
         wanted = []
         for k, t, n in left:
@@ -111,3 +111,17 @@ def test_intervals(spark):
 def test_quality(spark):
     df = spark.createDataFrame([("valid",), ("suspect",), ("odd",)], "q string")
     assert df.select(quality_name(F.max(quality_rank(F.col("q"))))).first()[0] == "suspect"
+
+
+def test_best_known_never_looks_ahead(spark):
+    """Late and revised rows, against reading all rows known at each moment."""
+    rng = random.Random(9)
+    right = []
+    for k in range(300):
+        at = rng.randrange(0, 1000)
+        right.append((rng.choice("ab"), at, at + rng.choice([1, 1, 1, 40, 300]), k, float(k)))
+    left = [(rng.choice("abz"), rng.randrange(-5, 1400), k) for k in range(200)]
+    for block in (7, 100, 5000):
+        got = best_known(spark.createDataFrame(left, "k string, t long, id int"), spark.createDataFrame(right, "k string, at long, seen long, n long, x double"), ["k"], "t", "seen", block, ["at", "seen", "n"], ["x"])
+        want = {i: max(((a, s, n, x) for k2, a, s, n, x in right if k2 == k and s <= t), default=(None,) * 4)[3] for k, t, i in left}
+        assert {r.id: r.x for r in got.collect()} == want
