@@ -9,7 +9,6 @@ from pitspark.operators import indicators as ind
 from pitspark.operators.bars import pivot_fields
 from pitspark.operators.bitemporal import locate, rectangles
 from pitspark.operators.conditions import all_met, fold, outcome
-from pitspark.functions.scalars import clamp
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.pit import eligible, latest_revision, quality_name, quality_rank
 from pitspark.operators.ratios import CORE, RATIOS, evaluate, history_statistics, percentile_rank, ratio_sql, year_over_year
@@ -26,7 +25,7 @@ FACTS_KNOWN_AT = "2024-06-30 00:00:00"
 _FACTS = f"""
 with o as (select distinct * from observations where available_at <= timestamp '{FACTS_KNOWN_AT}' and asset_id is not null and field_name is not null and period_end is not null and available_at is not null and quality = 'valid'),
 r as (select *, row_number() over (partition by asset_id, frequency, field_name, period_end::date order by available_at desc, observation_id) as k from o),
-f as (select asset_id, frequency, replace(field_name, 'fundamental.', '') as field, period_end::date as period, obs_value as value, try_cast(json_extract_string(record_key, '$.fy') as int) as fy, json_extract_string(record_key, '$.fp') as fp from r where k = 1),
+f as (select available_at, asset_id, frequency, replace(field_name, 'fundamental.', '') as field, period_end::date as period, obs_value as value, try_cast(json_extract_string(record_key, '$.fy') as int) as fy, json_extract_string(record_key, '$.fp') as fp from r where k = 1),
 wide as (select asset_id, frequency, period, max(value) filter (field = 'revenue') as revenue, max(value) filter (field = 'net_income') as net_income, max(value) filter (field = 'total_assets') as total_assets,
   max(value) filter (field = 'total_liabilities') as total_liabilities, max(value) filter (field = 'shares_outstanding') as shares_outstanding from f group by 1, 2, 3)
 """
@@ -37,9 +36,9 @@ def facts(spark: SparkSession, sf_dir: str, known_at: str = FACTS_KNOWN_AT) -> D
     o = eligible(table(spark, sf_dir, "observations"), F.lit(known_at).cast("timestamp_ntz")).where("asset_id is not null and field_name is not null and period_end is not null and available_at is not null and quality = 'valid'")
     keys = ["asset_id", "frequency", "field_name", "period"]
     moments = o.withColumn("period", F.to_date("period_end")).groupBy(*keys, "available_at").agg(F.min(F.struct("observation_id", "obs_value", "record_key")).alias("first"))
-    best = moments.groupBy(*keys).agg(F.max_by("first", "available_at").alias("b"))
+    best = moments.groupBy(*keys).agg(F.max_by("first", "available_at").alias("b"), F.max("available_at").alias("available_at"))
     return best.select(
-        "asset_id", "frequency", F.regexp_replace("field_name", r"^fundamental\.", "").alias("field"), "period", F.col("b.obs_value").alias("value"),
+        "available_at", "asset_id", "frequency", F.regexp_replace("field_name", r"^fundamental\.", "").alias("field"), "period", F.col("b.obs_value").alias("value"),
         F.get_json_object("b.record_key", "$.fy").try_cast("int").alias("fy"), F.get_json_object("b.record_key", "$.fp").alias("fp"),
     )
 
@@ -149,11 +148,11 @@ def cond_json_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-def val_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiples at each request that has a price: the last valid bar up to the valuation date and the annual facts, both as known by then.
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, close_price): the last valid bar up to the valuation date, as known by then.
 
     Bars are dated by the New York day of t, and of a day's bars the one known last counts. The symbol of an asset is 'Q'
-    and its short name. A multiple without its facts, or over none above zero, is null.
+    and its short name.
     """
     bars_ = bars_by_day(spark, sf_dir).where("bar_id is not null and c > 0 and c >= l and c <= h").select(
         F.col("symbol").alias("entity"), F.lit("c").alias("attribute"), F.format_string("%020d", "bar_id").alias("fact_id"), (F.col("day") * F.lit(DAY)).alias("period_end"), F.expr(micros_sql("available_at")).alias("known"), "c"
@@ -162,41 +161,34 @@ def val_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("request_id").alias("point_id"), F.concat(F.lit("Q"), F.upper(F.regexp_replace("asset_id", "^equity-", ""))).alias("entity"),
         F.datediff("valuation_date", F.lit("1970-01-01").cast("date")).alias("at_day"), F.expr(micros_sql("known_at")).alias("at_micros"),
     ).distinct()
-    closes = bars_.groupBy("fact_id").agg(F.max("c").alias("c"))
-    held = locate(asked, rectangles(bars_)).join(closes, "fact_id")
-    priced = held.join(asked.select("point_id", "entity"), "point_id").select(F.col("point_id").alias("request_id"), F.col("entity").alias("symbol"), "c")
+    closes = bars_.groupBy("fact_id").agg(F.max("c").alias("close_price"))
+    return locate(asked, rectangles(bars_)).join(closes, "fact_id").select(F.col("point_id").alias("request_id"), "close_price")
+
+
+def val_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price and annual facts of each request that has either, as known by then."""
     found = p1_found(spark, sf_dir)
     values = table(spark, sf_dir, "observations").groupBy("observation_id").agg(F.min(F.struct(F.regexp_replace("field_name", r"^fundamental\.", "").alias("field"), "obs_value")).alias("o"))
     facts_ = found.join(values, "observation_id").select("request_id", "o.field", "o.obs_value")
     wide = pivot_fields(facts_, ["request_id"], "field", "obs_value", FIELDS).drop("missing", "duplicated")
-    cap = F.col("c") * F.col("shares_outstanding")
+    return _prices(spark, sf_dir).join(wide, "request_id", "full")
+
+
+def val_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiples at each request that has a price; one without its facts, or over none above zero, is null."""
+    asked = table(spark, sf_dir, "valuation_requests").select("request_id", F.concat(F.lit("Q"), F.upper(F.regexp_replace("asset_id", "^equity-", ""))).alias("symbol")).distinct()
+    cap = F.col("close_price") * F.col("shares_outstanding")
     over = lambda x: F.when(x > 0, F.round(F.try_divide(cap, x), 4))
-    return priced.join(wide, "request_id", "left").select(
+    return val_inputs(spark, sf_dir).where("close_price is not null").join(asked, "request_id").select(
         "request_id", "symbol", F.round(cap, 2).alias("market_cap"), over(F.col("net_income")).alias("price_to_earnings"), over(F.col("revenue")).alias("price_to_sales"), over(F.col("total_assets") - F.col("total_liabilities")).alias("price_to_book")
     )
 
 
-def diag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trend and momentum of each product's last bar as clamped scores, with what its volume and volatility say of them."""
-    b = bars(spark, sf_dir)
-    last = b.groupBy("product_id").agg(F.max("rn").alias("rn"))
-    a = ind.sma(b, KEYS, 5).select("product_id", "rn", F.col("sma").alias("short"))
-    c = ind.sma(b, KEYS, 20).select("product_id", "rn", F.col("sma").alias("long"))
-    r = ind.simple_return(b, KEYS).select("product_id", "rn", "ret")
-    v = ind.volatility(b, KEYS, 20).select("product_id", "rn", "volatility")
-    w = ind.relative_volume(b, KEYS, 20).select("product_id", "rn", "relative_volume")
-    on = ["product_id", "rn"]
-    x = last.join(a, on).join(c, on).join(r, on).join(v, on).join(w, on)
-    trend, momentum = clamp(50 + 1000 * (F.col("short") / F.col("long") - 1), 0.0, 100.0), clamp(50 + 1000 * F.col("ret"), 0.0, 100.0)
-    confidence = (clamp(F.col("relative_volume") / 2, 0.0, 1.0) + clamp(1 - F.col("volatility") / 0.10, 0.0, 1.0)) / 2
-    return x.select("product_id", F.round(trend, 4).alias("trend"), F.round(momentum, 4).alias("momentum"), F.round(0.6 * trend + 0.4 * momentum, 4).alias("score"), F.round(confidence, 4).alias("confidence"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         fund_period_view, fund_core, fund_research, fund_yoy, fund_history, fund_percentile, fund_quality, fund_revisions, fund_lineage, macro_as_of,
-        cond_tri_valued, cond_lifecycle, cond_json_parameter, val_multiples, diag_scores,
+        cond_tri_valued, cond_lifecycle, cond_json_parameter, val_multiples,
     )
 }
 
@@ -257,11 +249,5 @@ SQL = {
           max(obs_value) filter (field = 'shares_outstanding') as shares from k where k = 1 group by 1)
         select p.request_id, p.symbol, round(c * shares, 2) as market_cap, case when net_income > 0 then round(c * shares / net_income, 4) end as price_to_earnings, case when revenue > 0 then round(c * shares / revenue, 4) end as price_to_sales,
           case when book > 0 then round(c * shares / book, 4) end as price_to_book from p left join w on p.request_id = w.request_id""",
-    "diag_scores": _BARS + f""", r as (select *, close / lag(close) over (partition by product_id order by rn) - 1 as ret, avg(close) {_W.format(a=4, b='current row')} as s, avg(close) {_W.format(a=19, b='current row')} as l,
-          avg(volume) {_W.format(a=20, b='1 preceding')} as base, max(rn) over (partition by product_id) as last from bars),
-        t as (select *, stddev_samp(ret) {_W.format(a=19, b='current row')} as vol from r),
-        x as (select product_id, least(greatest(50 + 1000 * (s / l - 1), 0), 100) as trend, least(greatest(50 + 1000 * ret, 0), 100) as momentum,
-          (least(greatest(volume / base / 2, 0), 1) + least(greatest(1 - vol / 0.10, 0), 1)) / 2 as confidence from t where rn = last and rn >= 20 and base <> 0)
-        select product_id, round(trend, 4) as trend, round(momentum, 4) as momentum, round(0.6 * trend + 0.4 * momentum, 4) as score, round(confidence, 4) as confidence from x""",
     "cond_json_parameter": "select event_type, count(*) as n, round(sum(value), 4) as total from events where try_cast(json_extract_string(props, '$.k') as int) = 20 group by 1",
 }
