@@ -75,11 +75,11 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 SQL: dict[str, str] = {
     "p2_found": "with " + instants("i", "select distinct funding_id as id, funding_timestamp as t, feed from funding_history") + """,
-        s as (select distinct summary_id, instrument_name, creation_timestamp as at from perpetual_summaries where creation_timestamp is not null and instrument_name is not null and summary_id is not null),
+        s as (select distinct summary_id, instrument_name, creation_timestamp as made from perpetual_summaries where creation_timestamp is not null and instrument_name is not null and summary_id is not null),
         f as (select distinct f.funding_id, f.instrument_name, i.ms from funding_history f join i on i.id = f.funding_id where i.ms is not null),
-        a as (select summary_id, funding_id as other_id, row_number() over (partition by summary_id order by abs(ms - at), ms, funding_id) as k from s join f on s.instrument_name = f.instrument_name and f.ms between s.at - 1200000 and s.at + 1200000),
+        a as (select summary_id, funding_id as other_id, row_number() over (partition by summary_id order by abs(ms - made), ms, funding_id) as k from s join f on s.instrument_name = f.instrument_name and f.ms between s.made - 1200000 and s.made + 1200000),
         c as (select distinct candle_id, product_id, epoch_us(candle_start) as us from spot_candles where candle_id is not null and candle_start is not null),
-        b as (select summary_id, candle_id as other_id, row_number() over (partition by summary_id order by abs(us - at * 1000), us, candle_id) as k from s join c on c.product_id = regexp_extract(instrument_name, '^(.*)-PERPETUAL$', 1) || '-USD' and c.us between s.at * 1000 - 90000000 and s.at * 1000 + 90000000)
+        b as (select summary_id, candle_id as other_id, row_number() over (partition by summary_id order by abs(us - made * 1000), us, candle_id) as k from s join c on c.product_id = regexp_extract(instrument_name, '^(.*)-PERPETUAL$', 1) || '-USD' and c.us between s.made * 1000 - 90000000 and s.made * 1000 + 90000000)
         select summary_id, 'funding_history' as other_table, other_id from a where k = 1 union all select summary_id, 'spot_candles', other_id from b where k = 1""",
     "p8_round_trip": "select doc_id, length(t) as chars, strlen(t) as bytes, sha256(t) as digest from (select distinct doc_id, coalesce(text, '') as t from documents where doc_id is not null) d",
 }
