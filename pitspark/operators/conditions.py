@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TESTS = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b}
@@ -56,6 +56,24 @@ def fold(evaluations: DataFrame, confirmations: int, cooldown: int) -> DataFrame
     return ordered.mapInPandas(run, schema)
 
 
+def replay(evaluations: DataFrame, confirmations: int, cooldown: int) -> DataFrame:
+    """For each stream of evaluations (as ``fold``): how many moments there were, how many matched or could not be evaluated,
+    the share that matched, how often a stretch opened and closed, and the first and last moment."""
+    one = evaluations.where("stream is not null and at is not null").groupBy("stream", "at").agg(F.max(F.struct("entry", "hold")).alias("x"))
+    n = lambda test: F.count(F.when(test, F.lit(1)))
+    counts = one.groupBy("stream").agg(F.count(F.lit(1)).alias("evaluations"), n(F.col("x.entry") == "met").alias("matched"), n(F.col("x.entry") == "not_evaluable").alias("not_evaluable"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    events = fold(evaluations, confirmations, cooldown).groupBy("stream").agg(n(F.col("event") == "opened").alias("opened"), n(F.col("event") == "closed").alias("closed"))
+    zero = F.lit(0).cast("long")
+    return counts.join(events, "stream", "left").withColumns({"match_rate": F.round(F.col("matched") / F.col("evaluations"), 6), "opened": F.coalesce("opened", zero), "closed": F.coalesce("closed", zero)})
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """Stretches (stream, opened_at, closed_at) of the events of ``fold``; one that is still open has no end."""
+    line = Window.partitionBy("stream").orderBy("at")
+    following = events.withColumns({"__next": F.lead("at").over(line), "__kind": F.lead("event").over(line)})
+    return following.where("event = 'opened'").select("stream", F.col("at").alias("opened_at"), F.when(F.col("__kind") == "closed", F.col("__next")).alias("closed_at"))
+
+
 def new_state() -> dict:
     return {"count": 0, "open": False, "until": None, "last": None}
 

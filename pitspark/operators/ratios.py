@@ -24,13 +24,13 @@ TERMS = {
 
 @dataclass(frozen=True)
 class Ratio:
-    """A metric: ``over`` must be above zero; low and high bound the result where given."""
+    """A metric: ``over`` must be above zero. taxed: it rests on the tax rate, which needs a pre-tax income above zero and must
+    lie between 0 and 1."""
 
     name: str
     top: str
     over: str | None = None
-    low: float | None = None
-    high: float | None = None
+    taxed: bool = False
 
 
 #: Names and formulas of the metrics.
@@ -43,7 +43,7 @@ RATIOS = [
     Ratio("current_ratio", "current_assets", "current_liabilities"),
     Ratio("diluted_eps", "diluted_eps"),
     Ratio("diluted_shares", "diluted_shares"),
-    Ratio("effective_tax_rate", "income_tax", "pretax_income", 0.0, 1.0),
+    Ratio("effective_tax_rate", "{tax_rate}", taxed=True),
     Ratio("financial_debt", "{debt}"),
     Ratio("financial_debt_to_assets", "{debt}", "total_assets"),
     Ratio("financial_debt_to_equity", "{debt}", "equity"),
@@ -66,7 +66,7 @@ RATIOS = [
     Ratio("research_and_development_to_revenue", "research_and_development", "revenue"),
     Ratio("return_on_assets_ending_balance", "net_income", "total_assets"),
     Ratio("return_on_equity_ending_balance", "net_income", "equity"),
-    Ratio("return_on_invested_capital_ending_balance", "operating_income * (1 - {tax_rate})", "equity + {debt} - ({liquid})"),
+    Ratio("return_on_invested_capital_ending_balance", "operating_income * (1 - {tax_rate})", "equity + {debt} - ({liquid})", taxed=True),
     Ratio("revenue_per_diluted_share", "revenue", "diluted_shares"),
     Ratio("selling_general_and_administrative_to_revenue", "selling_general_and_administrative", "revenue"),
     Ratio("share_based_compensation_to_revenue", "share_based_compensation", "revenue"),
@@ -76,48 +76,44 @@ RATIOS = [
     Ratio("total_financial_obligations", "{debt} + {lease}"),
     Ratio("working_capital", "current_assets - current_liabilities"),
 ]
-CORE = [Ratio("net_margin", "net_income", "revenue"), Ratio("liabilities_to_assets", "total_liabilities", "total_assets"), Ratio("liabilities_to_equity", "total_liabilities", "total_assets - total_liabilities")]
+CORE = [Ratio("net_margin", "net_income", "revenue"), Ratio("liabilities_to_assets", "total_liabilities", "total_assets"), Ratio("liabilities_to_net_assets", "total_liabilities", "total_assets - total_liabilities")]
 
 
-def formula(text: str, divide: str = "try_divide({0}, {1})") -> str:
+def formula(text: str) -> str:
     """A formula's SQL, its shared terms written out; the tax rate is the one term with a division."""
-    terms = TERMS | {"tax_rate": divide.format("income_tax", "pretax_income")}
+    terms = TERMS | {"tax_rate": "try_divide(income_tax, pretax_income)"}
     return text.format(**{k: v if k == "tax_rate" else f"({v})" for k, v in terms.items()})
 
 
+def _inputs(r: Ratio) -> list[str]:
+    return sorted(set(re.findall(r"[a-z_]+", formula(r.top) + " " + formula(r.over or ""))) - {"try_divide"})
+
+
 def evaluate(wide: DataFrame, keys: list[str], ratios: list[Ratio], places: int = 6) -> DataFrame:
-    """(keys, metric, value, reason): one row for each ratio of each wide row, with a value or a reason.
+    """(keys, metric, value, reason): one row for each ratio of each wide row, with a value or the first reason against it.
 
     Facts that wide has no column for count as missing. One projection and one unpivot, without a shuffle.
     """
-    names = {n for r in ratios for n in re.findall(r"[a-z_]+", formula(r.top) + " " + formula(r.over or "")) if n != "try_divide"}
-    full = wide.withColumns({n: F.lit(None).cast("double") for n in sorted(names) if n not in wide.columns})
+    full = wide.withColumns({n: F.lit(None).cast("double") for n in sorted({n for r in ratios for n in _inputs(r)}) if n not in wide.columns})
 
     def one(r: Ratio) -> Column:
-        top, over = F.expr(formula(r.top)), F.expr(formula(r.over)) if r.over else F.lit(1.0)
-        value = F.try_divide(top, over) if r.over else top
-        reason = F.when(top.isNull() | over.isNull(), "missing_inputs").when(over <= 0, "non_positive_denominator")
-        if r.low is not None:
-            reason = reason.when((value < r.low) | (value > r.high), "out_of_range")
+        top = F.expr(formula(r.top))
+        missing = F.lit(False)
+        for n in _inputs(r):
+            missing = missing | F.col(n).isNull()
+        reason = F.when(missing, "missing_inputs")
+        if r.taxed:
+            rate = F.expr(formula("{tax_rate}"))
+            reason = reason.when(F.col("pretax_income") <= 0, "non_positive_denominator").when((rate < 0) | (rate > 1), "tax_rate_out_of_range")
+        value = top
+        if r.over:
+            over = F.expr(formula(r.over))
+            value, reason = F.try_divide(top, over), reason.when(over <= 0, "non_positive_denominator")
         return F.struct(F.lit(r.name).alias("metric"), F.when(reason.isNull(), F.round(value, places)).alias("value"), reason.alias("reason"))
 
     return full.select(*keys, F.explode(F.array(*[one(r) for r in ratios])).alias("m")).select(*keys, "m.metric", "m.value", "m.reason")
 
 
-def ratio_sql(keys: list[str], source: str, ratios: list[Ratio], places: int = 6) -> str:
-    """The same in SQL, over a relation with a column for each fact."""
-    parts = []
-    for r in ratios:
-        div = "({0} / nullif({1}, 0))"
-        top, over = formula(r.top, div), formula(r.over, div) if r.over else "1.0"
-        value = f"({top}) / nullif({over}, 0)" if r.over else f"({top})"
-        bounds = f" when {value} < {r.low} or {value} > {r.high} then 'out_of_range'" if r.low is not None else ""
-        parts.append(
-            f"select {', '.join(keys)}, '{r.name}' as metric, {value} as v, case when ({top}) is null or ({over}) is null then 'missing_inputs' when {over} <= 0 then 'non_positive_denominator'{bounds} end as reason from {source}"
-        )
-    return f"select {', '.join(keys)}, metric, case when reason is null then round(v, {places}) end as value, reason from ({' union all '.join(parts)}) u"
-
-
 def year_over_year(facts: DataFrame, keys: list[str], year: str, period: str, value: str) -> DataFrame:
     """Each period's change against the same period of the year before: growth over a positive base, rate over an absolute one.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions.scalars import canonical_json, checksum, clamp, day_bounds, isin_is_valid, name_key, number_or_null, pad_cik, uuid5
 from pitspark.operators.bars import resample
 from pitspark.operators.pit import require
+from pitspark.operators.scans import bulk_get, scan
 from pitspark.operators.shred import shred, table_of
 from pitspark.plans.market import _BARS, _calendar, revised
 from pitspark.sources.landed import verified
@@ -18,11 +21,20 @@ NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
 def scan_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equality, list and range predicates together, all of which reach the scan."""
-    o = table(spark, sf_dir, "observations")
-    lo, hi = F.lit("2016-01-01 00:00:00").cast("timestamp_ntz"), F.lit("2020-12-31 23:59:59").cast("timestamp_ntz")
-    keep = (F.col("frequency") == "annual") & F.col("field_name").isin("fundamental.revenue", "fundamental.net_income") & (F.col("quality") == "valid") & F.col("period_end").between(lo, hi)
-    return o.where(keep).select("observation_id", "asset_id", "field_name", "obs_value").distinct()
+    """Equality, list, range, presence, parameter and pattern predicates together; all but the parameters reach the scan."""
+    when = lambda x: datetime.fromisoformat(x)
+    found = scan(
+        table(spark, sf_dir, "observations"), equal={"frequency": "annual", "quality": "valid", "unit": "USD"}, among={"field_name": ["fundamental.revenue", "fundamental.net_income"]},
+        at_least={"period_end": when("2016-01-01 00:00:00"), "available_at": when("2016-01-01 00:00:00"), "accepted_at": when("2016-01-01 00:00:00")}, at_most={"period_end": when("2020-12-31 23:59:59"), "available_at": when("2024-01-01 00:00:00")},
+        before={"normalized_at": when("2025-01-01 00:00:00")}, not_null=["asset_id", "observation_id"], parameters={"form": "10-K"}, parameters_in="record_key", matching={"source_id": "^sec-"},
+    )
+    return found.select("observation_id", "asset_id", "field_name", "obs_value").distinct()
+
+
+def scan_bulk_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records that observations name, and those that are not there."""
+    named = table(spark, sf_dir, "observations").select(F.col("raw_record_id").alias("record_id"))
+    return bulk_get(table(spark, sf_dir, "raw_records").select("record_id", "source_id", "received_at"), "record_id", named)
 
 
 def scan_empty_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,15 +178,18 @@ def plan_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_observations, scan_empty_list, scan_day_bounds, agg_counts, top_last_periods, top_newest, top_whole_buckets, set_operations, join_resolve_alias, join_semi_anti,
+        scan_observations, scan_bulk_get, scan_empty_list, scan_day_bounds, agg_counts, top_last_periods, top_newest, top_whole_buckets, set_operations, join_resolve_alias, join_semi_anti,
         src_volatility_points, src_filing_index, src_company_facts, src_verified, sink_lineage, fn_scalars, fn_numbers, fn_identity, fn_isin, check_strict, plan_refresh,
     )
 }
 
 _PAD = "case when length(ltrim(regexp_replace(cik, '\\D', '', 'g'), '0')) between 1 and 10 then lpad(ltrim(regexp_replace(cik, '\\D', '', 'g'), '0'), 10, '0') end"
 SQL = {
-    "scan_observations": """select distinct observation_id, asset_id, field_name, obs_value from observations where frequency = 'annual' and field_name in ('fundamental.revenue', 'fundamental.net_income') and quality = 'valid'
-        and period_end between timestamp '2016-01-01 00:00:00' and timestamp '2020-12-31 23:59:59'""",
+    "scan_observations": """select distinct observation_id, asset_id, field_name, obs_value from observations where frequency = 'annual' and quality = 'valid' and unit = 'USD' and field_name in ('fundamental.revenue', 'fundamental.net_income')
+        and period_end between timestamp '2016-01-01' and timestamp '2020-12-31 23:59:59' and available_at between timestamp '2016-01-01' and timestamp '2024-01-01' and accepted_at >= timestamp '2016-01-01' and normalized_at < timestamp '2025-01-01'
+        and asset_id is not null and observation_id is not null and json_extract_string(record_key, '$.form') = '10-K' and source_id like 'sec-%'""",
+    "scan_bulk_get": """select a.record_id, r.source_id, r.received_at, r.record_id is not null as found from (select distinct raw_record_id as record_id from observations where raw_record_id is not null) a
+        left join (select distinct record_id, source_id, received_at from raw_records) r on r.record_id = a.record_id""",
     "scan_empty_list": "select observation_id from observations where 1 = 0",
     "scan_day_bounds": "select event_type, count(*) as n, round(sum(value), 4) as total from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-08' group by 1",
     "agg_counts": "select field_name, frequency, count(*) as n, count(distinct observation_id) as ids, min(available_at) as first_available, max(available_at) as last_available from observations group by 1, 2",

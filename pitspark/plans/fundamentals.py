@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pitspark.operators import indicators as ind
 from pitspark.operators.bars import pivot_fields
 from pitspark.operators.bitemporal import locate, rectangles
-from pitspark.operators.conditions import all_met, fold, outcome
+from pitspark.operators.conditions import all_met, fold, outcome, replay, transitions
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.pit import eligible, latest_revision, quality_name, quality_rank
-from pitspark.operators.ratios import CORE, RATIOS, evaluate, history_statistics, percentile_rank, ratio_sql, year_over_year
+from pitspark.operators.ratios import CORE, RATIOS, evaluate, history_statistics, percentile_rank, year_over_year
 from pitspark.plans.market import _BARS, _RBARS, _W, DAY, KEYS, bars
 from pitspark.plans.instant_sql import instants
 from pitspark.plans.series import BARS_BY_DAY, bars_by_day, p1_found
@@ -56,27 +56,24 @@ def fund_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(wide_facts(spark, sf_dir).drop("missing", "duplicated"), ["asset_id", "frequency", "period"], CORE)
 
 
-def fund_research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metrics of the catalogue on figures made from orders and line items, by nation and year."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    year = F.year("o_orderdate")
-    base = o.groupBy(F.col("c_nationkey").alias("nation"), year.alias("year")).agg(
-        F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.round(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))), 2).alias("net_income"),
-        F.round(F.sum(F.when(F.substring("o_orderpriority", 1, 1) == "1", F.col("o_totalprice"))), 2).alias("cash"), F.count(F.lit(1)).cast("double").alias("shares_outstanding"),
-    )
-    return evaluate(base.selectExpr("nation", "year", *_MADE), ["nation", "year"], RATIOS)
-
-
-#: Figures for the catalogue, made from four sums.
+#: Facts of the catalogue, each made from orders of its own.
 _MADE = [
-    "revenue", "net_income", "cash", "shares_outstanding", "revenue * 2.5 as total_assets", "revenue * 1.1 as equity", "revenue * 0.4 as gross_profit", "net_income * 1.3 as operating_income",
-    "net_income * 1.2 as pretax_income", "net_income * 0.3 as income_tax", "revenue * 0.02 as interest_expense", "net_income + revenue * 0.1 as operating_cash_flow", "revenue * 0.08 as capital_expenditures",
-    "revenue * 0.6 as current_assets", "revenue * 0.5 as current_liabilities", "revenue * 0.05 as commercial_paper", "revenue * 0.07 as long_term_debt_current", "revenue * 0.3 as long_term_debt_noncurrent",
-    "cash * 0.5 as marketable_securities_current", "cash * 0.25 as marketable_securities_noncurrent", "revenue * 0.9 as ppe_net", "revenue * 0.06 as research_and_development",
-    "revenue * 0.12 as selling_general_and_administrative", "revenue * 0.015 as share_based_compensation", "cash * 0.1 as dividends_paid", "cash * 0.2 as share_repurchases",
-    "net_income / shares_outstanding as diluted_eps", "shares_outstanding * 1.05 as diluted_shares", "revenue * 0.01 as operating_lease_current", "revenue * 0.04 as operating_lease_noncurrent",
-    "revenue * 0.005 as finance_lease_current", "revenue * 0.02 as finance_lease_noncurrent",
+    "revenue", "net_income", "cash", "shares_outstanding", "total_assets", "equity", "gross_profit", "operating_income", "pretax_income", "income_tax", "interest_expense", "operating_cash_flow", "capital_expenditures",
+    "current_assets", "current_liabilities", "commercial_paper", "long_term_debt_current", "long_term_debt_noncurrent", "marketable_securities_current", "marketable_securities_noncurrent", "ppe_net",
+    "research_and_development", "selling_general_and_administrative", "share_based_compensation", "dividends_paid", "share_repurchases", "diluted_eps", "diluted_shares", "operating_lease_current",
+    "operating_lease_noncurrent", "finance_lease_current", "finance_lease_noncurrent",
 ]
+#: A fact's figure: urgent orders count against it, small sums are zero, and where it has no order it is missing.
+_FIGURE = "floor(sum(case when o_orderkey % {m} = {k} then case when substr(o_orderpriority, 1, 1) = '1' then -o_totalprice else o_totalprice end end) / 60000) * 60000"
+
+
+def fund_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of the catalogue on figures made from orders, by nation and year; figures are independent of each other and
+    may be negative, zero or missing."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    made = [F.expr(_FIGURE.format(m=len(_MADE), k=k)).cast("double").alias(n) for k, n in enumerate(_MADE)]
+    base = o.groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year")).agg(*made)
+    return evaluate(base, ["nation", "year"], RATIOS)
 
 
 def fund_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +132,24 @@ def cond_tri_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("asset_id", "frequency", "period", a.alias("margin"), b.alias("leverage"), c.alias("shares"), all_met([a, b, c]).alias("together"))
 
 
+def _volume_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = ind.relative_volume(bars(spark, sf_dir), KEYS, 20).withColumn("rv", F.round("relative_volume", 6))
+    return v.select(F.col("product_id").alias("stream"), F.col("at_us").alias("at"), outcome(F.col("rv"), "gte", 1.5).alias("entry"), outcome(F.col("rv"), "gte", 1.2).alias("hold"))
+
+
 def cond_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of high relative volume: opened at 1.5 after two confirmations, held down to 1.2, an hour's cooldown."""
-    v = ind.relative_volume(bars(spark, sf_dir), KEYS, 20).withColumn("rv", F.round("relative_volume", 6))
-    e = v.select(F.col("product_id").alias("stream"), F.col("at_us").alias("at"), outcome(F.col("rv"), "gte", 1.5).alias("entry"), outcome(F.col("rv"), "gte", 1.2).alias("hold"))
-    return fold(e, 2, 3_600_000_000).select(F.col("stream").alias("product_id"), F.col("at").alias("at_us"), "event")
+    return fold(_volume_evaluations(spark, sf_dir), 2, 3_600_000_000).select(F.col("stream").alias("product_id"), F.col("at").alias("at_us"), "event")
+
+
+def cond_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often that condition matched, opened and closed in the past of each product."""
+    return replay(_volume_evaluations(spark, sf_dir), 2, 3_600_000_000).withColumnRenamed("stream", "product_id")
+
+
+def cond_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fold(_volume_evaluations(spark, sf_dir), 2, 3_600_000_000)
+    return transitions(events).withColumnRenamed("stream", "product_id")
 
 
 def cond_json_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,24 +198,60 @@ QUERIES = {
     f.__name__: f
     for f in (
         fund_period_view, fund_core, fund_research, fund_yoy, fund_history, fund_percentile, fund_quality, fund_revisions, fund_lineage, macro_as_of,
-        cond_tri_valued, cond_lifecycle, cond_json_parameter, val_multiples,
+        cond_tri_valued, cond_lifecycle, cond_replay, cond_transitions, cond_json_parameter, val_multiples,
     )
 }
 
+#: The catalogue's formulas once more, for the oracle: metric, numerator, denominator.
+_QUOTIENTS = [
+    ("asset_turnover", "revenue", "total_assets"), ("capex_to_operating_cash_flow", "capital_expenditures", "operating_cash_flow"), ("cash_ratio", "cash", "current_liabilities"),
+    ("current_financial_debt_share", "short_debt", "debt"), ("current_ratio", "current_assets", "current_liabilities"), ("financial_debt_to_assets", "debt", "total_assets"), ("financial_debt_to_equity", "debt", "equity"),
+    ("financial_debt_to_free_cash_flow", "debt", "fcf"), ("fixed_asset_turnover", "revenue", "ppe_net"), ("free_cash_flow_margin", "fcf", "revenue"), ("free_cash_flow_per_diluted_share", "fcf", "diluted_shares"),
+    ("free_cash_flow_to_net_income", "fcf", "net_income"), ("gross_margin", "gross_profit", "revenue"), ("interest_coverage", "operating_income", "interest_expense"), ("net_debt_to_free_cash_flow", "debt - liquid", "fcf"),
+    ("net_margin", "net_income", "revenue"), ("operating_cash_flow_margin", "operating_cash_flow", "revenue"), ("operating_cash_flow_to_net_income", "operating_cash_flow", "net_income"), ("operating_margin", "operating_income", "revenue"),
+    ("research_and_development_to_revenue", "research_and_development", "revenue"), ("return_on_assets_ending_balance", "net_income", "total_assets"), ("return_on_equity_ending_balance", "net_income", "equity"),
+    ("revenue_per_diluted_share", "revenue", "diluted_shares"), ("selling_general_and_administrative_to_revenue", "selling_general_and_administrative", "revenue"),
+    ("share_based_compensation_to_revenue", "share_based_compensation", "revenue"), ("shareholder_distributions_to_free_cash_flow", "paid", "fcf"),
+]
+_SUMS = [
+    ("current_financial_debt", "short_debt"), ("diluted_eps", "diluted_eps"), ("diluted_shares", "diluted_shares"), ("financial_debt", "debt"), ("free_cash_flow", "fcf"), ("lease_liabilities", "leases"), ("net_debt", "debt - liquid"),
+    ("net_liquid_assets", "liquid - long_term_debt_current - long_term_debt_noncurrent"), ("shareholder_distributions", "paid"), ("shares_outstanding", "shares_outstanding"), ("total_financial_obligations", "debt + leases"),
+    ("working_capital", "current_assets - current_liabilities"),
+]
 _CASE = "case when {v} is null then 'not_evaluable' when {v} {op} {t} then 'met' else 'not_met' end"
 _TRI = {
     "margin": _CASE.format(v="(net_income / nullif(revenue, 0))", op=">=", t=0.1),
     "leverage": _CASE.format(v="(total_liabilities / nullif(total_assets, 0))", op="<=", t=0.6),
     "shares": _CASE.format(v="shares_outstanding", op=">", t=1000000),
 }
+_LIFECYCLE = _RBARS + f""", rv as (select product_id, at_us, row_number() over (partition by product_id order by at_us) as n, round(volume / b, 6) as v from (select *, avg(volume) {_W.format(a=20, b='1 preceding')} as b from bars) x where rn >= 20 and b <> 0),
+        s as (select product_id, at_us, n, case when v >= 1.5 then 1 else 0 end as cnt, false as is_open, cast(null as bigint) as until, cast(null as varchar) as event from rv where n = 1
+        union all select r.product_id, r.at_us, r.n,
+          case when s.is_open then case when r.v < 1.2 then 0 else s.cnt end when r.v >= 1.5 then s.cnt + 1 else 0 end,
+          case when s.is_open then r.v >= 1.2 else r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) end,
+          case when not s.is_open and r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) then r.at_us + 3600000000 else s.until end,
+          case when s.is_open then case when r.v < 1.2 then 'closed' end when r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) then 'opened' end
+        from s join rv r on r.product_id = s.product_id and r.n = s.n + 1)"""
 SQL = {
     "fund_period_view": _FACTS + """select asset_id, frequency, period, revenue, net_income, total_assets, total_liabilities, shares_outstanding,
         (revenue is null)::int + (net_income is null)::int + (total_assets is null)::int + (total_liabilities is null)::int + (shares_outstanding is null)::int as missing,
         revenue is not null and net_income is not null and total_assets is not null and total_liabilities is not null and shares_outstanding is not null as complete from wide""",
-    "fund_core": _FACTS + ratio_sql(["asset_id", "frequency", "period"], "wide", CORE),
-    "fund_research": f"""with base as (select c_nationkey as nation, year(o_orderdate) as year, round(sum(o_totalprice), 2) as revenue, round(sum(case when o_orderstatus = 'F' then o_totalprice else -o_totalprice end), 2) as net_income,
-        round(sum(case when substr(o_orderpriority, 1, 1) = '1' then o_totalprice end), 2) as cash, count(*)::double as shares_outstanding
-        from orders join customer on c_custkey = o_custkey group by 1, 2), made as (select nation, year, {', '.join(_MADE)} from base) """ + ratio_sql(["nation", "year"], "made", RATIOS),
+    "fund_core": _FACTS + """, m as (select asset_id, frequency, period, 'net_margin' as metric, net_income as t, revenue as b from wide union all select asset_id, frequency, period, 'liabilities_to_assets', total_liabilities, total_assets from wide
+          union all select asset_id, frequency, period, 'liabilities_to_net_assets', total_liabilities, total_assets - total_liabilities from wide)
+        select asset_id, frequency, period, metric, case when b > 0 then round(t / b, 6) end as value, case when t is null or b is null then 'missing_inputs' when b <= 0 then 'non_positive_denominator' end as reason from m""",
+    "fund_research": f"""with f as (select c_nationkey as nation, year(o_orderdate) as year, {', '.join(f"{_FIGURE.format(m=len(_MADE), k=k)} as {n}" for k, n in enumerate(_MADE))} from orders join customer on c_custkey = o_custkey group by 1, 2),
+        g as (select *, operating_cash_flow - capital_expenditures as fcf, commercial_paper + long_term_debt_current as short_debt, commercial_paper + long_term_debt_current + long_term_debt_noncurrent as debt,
+          cash + marketable_securities_current + marketable_securities_noncurrent as liquid, operating_lease_current + operating_lease_noncurrent + finance_lease_current + finance_lease_noncurrent as leases, dividends_paid + share_repurchases as paid from f),
+        m as (select nation, year, unnest([{', '.join(f"{{'metric': '{n}', 't': {t}, 'b': {b}}}" for n, t, b in _QUOTIENTS)}]) as x from g),
+        plain as (select nation, year, unnest([{', '.join(f"{{'metric': '{n}', 't': {t}}}" for n, t in _SUMS)}]) as x from g),
+        tax as (select nation, year, 'effective_tax_rate' as metric, income_tax / nullif(pretax_income, 0) as v, case when income_tax is null or pretax_income is null then 'missing_inputs' when pretax_income <= 0 then 'non_positive_denominator'
+            when income_tax / pretax_income < 0 or income_tax / pretax_income > 1 then 'tax_rate_out_of_range' end as reason from g
+          union all select nation, year, 'return_on_invested_capital_ending_balance', operating_income * (1 - income_tax / nullif(pretax_income, 0)) / nullif(equity + debt - liquid, 0),
+            case when operating_income + income_tax + pretax_income + equity + debt + liquid is null then 'missing_inputs' when pretax_income <= 0 then 'non_positive_denominator'
+            when income_tax / pretax_income < 0 or income_tax / pretax_income > 1 then 'tax_rate_out_of_range' when equity + debt - liquid <= 0 then 'non_positive_denominator' end from g)
+        select nation, year, x.metric as metric, case when x.b > 0 then round(x.t / x.b, 6) end as value, case when x.t is null or x.b is null then 'missing_inputs' when x.b <= 0 then 'non_positive_denominator' end as reason from m
+        union all select nation, year, x.metric, round(x.t, 6), case when x.t is null then 'missing_inputs' end from plain
+        union all select nation, year, metric, case when reason is null then round(v, 6) end, reason from tax""",
     "fund_yoy": _FACTS + """, one as (select asset_id, field, fy, fp, min(value) as value from f where fy is not null and fp is not null and frequency = 'annual' and value is not null group by 1, 2, 3, 4 having count(*) = 1)
         select a.asset_id, a.field, a.fy, case when b.value > 0 then round(a.value / b.value - 1, 6) end as growth, case when b.value <> 0 then round((a.value - b.value) / abs(b.value), 6) end as change_rate
         from one a join one b on a.asset_id = b.asset_id and a.field = b.field and a.fp = b.fp and a.fy = b.fy + 1""",
@@ -230,15 +276,11 @@ SQL = {
         from m where vintage_date = last group by series_id, day, last""",
     "cond_tri_valued": _FACTS + f"""select asset_id, frequency, period, margin, leverage, shares, case when margin = 'met' and leverage = 'met' and shares = 'met' then 'met'
         when 'not_met' in (margin, leverage, shares) then 'not_met' else 'not_evaluable' end as together from (select *, {', '.join(f'{v} as {k}' for k, v in _TRI.items())} from wide) t""",
-    "cond_lifecycle": _RBARS + f""", rv as (select product_id, at_us, row_number() over (partition by product_id order by at_us) as n, round(volume / b, 6) as v from (select *, avg(volume) {_W.format(a=20, b='1 preceding')} as b from bars) x where rn >= 20 and b <> 0),
-        s as (select product_id, at_us, n, case when v >= 1.5 then 1 else 0 end as cnt, false as is_open, cast(null as bigint) as until, cast(null as varchar) as event from rv where n = 1
-        union all select r.product_id, r.at_us, r.n,
-          case when s.is_open then case when r.v < 1.2 then 0 else s.cnt end when r.v >= 1.5 then s.cnt + 1 else 0 end,
-          case when s.is_open then r.v >= 1.2 else r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) end,
-          case when not s.is_open and r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) then r.at_us + 3600000000 else s.until end,
-          case when s.is_open then case when r.v < 1.2 then 'closed' end when r.v >= 1.5 and s.cnt + 1 >= 2 and (s.until is null or r.at_us >= s.until) then 'opened' end
-        from s join rv r on r.product_id = s.product_id and r.n = s.n + 1)
-        select product_id, at_us, event from s where event is not null""",
+    "cond_lifecycle": _LIFECYCLE + " select product_id, at_us, event from s where event is not null",
+    "cond_replay": _LIFECYCLE + """ select product_id, count(*) as evaluations, count(*) filter (v >= 1.5) as matched, 0 as not_evaluable, min(at_us) as first_at, max(at_us) as last_at, round(count(*) filter (v >= 1.5) / count(*), 6) as match_rate,
+        count(*) filter (event = 'opened') as opened, count(*) filter (event = 'closed') as closed from s join rv using (product_id, at_us) group by 1""",
+    "cond_transitions": _LIFECYCLE + """, e as (select product_id, at_us, event, lead(at_us) over (partition by product_id order by at_us) as next from s where event is not null)
+        select product_id, at_us as opened_at, next as closed_at from e where event = 'opened'""",
     "val_multiples": f"""with {BARS_BY_DAY},
         q as (select distinct request_id, 'Q' || upper(regexp_replace(asset_id, '^equity-', '')) as symbol, known_at, valuation_date, asset_id from valuation_requests where asset_id is not null and known_at is not null and valuation_date is not null and request_id is not null),
         p as (select q.*, b.c from q join bars_by_day b on q.symbol = b.symbol and b.available_at <= q.known_at and b.day <= q.valuation_date where b.c > 0 and b.c >= b.l and b.c <= b.h and b.bar_id is not null
