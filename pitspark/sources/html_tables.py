@@ -7,8 +7,9 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Widest span that is followed, against documents that ask for millions of cells.
+#: Widest span of columns that is followed, against documents that ask for millions of cells; rows end with the table.
 MOST_SPAN = 1000
 
 
@@ -19,9 +20,12 @@ class _Tables(HTMLParser):
         self.open: list[list[list[tuple[str, int, int]]]] = []
         self.cell: list[str] | None = None
         self.span = (1, 1)
+        self.outer: list[tuple[list[str] | None, tuple[int, int]]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "table":
+        if tag == "table":  # the cell around it goes on after it
+            self.outer.append((self.cell, self.span))
+            self.cell = None
             self.open.append([])
         elif tag == "tr" and self.open:
             self._end_cell()
@@ -29,8 +33,8 @@ class _Tables(HTMLParser):
         elif tag in ("td", "th") and self.open and self.open[-1]:
             self._end_cell()
             given = {k: v for k, v in attrs}
-            count = lambda k: min(MOST_SPAN, max(1, int(given[k]))) if (given.get(k) or "").isdigit() else 1
-            self.cell, self.span = [], (count("colspan"), count("rowspan"))
+            count = lambda k: max(1, int(given[k])) if (given.get(k) or "").isdecimal() else 1
+            self.cell, self.span = [], (min(MOST_SPAN, count("colspan")), count("rowspan"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("td", "th", "tr"):
@@ -38,6 +42,7 @@ class _Tables(HTMLParser):
         elif tag == "table" and self.open:
             self._end_cell()
             self.tables.append(self.open.pop())
+            self.cell, self.span = self.outer.pop()
 
     def handle_data(self, data: str) -> None:
         if self.cell is not None:
@@ -71,6 +76,9 @@ def tables_of(html: str) -> list[list[list[str]]]:
                         hanging[k] = (text, left - 1)
                     continue
                 if (cell := next(cells, None)) is None:
+                    if hanging and max(hanging) > k:  # a cell of an earlier row hangs on the right of a short row
+                        line.append("")
+                        continue
                     break
                 text, wide, high = cell
                 for _ in range(wide):
@@ -93,3 +101,15 @@ def html_rows(documents: DataFrame, key: str, html: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=[key, "table_no", "row_no", "cells"])
 
     return documents.select(key, html).mapInPandas(run, f"`{key}` {kind}, table_no int, row_no int, cells array<string>")
+
+
+def typed_quotes(rows: DataFrame, key: str, names: dict[str, tuple[int, str]], header_rows: int = 1) -> DataFrame:
+    """Cells of ``html_rows`` as columns: names maps a column to its place and type; numbers may have thousands commas and a
+    dash for none. A key and first column that come twice with other cells fail the run."""
+    cells = rows.where((F.size("cells") > max(p for p, _ in names.values())) & (F.col("row_no") >= header_rows))
+    text = lambda p: F.nullif(F.trim(F.get("cells", p)), F.lit("-"))
+    own = cells.select(key, *[(text(p) if kind == "string" else F.regexp_replace(text(p), ",", "").try_cast(kind)).alias(n) for n, (p, kind) in names.items()]).distinct()
+    first = next(iter(names))
+    counted = own.groupBy(key, first).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*[n for n in names if n != first])).alias("x")).where(F.col(first).isNotNull())
+    held = counted.where(F.assert_true(F.col("__n") == 1, F.lit("a quote comes twice with other cells")).isNull())
+    return held.select(key, first, "x.*")

@@ -16,8 +16,9 @@ _STATE = "count int, open boolean, until long, last long"
 def lifecycle(evaluations: DataFrame, confirmations: int, cooldown: int) -> DataFrame:
     """(stream, at, event) of a streaming DataFrame of evaluations (stream, at, entry, hold), as ``conditions.fold``.
 
-    Evaluations that arrive after a later one of their stream change nothing, as they would a decision already made;
-    late rows are otherwise never dropped. State is four values a stream.
+    What was decided stays decided: an evaluation that arrives after a later one of its stream moves nothing, but it is not
+    lost either, it comes out as the event 'late'. Where there is none, the events are those of ``fold``; else the streams
+    with one are to be folded again. State is four values a stream.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -26,7 +27,11 @@ def lifecycle(evaluations: DataFrame, confirmations: int, cooldown: int) -> Data
             count, opened, until, last = state.get
             own = {"count": count, "open": opened, "until": until, "last": last}
         rows = pd.concat(list(batches)).drop_duplicates().sort_values(["at", "entry", "hold"], ascending=[True, False, False], kind="stable")
-        out = [(key[0], at, e) for at, entry, hold in zip(rows["at"].tolist(), rows["entry"], rows["hold"], strict=True) if (e := step(own, at, entry, hold, confirmations, cooldown))]
+        out, before = [], own["last"]
+        for at, entry, hold in zip(rows["at"].tolist(), rows["entry"], rows["hold"], strict=True):
+            event = "late" if before is not None and at <= before else step(own, at, entry, hold, confirmations, cooldown)
+            if event:
+                out.append((key[0], at, event))
         state.update((own["count"], own["open"], own["until"], own["last"]))
         yield pd.DataFrame(out, columns=["stream", "at", "event"])
 
@@ -34,10 +39,14 @@ def lifecycle(evaluations: DataFrame, confirmations: int, cooldown: int) -> Data
     return clean.groupBy("stream").applyInPandasWithState(run, "stream string, at long, event string", _STATE, "append", "NoTimeout")
 
 
-def windowed_bars(ticks: DataFrame, at: str, keys: list[str], width: str, late: str) -> DataFrame:
-    """Open, extremes, close and volume of windows of a stream (at timestamp, price, volume), closed by a watermark."""
+def windowed_bars(ticks: DataFrame, at: str, keys: list[str], width: str, late: str | None = None) -> DataFrame:
+    """Open, extremes, close and volume of windows of a stream (at timestamp, price, volume).
+
+    Without ``late`` no tick is ever dropped: a late one corrects its window, for output mode update or complete. With it
+    a watermark closes windows and bounds their state, and ticks later than that are left out.
+    """
     w = F.window(at, width)
-    agg = ticks.withWatermark(at, late).groupBy(*keys, w).agg(
+    agg = (ticks.withWatermark(at, late) if late else ticks).groupBy(*keys, w).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("ticks")
     )
     return agg.select(*keys, F.col("window.start").alias("begins"), "open", "high", "low", "close", "volume", "ticks")

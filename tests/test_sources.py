@@ -101,3 +101,40 @@ def test_scalars(spark):
     one = spark.createDataFrame([(" Ñandú & Co.", "CIK 0000123", ".", 7.0)], "n string, k string, v string, x double")
     got = one.select(name_key(F.col("n")), pad_cik(F.col("k")), number_or_null(F.col("v")), clamp(F.col("x"), 0, 5), canonical_json(b=F.col("v"), a=F.lit(None).cast("string"))).first()
     assert tuple(got) == ("nandu co", "0000000123", None, 5.0, '{"a":null,"b":"."}')
+
+
+def test_spans_right_of_short_rows_and_tables_in_cells():
+    from pitspark.sources.html_tables import tables_of
+
+    grid = tables_of("<table><tr><td>a</td><td>b</td><td rowspan=3>c</td></tr><tr><td>d</td></tr><tr><td>e</td><td>f</td></tr><tr><td>g</td></tr></table>")
+    assert grid == [[["a", "b", "c"], ["d", "", "c"], ["e", "f", "c"], ["g"]]]
+    nested = tables_of("<table><tr><td>before <table><tr><td>in</td></tr></table> after</td><td>x</td></tr></table>")
+    assert nested == [[["in"]], [["before after", "x"]]]
+
+
+def test_typed_quotes(spark):
+    from pitspark.sources.html_tables import html_rows, typed_quotes
+
+    page = "<table><tr><th>Name</th><th>Price</th><th>Volume</th></tr><tr><td>AAA</td><td>1,234.50</td><td>10</td></tr><tr><td>BBB</td><td>-</td><td>7</td></tr></table>"
+    rows = html_rows(spark.createDataFrame([("d1", page), ("d2", None)], "day string, html string"), "day", "html")
+    names = {"name": (0, "string"), "price": (1, "double"), "volume": (2, "long")}
+    assert sorted(map(tuple, typed_quotes(rows, "day", names).collect())) == [("d1", "AAA", 1234.5, 10), ("d1", "BBB", None, 7)]
+    twice = html_rows(spark.createDataFrame([("d1", page), ("d1", page.replace("1,234.50", "2"))], "day string, html string"), "day", "html")
+    with pytest.raises(Exception, match="comes twice"):
+        typed_quotes(twice, "day", names).collect()
+
+
+def test_unreadable_tables_are_errors_and_restores(spark, tmp_path):
+    from pitspark.sources.stores import append_only, lineage_chain, restore
+
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/part.parquet").write_bytes(b"nothing")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "k string, v int")
+    with pytest.raises(Exception):
+        append_only(rows, str(tmp_path / "bad"), "k")
+    assert append_only(rows, str(tmp_path / "t"), "k") == 2 and append_only(rows, str(tmp_path / "t"), "k") == 0
+    rows.distinct().write.parquet(str(tmp_path / "backup"))
+    spark.createDataFrame([("c", 3)], "k string, v int").write.mode("append").parquet(str(tmp_path / "backup"))
+    assert restore(spark, str(tmp_path / "backup"), str(tmp_path / "t"), "k") == 1
+    raw, obs, metric = (spark.createDataFrame(x, "k string, i string") for x in ([("r1", None)], [("o1", "r1"), ("o2", "r9")], [("m1", "o1"), ("m2", "o7")]))
+    assert sorted(map(tuple, lineage_chain([(raw, "k", "i"), (obs, "k", "i"), (metric, "k", "i")]).collect())) == [(1, "o2", "r9"), (2, "m2", "o7")]
