@@ -13,6 +13,7 @@ from pitspark.operators.pit import require
 from pitspark.operators.scans import bulk_get, scan
 from pitspark.operators.shred import shred, table_of
 from pitspark.plans.market import _BARS, _calendar, revised
+from pitspark.plans.payload_sql import FACTS, OPENED
 from pitspark.sources.landed import verified
 from pitspark.sources.stores import broken_lineage
 from pitspark.session import micros_sql, numbered, table
@@ -218,11 +219,13 @@ SQL = {
     "check_strict": _BARS + "select product_id, count(*) as bars from bars group by 1",
     "plan_refresh": _BARS + """select r.product_id, begins, ends, coalesce(l, begins) as fetch_from, case when l is null then 'initial' when l >= ends then 'current' else 'incremental' end as mode
         from (select product_id, min(epoch_us(requested_start)) as begins, max(epoch_us(requested_end)) as ends from import_summaries group by 1) r left join (select product_id, max(at_us) as l from bars group by 1) b on r.product_id = b.product_id""",
-    "src_volatility_points": """with r as (select distinct record_id, payload from raw_records where source_id = 'deribit-dvol' and json_valid(payload)),
-        d as (select record_id, json_extract(payload, '$.result.data') as a from r), n as (select record_id, a, unnest(range(json_array_length(a)::bigint)) as position from d where json_type(a) = 'ARRAY')
+    "src_volatility_points": OPENED.format(source="deribit-dvol", part="result") + """ d as (select record_id, case when json_type(x, '$.data') = 'VARCHAR' then json_extract_string(x, '$.data')::json else json_extract(x, '$.data') end as a from own),
+        n as (select record_id, a, unnest(range(json_array_length(a)::bigint)) as position from d where json_type(a) = 'ARRAY')
         select record_id, position, try_cast(json_extract_string(a, '$[' || position || '][0]') as bigint) as epoch_ms, try_cast(json_extract_string(a, '$[' || position || '][1]') as double) as open, try_cast(json_extract_string(a, '$[' || position || '][4]') as double) as close
         from n where json_type(json_extract(a, '$[' || position || ']')) = 'ARRAY'""",
-    "src_filing_index": """with r as (select distinct record_id, payload from raw_records where source_id = 'sec-submissions' and json_valid(payload)),
-        d as (select record_id, json_extract(payload, '$.body.filings.recent') as f from r), n as (select record_id, f, unnest(range(json_array_length(json_extract(f, '$.accessionNumber'))::bigint)) as position from d where json_type(json_extract(f, '$.accessionNumber')) = 'ARRAY')
-        select record_id, position, json_extract_string(f, '$.accessionNumber[' || position || ']') as accession, nullif(json_extract_string(f, '$.filingDate[' || position || ']'), '') as filed, nullif(json_extract_string(f, '$.form[' || position || ']'), '') as form from n""",
+    "src_company_facts": FACTS + """ select record_id, tax as taxonomy, tag, unit, position, try_cast(json_extract_string(fact, '$.val') as double) as val, json_extract_string(fact, '$.accn') as accn from facts""",
+    "src_filing_index": OPENED.format(source="sec-submissions", part="body") + """ d as (select record_id, json_extract(x, '$.filings.recent') as f from own),
+        n as (select record_id, f, unnest(range(json_array_length(json_extract(f, '$.accessionNumber'))::bigint)) as position from d where json_type(json_extract(f, '$.accessionNumber')) = 'ARRAY')
+        select record_id, position, json_extract_string(f, '$.accessionNumber[' || position || ']') as accession, nullif(json_extract_string(f, '$.filingDate[' || position || ']'), '') as filed, nullif(json_extract_string(f, '$.form[' || position || ']'), '') as form
+        from n where json_extract_string(f, '$.accessionNumber[' || position || ']') is not null""",
 }

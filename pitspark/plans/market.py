@@ -245,7 +245,7 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _funding_sums(hours: DataFrame, n: int) -> DataFrame:
-    return ind.gap_free_sum(hours, ["instrument_name"], n, "rate", "hour").select("instrument_name", F.lit(n).alias("hours"), "hour", F.round("total", 10).alias("total"), F.round("mean", 10).alias("mean"))
+    return ind.gap_free_sum(hours, ["instrument_name"], n, "rate", "hour").select("instrument_name", F.lit(n).alias("hours"), "hour", F.round("total", 12).alias("total"), F.round("mean", 12).alias("mean"))
 
 
 def der_funding_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,9 +368,9 @@ SQL = {
           from s join (select distinct * from spot_candles) c on c.product_id = s.product_id and c.available_at <= s.t where c.candle_start is not null and c.candle_id is not null)
         select summary_id, at_us, close from j where k = 1 and close is not null""",
     "der_spread_bps": "select distinct summary_id, instrument_name, round((ask_price - bid_price) / mid_price * 10000, 6) as spread_bps from perpetual_summaries where mid_price > 0 and ask_price >= bid_price",
-    "der_funding_24h": _HOURLY + """ select instrument_name, hour, round(t, 10) as total, round(t / 24, 10) as mean from (select *, sum(rate) over w as t, lag(hour, 23) over (partition by instrument_name order by hour) as f from h
+    "der_funding_24h": _HOURLY + """ select instrument_name, hour, round(t, 12) as total, round(t / 24, 12) as mean from (select *, sum(rate) over w as t, lag(hour, 23) over (partition by instrument_name order by hour) as f from h
         window w as (partition by instrument_name order by hour rows between 23 preceding and current row)) y where hour - f = 23""",
-    "der_funding_windows": _HOURLY + " union all ".join(f""" select instrument_name, {n} as hours, hour, round(t, 10) as total, round(t / {n}, 10) as mean from (select *, sum(rate) over w as t, lag(hour, {n - 1}) over (partition by instrument_name order by hour) as f from h
+    "der_funding_windows": _HOURLY + " union all ".join(f""" select instrument_name, {n} as hours, hour, round(t, 12) as total, round(t / {n}, 12) as mean from (select *, sum(rate) over w as t, lag(hour, {n - 1}) over (partition by instrument_name order by hour) as f from h
         window w as (partition by instrument_name order by hour rows between {n - 1} preceding and current row)) y where hour - f = {n - 1}""" for n in (24, 168, 720)),
     "der_change_days": """with d as (select instrument_name, creation_timestamp // 86400000 as day, avg(open_interest) as oi from (select distinct summary_id, instrument_name, creation_timestamp, open_interest from perpetual_summaries where open_interest is not null and creation_timestamp is not null) x group by 1, 2),
         k as (select * from (values (1), (7)) v(days))

@@ -9,6 +9,7 @@ from pitspark.operators.history import numeric_value, version_history
 from pitspark.operators.normalise_times import with_instant
 from pitspark.operators.shred import shred, table_of
 from pitspark.plans.instant_sql import instants
+from pitspark.plans.payload_sql import NODES
 from pitspark.session import micros_sql, numbered, table
 
 
@@ -74,4 +75,4 @@ _VERSIONS = "with " + instants("i", "select distinct vintage_row_id as id, obser
     h as (select *, least(until, coalesce(lead(valid_from) over (partition by series_id, od order by version) - 1, date '9999-12-31')) as valid_to from v)
     select series_id, strftime(od, '%Y-%m-%d') as observation_date, """
 _PLACES = "strftime(valid_from, '%Y-%m-%d') as valid_from, strftime(valid_to, '%Y-%m-%d') as valid_to from h"
-SQL = {"p6_found": _VERSIONS + _PLACES, "p6_history": _VERSIONS + "num as obs_value, " + _PLACES}
+SQL = {"p5_found": NODES + " select * from nodes", "p6_found": _VERSIONS + _PLACES, "p6_history": _VERSIONS + "num as obs_value, " + _PLACES}
