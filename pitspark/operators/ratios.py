@@ -128,11 +128,15 @@ def year_over_year(facts: DataFrame, keys: list[str], year: str, period: str, va
 
 
 def history_statistics(points: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """Count, ends, extremes, mean and change of each history, by one aggregation; growth a year from positive ends at least a year apart."""
+    """Count, ends, extremes, mean and changes of each history, by one aggregation; growth a year from positive ends at least a
+    year apart. A history has one value a period, so that its periods are bounded by the calendar."""
+    one = points.where(F.col(value).isNotNull()).groupBy(*keys, at).agg(F.min(value).alias(value))
     first, last = F.min_by(value, at), F.max_by(value, at)
     years = F.datediff(F.max(at), F.min(at)) / F.lit(365.2425)
-    out = points.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+    before = F.try_element_at(F.sort_array(F.collect_list(F.struct(at, value)), False), F.lit(2))[value]
+    out = one.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("points"), first.alias("first_value"), last.alias("last_value"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 4).alias("mean"),
+        F.round(F.max(value) - F.min(value), 4).alias("value_range"), F.round(last - before, 4).alias("previous_change"), F.round(last - first, 4).alias("horizon_change"), F.round(F.when(first != 0, (last - first) / F.abs(first)), 6).alias("horizon_rate"),
         F.when((first > 0) & (last > 0) & (years * 365.2425 >= 365), F.round(F.pow(F.try_divide(last, first), F.lit(1.0) / F.nullif(years, F.lit(0.0))) - 1, 6)).alias("growth_a_year"),
     )
     return out

@@ -12,7 +12,9 @@ from pitspark.operators.bars import resample
 from pitspark.operators.pit import require
 from pitspark.operators.scans import bulk_get, scan
 from pitspark.operators.shred import shred, table_of
-from pitspark.plans.market import _BARS, _calendar, revised
+from pitspark.plans.fundamentals import FACTS_KNOWN_AT
+from pitspark.plans.market import _BARS, _calendar, der_funding_windows, revised
+from pitspark.plans.market import SQL as MARKET_SQL
 from pitspark.plans.payload_sql import FACTS, OPENED
 from pitspark.sources.landed import verified
 from pitspark.sources.stores import broken_lineage
@@ -176,16 +178,104 @@ def plan_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("product_id", "begins", "ends", F.coalesce("last_us", "begins").alias("fetch_from"), F.when(F.col("last_us").isNull(), "initial").when(F.col("last_us") >= F.col("ends"), "current").otherwise("incremental").alias("mode"))
 
 
+def join_fact_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fact's filing says of it: by accession number, then whether asset, form and period agree and it was filed by then."""
+    o = table(spark, sf_dir, "observations").where("observation_id is not null").select(
+        "observation_id", F.get_json_object("record_key", "$.accn").alias("accn"), F.get_json_object("record_key", "$.form").alias("fact_form"), F.col("asset_id").alias("fact_asset"), F.to_date("period_end").alias("period"), F.col("available_at").cast("date").alias("seen")
+    ).distinct()
+    f = table(spark, sf_dir, "sec_filings").where("accession_number is not null").groupBy(F.col("accession_number").alias("accn")).agg(
+        F.min(F.struct("asset_id", "form", "report_date", "filing_date")).alias("a"), F.max(F.struct("asset_id", "form", "report_date", "filing_date")).alias("b")
+    )
+    same = lambda x, y: F.coalesce(x == y, F.lit(False))
+    state = (
+        F.when(F.col("a").isNull(), "no_filing").when(~F.col("a").eqNullSafe(F.col("b")), "contradictory_filing").when(~same(F.col("fact_asset"), F.col("a.asset_id")), "other_asset")
+        .when(~same(F.col("fact_form"), F.col("a.form")), "other_form").when(~same(F.col("period"), F.col("a.report_date")), "other_period").when(~F.coalesce(F.col("seen") >= F.col("a.filing_date"), F.lit(False)), "before_filing").otherwise("agrees")
+    )
+    return o.join(f, "accn", "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("facts"))
+
+
+def join_traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each observation's record is there and agrees with it in asset, source and availability, by source."""
+    o = table(spark, sf_dir, "observations").where("observation_id is not null").select("observation_id", F.col("raw_record_id").alias("record_id"), "asset_id", "source_id", "available_at").distinct()
+    r = table(spark, sf_dir, "raw_records").where("record_id is not null").groupBy("record_id").agg(F.min(F.struct("asset_id", "source_id", "available_at")).alias("r"))
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"r.{c}"))
+    state = F.when(F.col("r").isNull(), "no_record").when(differs("asset_id"), "other_asset").when(differs("source_id"), "other_source").when(differs("available_at"), "other_time").otherwise("traced")
+    return o.join(r, "record_id", "left").groupBy("source_id", state.alias("state")).agg(F.count(F.lit(1)).alias("observations"))
+
+
+def top_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten candles of each product by time, and whether there are more."""
+    c = table(spark, sf_dir, "spot_candles").where("product_id is not null and candle_start is not null").select("product_id", "candle_start").distinct()
+    line = Window.partitionBy("product_id").orderBy("candle_start")
+    place = c.withColumn("place", F.row_number().over(line)).where("place <= 11").withColumn("truncated", F.max("place").over(Window.partitionBy("product_id")) > 10)
+    return place.where("place <= 10")
+
+
+def agg_lineage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records each asset's annual period rests on, each once and in order; a period has few filings."""
+    o = table(spark, sf_dir, "observations").where("frequency = 'annual' and asset_id is not null and period_end is not null and raw_record_id is not null")
+    one = o.select("asset_id", F.to_date("period_end").alias("period"), "raw_record_id").distinct()
+    return one.groupBy("asset_id", "period").agg(F.array_join(F.array_sort(F.collect_set("raw_record_id")), ",").alias("records"))
+
+
+def agg_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, different ids and the last availability of the stored tables."""
+    out = None
+    for name, key in (("spot_candles", "candle_id"), ("funding_history", "funding_id"), ("daily_bars", "bar_id"), ("observations", "observation_id"), ("raw_records", "record_id")):
+        one = table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("ids"), F.max("available_at").alias("last_available")).select(F.lit(name).alias("name"), "n", "ids", "last_available")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def bars_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product's bars of the 24 hours that end with its last one."""
+    b = revised(spark, sf_dir).select("product_id", "at_us", "close")
+    last = b.groupBy("product_id").agg(F.max("at_us").alias("last_us"))
+    return b.join(last, "product_id").where(F.col("at_us") > F.col("last_us") - F.lit(86_400_000_000).cast("long")).select("product_id", "at_us", "close")
+
+
+def diag_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How old each asset's last facts were at the cut, by their period and by their availability, in days."""
+    o = table(spark, sf_dir, "observations").where(f"asset_id is not null and quality = 'valid' and available_at <= timestamp_ntz'{FACTS_KNOWN_AT}'")
+    age = lambda c: F.datediff(F.lit(FACTS_KNOWN_AT[:10]).cast("date"), F.max(c).cast("date"))
+    return o.groupBy("asset_id").agg(age("period_end").alias("period_age"), age("available_at").alias("availability_age"))
+
+
+def der_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of each instrument's last funding sums by their sign, and how many of the three windows there are."""
+    f = der_funding_windows(spark, sf_dir).groupBy("instrument_name", "hours").agg(F.max_by("total", "hour").alias("total"))
+    sign = lambda n: F.max(F.when(F.col("hours") == n, F.when(F.col("total") > 0, "positive").when(F.col("total") < 0, "negative").otherwise("neutral")))
+    n = F.count(F.lit(1))
+    return f.groupBy("instrument_name").agg(*[sign(h).alias(f"funding_{h}h") for h in (24, 168, 720)], n.alias("windows"), F.when(n == 3, "complete").otherwise("partial").alias("status"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_observations, scan_bulk_get, scan_empty_list, scan_day_bounds, agg_counts, top_last_periods, top_newest, top_whole_buckets, set_operations, join_resolve_alias, join_semi_anti,
         src_volatility_points, src_filing_index, src_company_facts, src_verified, sink_lineage, fn_scalars, fn_numbers, fn_identity, fn_isin, check_strict, plan_refresh,
+        join_fact_filing, join_traceability, top_truncated, agg_lineage_ids, agg_overview, bars_last_day, diag_freshness, der_reading,
     )
 }
 
 _PAD = "case when length(ltrim(regexp_replace(cik, '\\D', '', 'g'), '0')) between 1 and 10 then lpad(ltrim(regexp_replace(cik, '\\D', '', 'g'), '0'), 10, '0') end"
 SQL = {
+    "join_fact_filing": """with o as (select distinct observation_id, json_extract_string(record_key, '$.accn') as accn, json_extract_string(record_key, '$.form') as form, asset_id, period_end::date as period, available_at::date as seen from observations where observation_id is not null),
+        f as (select distinct accession_number as accn, asset_id, form, report_date, filing_date from sec_filings where accession_number is not null), n as (select accn, count(*) as n from f group by 1), g as (select f.*, n.n, row_number() over (partition by f.accn) as k from f join n on f.accn = n.accn)
+        select case when g.accn is null then 'no_filing' when g.n > 1 then 'contradictory_filing' when not coalesce(o.asset_id = g.asset_id, false) then 'other_asset' when not coalesce(o.form = g.form, false) then 'other_form'
+          when not coalesce(o.period = g.report_date, false) then 'other_period' when not coalesce(o.seen >= g.filing_date, false) then 'before_filing' else 'agrees' end as state, count(*) as facts from o left join (select * from g where k = 1) g on o.accn = g.accn group by 1""",
+    "join_traceability": """with o as (select distinct observation_id, raw_record_id, asset_id, source_id, available_at from observations where observation_id is not null), r as (select distinct record_id, asset_id, source_id, available_at from raw_records where record_id is not null)
+        select o.source_id, case when r.record_id is null then 'no_record' when o.asset_id is distinct from r.asset_id then 'other_asset' when o.source_id is distinct from r.source_id then 'other_source' when o.available_at is distinct from r.available_at then 'other_time' else 'traced' end as state,
+          count(*) as observations from o left join r on o.raw_record_id = r.record_id group by 1, 2""",
+    "top_truncated": """with c as (select distinct product_id, candle_start from spot_candles where product_id is not null and candle_start is not null), p as (select *, row_number() over (partition by product_id order by candle_start) as place, count(*) over (partition by product_id) as n from c)
+        select product_id, candle_start, place, n > 10 as truncated from p where place <= 10""",
+    "agg_lineage_ids": """select asset_id, period_end::date as period, string_agg(distinct raw_record_id, ',' order by raw_record_id) as records from observations where frequency = 'annual' and asset_id is not null and period_end is not null and raw_record_id is not null group by 1, 2""",
+    "agg_overview": " union all ".join(f"select '{name}' as name, count(*) as n, count(distinct {key}) as ids, max(available_at) as last_available from {name}" for name, key in (("spot_candles", "candle_id"), ("funding_history", "funding_id"), ("daily_bars", "bar_id"), ("observations", "observation_id"), ("raw_records", "record_id"))),
+    "bars_last_day": _BARS + "select product_id, at_us, close from (select *, max(at_us) over (partition by product_id) as last from bars) x where at_us > last - 86400000000",
+    "diag_freshness": f"""select asset_id, datediff('day', max(period_end)::date, date '{FACTS_KNOWN_AT[:10]}') as period_age, datediff('day', max(available_at)::date, date '{FACTS_KNOWN_AT[:10]}') as availability_age
+        from observations where asset_id is not null and quality = 'valid' and available_at <= timestamp '{FACTS_KNOWN_AT}' group by 1""",
+    "der_reading": f"""with w as ({MARKET_SQL['der_funding_windows']}), l as (select instrument_name, hours, arg_max(total, hour) as total from w group by 1, 2), d as (select *, case when total > 0 then 'positive' when total < 0 then 'negative' else 'neutral' end as sign from l)
+        select instrument_name, max(sign) filter (hours = 24) as funding_24h, max(sign) filter (hours = 168) as funding_168h, max(sign) filter (hours = 720) as funding_720h, count(*) as windows, case when count(*) = 3 then 'complete' else 'partial' end as status from d group by 1""",
     "scan_observations": """select distinct observation_id, asset_id, field_name, obs_value from observations where frequency = 'annual' and quality = 'valid' and unit = 'USD' and field_name in ('fundamental.revenue', 'fundamental.net_income')
         and period_end between timestamp '2016-01-01' and timestamp '2020-12-31 23:59:59' and available_at between timestamp '2016-01-01' and timestamp '2024-01-01' and accepted_at >= timestamp '2016-01-01' and normalized_at < timestamp '2025-01-01'
         and asset_id is not null and observation_id is not null and json_extract_string(record_key, '$.form') = '10-K' and source_id like 'sec-%'""",

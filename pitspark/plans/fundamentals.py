@@ -255,9 +255,11 @@ SQL = {
     "fund_yoy": _FACTS + """, one as (select asset_id, field, fy, fp, min(value) as value from f where fy is not null and fp is not null and frequency = 'annual' and value is not null group by 1, 2, 3, 4 having count(*) = 1)
         select a.asset_id, a.field, a.fy, case when b.value > 0 then round(a.value / b.value - 1, 6) end as growth, case when b.value <> 0 then round((a.value - b.value) / abs(b.value), 6) end as change_rate
         from one a join one b on a.asset_id = b.asset_id and a.field = b.field and a.fp = b.fp and a.fy = b.fy + 1""",
-    "fund_history": _FACTS + """select asset_id, field, count(*) as points, arg_min(value, period) as first_value, arg_max(value, period) as last_value, min(value) as least, max(value) as most, round(avg(value), 4) as mean,
+    "fund_history": _FACTS + """, z as (select asset_id, field, period, value, row_number() over (partition by asset_id, field order by period desc) as back from f where frequency = 'annual' and value is not null)
+        select asset_id, field, round(max(value) - min(value), 4) as value_range, round(arg_max(value, period) - max(value) filter (back = 2), 4) as previous_change, round(arg_max(value, period) - arg_min(value, period), 4) as horizon_change,
+        round(case when arg_min(value, period) <> 0 then (arg_max(value, period) - arg_min(value, period)) / abs(arg_min(value, period)) end, 6) as horizon_rate, count(*) as points, arg_min(value, period) as first_value, arg_max(value, period) as last_value, min(value) as least, max(value) as most, round(avg(value), 4) as mean,
         case when arg_min(value, period) > 0 and arg_max(value, period) > 0 and max(period) - min(period) >= 365 then round(pow(arg_max(value, period) / arg_min(value, period), 1.0 / nullif((max(period) - min(period)) / 365.2425, 0)) - 1, 6) end as growth_a_year
-        from f where frequency = 'annual' and value is not null group by 1, 2""",
+        from z group by 1, 2""",
     "fund_percentile": _FACTS + """, m as (select asset_id, period, round(net_income / revenue, 6) as value from wide where frequency = 'annual' and revenue > 0 and net_income is not null)
         select * from (select a.asset_id, a.period, a.value, count(*) as prior, round((count(*) filter (b.value < a.value) + 0.5 * count(*) filter (b.value = a.value)) / count(*), 6) as rank
         from m a join m b on a.asset_id = b.asset_id and b.period < a.period group by 1, 2, 3) x where prior >= 3""",

@@ -19,6 +19,8 @@ DAY = 86_400_000_000
 KEYS = ["product_id"]
 #: The cut at which the point-in-time queries look.
 KNOWN_AT = "2025-11-15 00:00:00"
+#: Two products that all of the test tables have.
+COMPARED = ["ZZQKX-USD", "ZCCFX-USD"]
 
 _MEANING = ["granularity_s", "open", "high", "low", "close", "volume"]
 _BARS = f"""
@@ -201,8 +203,9 @@ def pit_effective_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cmp_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which both products have a bar, with their last closes."""
-    return aligned(_calendar(spark, sf_dir, "day"), "product_id", "bucket", "close", ["BTC-USD", "ETH-USD"]).select("bucket", F.round("BTC-USD", 4).alias("btc"), F.round("ETH-USD", 4).alias("eth"))
+    """Days on which both of two products have a bar, with their last closes."""
+    one, two = COMPARED
+    return aligned(_calendar(spark, sf_dir, "day"), "product_id", "bucket", "close", COMPARED).select("bucket", F.round(f"`{one}`", 4).alias("one"), F.round(f"`{two}`", 4).alias("two"))
 
 
 def cmp_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +355,7 @@ SQL = {
         where available_at <= timestamp '2025-11-15 00:00:00' and candle_start >= timestamp '2025-11-01 00:00:00' and candle_start < timestamp '2025-11-08 00:00:00' group by 1""",
     "pit_effective_cut": "select asset_id, min(available_at) as earliest, min(available_at) > timestamp '2016-01-01 00:00:00' as too_early from observations where asset_id is not null group by 1 having min(available_at) is not null",
     "cmp_calendar": _BARS + """, d as (select product_id, make_timestamp(at_us)::date as bucket, arg_max(close, at_us) as close from bars group by 1, 2)
-        select a.bucket, round(a.close, 4) as btc, round(b.close, 4) as eth from d a join d b on a.bucket = b.bucket where a.product_id = 'BTC-USD' and b.product_id = 'ETH-USD'""",
+        select a.bucket, round(a.close, 4) as one, round(b.close, 4) as two from d a join d b on a.bucket = b.bucket where a.product_id = 'ZZQKX-USD' and b.product_id = 'ZCCFX-USD'""",
     "cmp_pairs": _BARS + """, d as (select product_id, (at_us // 86400000000) as day, arg_max(close, at_us) as close from bars group by 1, 2),
         j as (select p.product_id, p.day, p.close as pc, b.close as bc from d p join d b on p.day = b.day where b.product_id = 'BTC-USD' and p.product_id <> 'BTC-USD'),
         r as (select product_id, day, pc, bc, pc / lag(pc) over w - 1 as pr, bc / lag(bc) over w - 1 as br from j window w as (partition by product_id order by day))
