@@ -30,9 +30,10 @@ ANCHOR, SHARED = 3, 3
 OWN = 0.3
 #: Words without an anchor, fewer than which in an item are an instruction or a phrase and no passage.
 PASSAGE = 20
-#: Different anchors of an item that a text must hit, as a share of the item's words, before they are aligned; and
-#: neighbours among a stretch's n-grams, as such a share, fewer than which hide it (each brings about one of four words too).
-HITS, OPEN = 0.05, 0.03
+#: Different anchors of an item that a text must hit, as a share of the item's words, before they are aligned: of an item with
+#: anchors of its own, and of one all of whose n-grams, of both kinds, are anchors. A leak with half of its words altered has
+#: about a fifth of those. And neighbours among a stretch's n-grams, as such a share, fewer than which hide it.
+HITS, HITS_OF_ALL, OPEN = 0.05, 0.15, 0.03
 #: Share of an item's words that a leak contains at least.
 LEAST = 0.4
 #: Scores of the alignment: equal words, other words, a word left out.
@@ -72,16 +73,17 @@ def _own_grams(words: Sequence[str]) -> list[tuple[int, Gram]]:
     return list(_grams(words, (min(ANCHOR, len(words)),))) if words else []
 
 
-def anchors_of(words: Sequence[str], owners: Mapping[Gram, int]) -> set[Gram]:
-    """The n-grams of an item text by which it is looked for; owners: how many item texts have an n-gram (else one)."""
+def anchors_of(words: Sequence[str], owners: Mapping[Gram, int]) -> tuple[set[Gram], float]:
+    """The n-grams of an item text by which it is looked for, and how many of them a text must hit; owners: how many item
+    texts have an n-gram (else one)."""
     grams = _own_grams(words)
     count = [owners.get(g, 1) for _, g in grams]
     neighbours = max(0, len(words) - ANCHOR + 1) or len(grams)
     few = sum(n == 1 for n in count[:neighbours]) < OWN * len(words)
     plain = [n == 1 or (few and n <= SHARED) for n in count]
     if _has_passage([not p for p in plain[:neighbours]], len(words)):
-        return {g for _, g in grams}
-    return {g for (_, g), p in zip(grams, plain, strict=True) if p}
+        return {g for _, g in grams}, HITS_OF_ALL * len(words)
+    return {g for (_, g), p in zip(grams, plain, strict=True) if p}, HITS * len(words)
 
 
 def _has_passage(hidden: list[bool], words: int) -> bool:
@@ -115,6 +117,7 @@ class Items:
     classes: dict[Gram, int]
     owners: list[tuple[int, ...]]
     sizes: list[int]
+    need: list[float]
 
 
 def index_items(rows: list[tuple[int, str | None]]) -> Items:
@@ -129,12 +132,15 @@ def index_items(rows: list[tuple[int, str | None]]) -> Items:
         for g in {g for _, g in _own_grams(w)}:
             count[g] += 1
     held: dict[Gram, list[int]] = defaultdict(list)
+    need = []
     for k, w in enumerate(texts):
-        for g in anchors_of(w, count):
+        anchors, least = anchors_of(w, count)
+        need.append(least)
+        for g in anchors:
             held[g].append(k)
     numbers: dict[tuple[int, ...], int] = {}
     classes = {g: numbers.setdefault(tuple(k), len(numbers)) for g, k in held.items()}
-    return Items([list(w) for w in texts], [by_text[w] for w in texts], classes, list(numbers), sorted({len(g) for g in held} & {1, 2, ANCHOR}))
+    return Items([list(w) for w in texts], [by_text[w] for w in texts], classes, list(numbers), sorted({len(g) for g in held} & {1, 2, ANCHOR}), need)
 
 
 def _stretch(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[list[int], int, int]:
@@ -278,7 +284,7 @@ def find_leaks(text: str, items: Items, least: float = LEAST) -> Iterator[tuple[
         for k in items.owners[c]:
             different[k] += len(grams)
     for k, n in different.items():
-        if n >= HITS * len(items.words[k]) and (found := verify(items.words[k], own, least)):
+        if n >= items.need[k] and (found := verify(items.words[k], own, least)):
             yield k, *found
 
 
@@ -345,7 +351,8 @@ def _joined(documents: DataFrame, items: DataFrame, least: float) -> DataFrame:
             for key, words, shared in zip(batch["key"], batch["words"], batch["shared"], strict=True):
                 own, known = words.split(), {x["gram"]: x["n"] for x in (shared if shared is not None else ())}
                 owners = {g: known[_line(g)] for _, g in _own_grams(own) if _line(g) in known}
-                out += [(key, _line(g), HITS * len(own)) for g in anchors_of(own, owners)]
+                found, need = anchors_of(own, owners)
+                out += [(key, _line(g), need) for g in found]
             yield pd.DataFrame(out, columns=["key", "gram", "need"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
