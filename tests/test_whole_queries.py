@@ -99,7 +99,7 @@ def test_funding_hours_are_those_of_the_event(spark, tmp_path):
     sf = tables(spark, tmp_path, funding_history=("funding_id long, instrument_name string, feed string, funding_timestamp string, interest_1h double, available_at timestamp_ntz", rows))
     rate = [100.0, *map(float, range(1, 26))]
     first = 1761350400 // 3600
-    want = [("A", first + k, sum(rate[k - 23 : k + 1]), round(sum(rate[k - 23 : k + 1]) / 24, 10)) for k in range(23, 26)]
+    want = [("A", first + k, sum(rate[k - 23 : k + 1]), round(sum(rate[k - 23 : k + 1]) / 24, 12)) for k in range(23, 26)]
     assert sorted(map(tuple, market.der_funding_24h(spark, sf).collect())) == want
 
 
